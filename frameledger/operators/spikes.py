@@ -256,7 +256,7 @@ def flag_tracks(t: Tracks, fits: dict) -> np.ndarray:
 def _by_track(rows: DataFrame) -> DataFrame:
     """Rows laid out by track and block (each with its margin), in frame order."""
     f = F.col("frame_original")
-    cut = [F.floor((f + m) / BLOCK_FRAMES) for m in (-MARGIN_FRAMES, 0, MARGIN_FRAMES)]
+    cut = [F.greatest(F.floor((f + m) / BLOCK_FRAMES), F.lit(0)) for m in (-MARGIN_FRAMES, 0, MARGIN_FRAMES)]
     cols = [F.col(c).cast("double").alias(c) for c in SIDES]
     laid = rows.select("row_id", "tracking_path", "tracker_id", f.cast("bigint").alias("frame_original"), *cols).withColumn("block", F.explode(F.when(f.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.array_distinct(F.array(*cut)))))
     laid = laid.withColumn("own", F.coalesce(F.col("block") == cut[1], F.lit(True)))
