@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameledger.llm import mixing, tokenize
+from frameledger.llm import encoding, mixing, tokenize
 from frameledger.session import table
 
 
@@ -22,5 +22,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents"), restore=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {}
