@@ -28,8 +28,8 @@ def segments_sampled(segments: Column, frames: Column) -> Column:
 def align_tracking(samples: DataFrame, tracking: DataFrame) -> DataFrame:
     """sample_id, frame_sampled, frame_original, bbox_mot (normalized): the readings on the sampled frames.
 
-    ``samples``: sample_id, tracking_path, sampled_frames_original, width, height and optionally ``valid``
-    (closed interval to keep). ``tracking``: tracking_path, frame_original, box sides and ``ord``; of several
+    ``samples`` (of the written prepared table): sample_id, tracking_path, sampled_frames_original, width,
+    height and ``valid`` (closed interval to keep, or null). ``tracking``: tracking_path, frame_original, box sides and ``ord``; of several
     readings of a frame the last counts. An equi-join on (path, frame), so a video with a tenth of all rows
     is spread over its frames."""
     box = F.array("box_left", "box_top", "box_width", "box_height")

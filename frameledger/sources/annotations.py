@@ -27,19 +27,22 @@ def annotation_files(spark: SparkSession, root: str) -> DataFrame:
 
 def annotation_documents(spark: SparkSession, root: str) -> DataFrame:
     """One row per annotation document: video_key, the typed document, and ``broken`` if it does not parse."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    keyed = raw.withColumn("stem", F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), r"\.json$", ""))
-    doc = F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    files = annotation_files(spark, root).select(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), r"\.json$", "").alias("stem"), "video_key")
-    return keyed.withColumn("doc", doc).join(files, "stem").select("video_key", "path", "doc.*").withColumnRenamed("_broken", "broken")
+    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/*", "/"), r"\.json$", "")
+    keyed = docs.withColumns({"path": F.col("_metadata.file_path"), "stem": stem(F.col("_metadata.file_path"))})
+    files = annotation_files(spark, root).select(stem(F.col("path")).alias("stem"), "video_key")
+    # the text of a broken document; a document without any content counts as broken too
+    broken = F.when(F.col("_broken").isNotNull() | (F.col("video_metadata").isNull() & F.col("annotations").isNull()), F.coalesce("_broken", F.lit("")))
+    return keyed.join(files, "stem").withColumn("broken", broken).drop("stem", "_broken")
 
 
 def explode_annotations(documents: DataFrame) -> DataFrame:
     """One row per annotation with its video's metadata and sample_id; order in the file is kept in ``seq``."""
-    flat = documents.where(F.col("broken").isNull()).select("video_key", "video_metadata", F.posexplode("annotations").alias("seq", "a"))
+    meta = F.col("video_metadata")
+    flat = documents.where(F.col("broken").isNull()).select("video_key", meta["fps"].alias("fps"), meta["total_frames"].alias("total_frames"), meta["resolution"].alias("resolution"), F.posexplode("annotations").alias("seq", "a"))
     a = F.col("a")
     named = {"annotation_id": "annotation_id", "task_level": "task_L1", "task_name": "task_L2", "timestamp_frame": "timestamp_frame", "q_window_frame": "Q_window_frame", "a_window_frame": "A_window_frame", "question": "question", "query": "query", "answer": "answer", "bounding_box": "bounding_box", "tracking_bboxes": "tracking_bboxes", "upstream_annotation_id": "upstream_annotation_id"}
-    out = flat.select("video_key", "seq", F.col("video_metadata.fps").alias("fps"), F.col("video_metadata.total_frames").alias("total_frames"), F.coalesce(F.col("video_metadata.resolution"), F.array(F.lit(0), F.lit(0))).alias("resolution"), *[a[s].alias(t) for t, s in named.items()])
+    out = flat.select("video_key", "seq", "fps", "total_frames", F.coalesce(F.col("resolution"), F.array(F.lit(0), F.lit(0))).alias("resolution"), *[a[s].alias(t) for t, s in named.items()])
     return out.withColumn("sample_id", F.concat("video_key", F.lit("#"), F.coalesce("annotation_id", F.lit("<missing>"))))
 
 
