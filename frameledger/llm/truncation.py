@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameledger.session import ensure_checkpoint_dir, first_delivery
+
 #: A length is a spike from SPIKE_TIMES its neighbours' mean plus SPIKE_LEAST values on, if no more than
 #: TAIL_SHARE of its own number is longer. Neighbours are the lengths up to NEAR away.
 SPIKE_TIMES, SPIKE_LEAST, TAIL_SHARE, NEAR = 5.0, 5, 0.2, 15
@@ -106,8 +108,6 @@ def end_of(text: str) -> tuple[int, str, str]:
 
 def value_table(records: DataFrame, key: str, source: str, fields: list[str], arrived: str) -> DataFrame:
     """``record_id, source, field, text``: the non-null values of the fields, each record once."""
-    from frameledger.session import first_delivery
-
     once = first_delivery(records.select(key, source, *fields, arrived), key, arrived)
     stacked = ", ".join(f"'{f}', `{f}`" for f in fields)
     values = once.select(F.col(key).alias("record_id"), F.col(source).alias("source"), F.expr(f"stack({len(fields)}, {stacked}) as (field, text)"), F.col(fields[0]).alias("__first"))
@@ -218,17 +218,20 @@ def judged(values: DataFrame) -> DataFrame:
     it ends open, or if it ends bare on words that do not end sentences and on no line that is common.
     Null values have no row; empty ones are whole. Long values are judged whole.
     """
-    p = profile(values)
+    ensure_checkpoint_dir(values.sparkSession)
+    p = profile(values).checkpoint()  # a few numbers per value, read by the histograms and the verdicts
     spikes = length_spikes(p)
     at = lambda m: F.broadcast(spikes.where(F.col("measure") == m).select("source", "field", F.col("length").alias(f"n_{m}"), F.lit(True).alias(f"limit_{m}")))
     # a source and field have a handful of spikes at most: lengths with few longer ones
     p = p.join(at("chars"), ["source", "field", "n_chars"], "left").join(at("bytes"), ["source", "field", "n_bytes"], "left")
     p = p.withColumn("at_limit", F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False)))
     bare = p.where(F.col("ending") == BARE)
-    asked = bare.select(F.explode(F.array_compact(F.array("k_tail", "k_line", "k_value"))).alias("key")).distinct()
-    known = corpus_ends(values).join(asked, "key", "left_semi")
-    for k in ("tail", "line", "value"):
-        bare = bare.join(known.select(F.col("key").alias(f"k_{k}"), F.col("n").alias(f"{k}_n"), F.col("e").alias(f"{k}_e")), f"k_{k}", "left")
+    # one pass over the corpus answers all three questions of a bare end
+    kinds = ("tail", "line", "value")
+    asked = bare.select("record_id", "field", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("key")) for k in kinds])).alias("q")).select("record_id", "field", "q.*")
+    told = asked.where("key is not null").join(corpus_ends(values), "key")
+    told = told.groupBy("record_id", "field").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in kinds for c in ("n", "e")])
+    bare = bare.join(told, ["record_id", "field"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ends = (zero("tail_e") + 0.1) / (zero("tail_n") + 1.0) >= END_SHARE
     common = (zero("line_n") >= SHARED) & (zero("line_e") <= 2 * zero("line_n"))
