@@ -342,11 +342,14 @@ def flag_tracking_rows(rows: DataFrame) -> DataFrame:
     # too many sources to ship: fit where the histograms are, join the few numbers of each to its rows
     fit_type = "struct<phi:array<double>,unit:array<double>,hold:bigint>"
 
+    doubles = pa.list_(pa.float64())
+    fit_schema = pa.schema([("tracker_id", pa.string()), ("fit", pa.struct([("phi", doubles), ("unit", doubles), ("hold", pa.int64())]))])
+
     def fit_rows(batches):
         for b in batches:
             for r in b.to_pylist():
                 phi, unit, hold = _fit(_dense(r["h"]))
-                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": {"phi": phi, "unit": unit, "hold": hold}}])
+                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": {"phi": phi, "unit": unit, "hold": hold}}], schema=fit_schema)
 
     fits = packed.mapInArrow(fit_rows, f"tracker_id string, fit {fit_type}")
     joined = _by_track(rows).alias("r").join(fits.alias("f"), F.col("r.tracker_id").eqNullSafe(F.col("f.tracker_id")), "left").select("r.*", "f.fit")
