@@ -19,10 +19,11 @@ def box_iou_sides(p: list[Column], g: list[Column]) -> Column:
     def extent(low, high):
         return F.greatest(high - low, zero)
 
+    # each side is used as seldom as can be: the expression tree is what is compiled
     inter = extent(F.greatest(p[0], g[0]), F.least(p[2], g[2])) * extent(F.greatest(p[1], g[1]), F.least(p[3], g[3]))
     union = extent(p[0], p[2]) * extent(p[1], p[3]) + extent(g[0], g[2]) * extent(g[1], g[3]) - inter
-    known = p[0].isNotNull() & p[1].isNotNull() & p[2].isNotNull() & p[3].isNotNull() & g[0].isNotNull() & g[1].isNotNull() & g[2].isNotNull() & g[3].isNotNull()
-    return F.when(known, F.when(union > 0, inter / F.when(union > 0, union)).otherwise(0.0))
+    known = sum(p[1:] + g, p[0]).isNotNull()
+    return F.when(known, F.coalesce(F.try_divide(inter, union), zero))
 
 
 def box_iou(p: Column, g: Column) -> Column:

@@ -15,8 +15,8 @@ def uniform(start: Column, end: Column, budget: int) -> Column:
     """``budget`` frames spread over the closed interval, rounded half to even, without repeats."""
     if budget <= 1:
         return F.array(start)
-    step = lambda k: F.greatest(start, F.least(end, F.rint(start + (k / (budget - 1)) * (end - start)).cast("bigint")))
-    many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(budget - 1)), step))
+    shares = F.array(*[F.lit(k / (budget - 1)) for k in range(budget)])  # a constant, folded once
+    many = F.array_distinct(F.transform(shares, lambda k: F.greatest(start, F.least(end, F.rint(start + k * (end - start)).cast("bigint")))))
     return F.when(start == end, F.array(start)).otherwise(many)
 
 

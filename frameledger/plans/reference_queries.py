@@ -159,7 +159,7 @@ def _sql_uniform(s: str, e: str, budget: int) -> str:
 def _uniform(spark, d, budget: int) -> DataFrame:
     s = F.col("o_orderkey") % 1000
     f = sampling.uniform(s, s + F.col("o_custkey") % 700, budget)
-    return table(spark, d, "orders").select("o_orderkey", F.array_sort(f).alias("frames"))
+    return table(spark, d, "orders").select("o_orderkey", f.alias("frames"))
 
 
 def _uniform_sql(budget: int) -> str:
