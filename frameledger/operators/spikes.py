@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameledger.session import ensure_checkpoint_dir
+
 SIDES = ["box_left", "box_top", "box_width", "box_height"]
 PHIS = np.array([0.0, 0.25, 0.5, 0.75, 1.0])
 #: A spike's rows at most, and its least distance from the course in units of the source's normal movement.
@@ -318,10 +320,22 @@ def flag_tracking_rows(rows: DataFrame) -> DataFrame:
     one track of their own, a null tracker is a source of its own. A row delivered twice counts once. Ties
     in frame keep row_id order. An empty table gives an empty result; further columns are not read.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
     laid = _by_track(rows)
     hist = source_histograms(laid)
     packed = hist.groupBy("tracker_id").agg(F.collect_list(F.struct("side", "kind", "bin", "n")).alias("h"))
-    fitted = packed.limit(SHIPPED_SOURCES + 1).collect()
+    doubles = pa.list_(pa.float64())
+    fit_schema = pa.schema([("tracker_id", pa.string()), ("fit", pa.struct([("phi", doubles), ("unit", doubles), ("hold", pa.int64())]))])
+
+    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                phi, unit, hold = _fit(_dense(r["h"]))
+                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": {"phi": phi, "unit": unit, "hold": hold}}], schema=fit_schema)
+
+    # fitted where the histograms are; nine numbers a source leave the workers
+    fits = packed.mapInArrow(fit_rows, "tracker_id string, fit struct<phi:array<double>,unit:array<double>,hold:bigint>").checkpoint()
+    fitted = fits.limit(SHIPPED_SOURCES + 1).collect()
     schema = pa.schema([("row_id", pa.int64()), ("kind", pa.string())])
     names = pa.array([None, "impossible", "stuck", "spike"])
 
@@ -331,27 +345,15 @@ def flag_tracking_rows(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(t.row_id[hit]), names.take(pa.array(kind[hit]))], schema=schema)
 
     if len(fitted) <= SHIPPED_SOURCES:
-        fits = {r["tracker_id"]: _fit(_dense(r["h"])) for r in fitted}
+        known = {r["tracker_id"]: (r["fit"]["phi"], r["fit"]["unit"], r["fit"]["hold"]) for r in fitted}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _whole_groups(batches):
-                yield emit(t, fits)
+                yield emit(t, known)
 
         return laid.mapInArrow(run, "row_id bigint, kind string")
 
-    # too many sources to ship: fit where the histograms are, join the few numbers of each to its rows
-    fit_type = "struct<phi:array<double>,unit:array<double>,hold:bigint>"
-
-    doubles = pa.list_(pa.float64())
-    fit_schema = pa.schema([("tracker_id", pa.string()), ("fit", pa.struct([("phi", doubles), ("unit", doubles), ("hold", pa.int64())]))])
-
-    def fit_rows(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                phi, unit, hold = _fit(_dense(r["h"]))
-                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": {"phi": phi, "unit": unit, "hold": hold}}], schema=fit_schema)
-
-    fits = packed.mapInArrow(fit_rows, f"tracker_id string, fit {fit_type}")
+    # too many sources to ship: the few numbers of each are joined to its rows
     joined = _by_track(rows).alias("r").join(fits.alias("f"), F.col("r.tracker_id").eqNullSafe(F.col("f.tracker_id")), "left").select("r.*", "f.fit")
     joined = joined.repartition("tracking_path", "block").sortWithinPartitions("tracking_path", "block", "frame_original", "row_id")
 
