@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Where the public vocabulary files lie; a parameter of every function that reads them.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Code points handled at once, and distinct words a worker remembers before it starts anew.
-WINDOW, REMEMBERED = 4_000_000, 1_500_000
+#: Code points handled at once, distinct words a worker remembers before it starts anew, and bytes of new
+#: words replayed at once: they bound a worker's memory and change no result.
+WINDOW, REMEMBERED, REPLAYED = 1_500_000, 800_000, 1_200_000
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 
 _CLASS: np.ndarray | None = None
@@ -118,7 +119,7 @@ class MergeReplay:
 
     def __init__(self, vocabulary: bytes):
         ranks = read_ranks(vocabulary)
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -134,7 +135,7 @@ class MergeReplay:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where it is no token."""
-        key = np.where((a >= 0) & (b >= 0), a << 20 | b, -1)
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << 20 | b, -1)
         at = np.searchsorted(self.key, key)
         return np.where(self.key[at] == key, self.rank[at], -1)
 
@@ -147,9 +148,9 @@ class MergeReplay:
         n_words = len(length)
         place = np.arange(len(raw)) + np.repeat(np.arange(1, n_words + 1), length)
         n = len(raw) + n_words + 1
-        symbol = np.full(n, -1, np.int64)
+        symbol = np.full(n, -1, np.int32)
         symbol[place] = self.byte[raw]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: dict[int, list] = {}
 
         def enter(rank: np.ndarray, at: np.ndarray) -> None:
@@ -266,9 +267,16 @@ class Encoder:
         edge = np.append(0, np.cumsum(length))
         upto = np.append(0, np.cumsum(size))
         raw = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
-        flat, sizes = self.replay.encode(raw, upto[edge[1:]] - upto[edge[:-1]])
-        self.flat = np.concatenate([self.flat, flat])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        length = upto[edge[1:]] - upto[edge[:-1]]
+        stops = np.cumsum(length)
+        parts, sizes, a = [], [], 0
+        while a < len(length):  # so many bytes of words at once
+            b = max(a + 1, int(np.searchsorted(stops, (stops[a - 1] if a else 0) + REPLAYED, side="right")))
+            flat, size = self.replay.encode(raw[stops[a] - length[a] : stops[b - 1]], length[a:b])
+            parts.append(flat), sizes.append(size)
+            a = b
+        self.flat = np.concatenate([self.flat, *parts])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))])
 
     def batch(self, texts: pa.Array, only_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the texts (0 for null and empty ones), and all ids in order."""
