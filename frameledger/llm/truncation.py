@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +24,17 @@ from frameledger.session import ensure_checkpoint_dir, first_delivery
 SPIKE_TIMES, SPIKE_LEAST, TAIL_SHARE, NEAR = 5.0, 5, 0.2, 15
 #: An unpunctuated end is whole if its last words end a sentence in this share of their occurrences.
 END_SHARE = 0.3
-#: A last line (or value) without punctuation is whole if so many values share it.
-SHARED = 3
+#: A last line (or value) without punctuation is whole if SHARED values at least have it (less is no evidence),
+#: and if they are SHARED_PART of themselves and the longer ones that begin so: a share, whatever the number of rows.
+#: Cuts fall anywhere, so few of them on one place; of whole answers that sentences also begin with there are more.
+SHARED, SHARED_PART = 3, 0.01
 LINE_CHARS = 60
 
 TERMINAL = re.compile(r"""[.!?。！？؟।][)\]}"'»”’*_`\s]*$""")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _TOKEN = re.compile(r"[⺀-鿿]|[^\s⺀-鿿.!?。！？,，;；:]+|[.!?。！？]|\n|[,，;；:]")
+_AFTER_NUMBER = re.compile(r"(?<=9)[.,:]$")  # of a masked text: a number may go on behind it
 _STOP = set(".!?。！？\n")
 #: End classes: punctuated or closed, bare, open.
 CLOSED, BARE, OPEN = 0, 1, 2
@@ -117,20 +121,22 @@ def value_table(records: DataFrame, key: str, source: str, fields: list[str], ar
     return values.where(F.col("text").isNotNull()).drop("__first")
 
 
-_PROFILE = "record_id bigint, source string, field string, handed_on boolean, n_chars int, n_bytes int, ending tinyint, terminal boolean, k_tail bigint, k_line bigint, k_value bigint"
+_PROFILE = "record_id bigint, source string, field string, handed_on boolean, n_chars int, n_bytes int, ending tinyint, terminal boolean, k_tail bigint, k_line bigint, k_value bigint, line string, value string"
 
 
 def profile(values: DataFrame) -> DataFrame:
     """Lengths and end class of every value, and the keys by which the corpus is asked about bare ends."""
-    schema = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("handed_on", pa.bool_()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("ending", pa.int8()), ("terminal", pa.bool_()), ("k_tail", pa.int64()), ("k_line", pa.int64()), ("k_value", pa.int64())])
+    schema = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("handed_on", pa.bool_()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("ending", pa.int8()), ("terminal", pa.bool_()), ("k_tail", pa.int64()), ("k_line", pa.int64()), ("k_value", pa.int64()), ("line", pa.string()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in b.column("text").to_pylist():
                 kind, tail, line = end_of(text)
                 bare = kind == BARE
-                row = (len(text), len(text.encode("utf-8", "surrogatepass")), kind, bool(TERMINAL.search(text.rstrip())), _key("t", tail) if bare else None, _key("l", line) if bare and len(line) <= LINE_CHARS else None, _key("v", _mask(text.strip())) if bare and len(text) <= LINE_CHARS else None)
+                row = (len(text), len(text.encode("utf-8", "surrogatepass")), kind, bool(TERMINAL.search(text.rstrip())), _key("t", tail) if bare else None)
+                line, value = line if bare and len(line) <= LINE_CHARS else None, _mask(text.strip()) if bare and len(text) <= LINE_CHARS else None
+                row += (None if line is None else _key("l", line), None if value is None else _key("v", value), line and _AFTER_NUMBER.sub("", line), value and _AFTER_NUMBER.sub("", value))
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("record_id").cast(pa.int64()), b.column("source"), b.column("field"), b.column("handed_on"), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[4:])]], schema=schema)
@@ -138,9 +144,16 @@ def profile(values: DataFrame) -> DataFrame:
     return values.select("record_id", "source", "field", "handed_on", "text").mapInArrow(run, _PROFILE)
 
 
+def _prose(text: str) -> str:
+    """The text; of a structure the texts inside it, whose words end where their strings end."""
+    if _open_json(text) is not None and text.lstrip()[:1] in "{[`":
+        return "\n".join(m[1:-1].replace("\\n", "\n").replace('\\"', '"') for m in _STRING.findall(text) if " " in m or "⺀" <= m[1:2] <= "鿿")
+    return text
+
+
 def corpus_ends(values: DataFrame) -> DataFrame:
     """``key, n, e`` over all values: of tail contexts the occurrences and those that end a sentence; of last
-    lines the values that end on them and the lines that only begin with them; of short values their number.
+    lines the values that end on them; of short values their number.
 
     Counted per batch before the shuffle, so frequent words cost one row per batch."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("e", pa.int64())])
@@ -150,7 +163,6 @@ def corpus_ends(values: DataFrame) -> DataFrame:
             seen: Counter = Counter()
             ends: Counter = Counter()
             lines: Counter = Counter()
-            heads: Counter = Counter()
             values_: Counter = Counter()
             for text in b.column("text").to_pylist():
                 final = _last_sentence(text)
@@ -158,10 +170,7 @@ def corpus_ends(values: DataFrame) -> DataFrame:
                     lines[final] += 1
                 if len(text) <= LINE_CHARS:
                     values_[_mask(text.strip())] += 1
-                if _open_json(text) is not None and text.lstrip()[:1] in "{[`":
-                    # words of the texts inside a structure end where their strings end
-                    text = "\n".join(m[1:-1].replace("\\n", "\n").replace('\\"', '"') for m in _STRING.findall(text) if " " in m or "⺀" <= m[1:2] <= "鿿")
-                s = text.strip()
+                s = _prose(text).strip()
                 if not s:
                     continue
                 toks = [t for t in tokens(s) if t not in ",，;；:"]
@@ -177,20 +186,11 @@ def corpus_ends(values: DataFrame) -> DataFrame:
                     seen[k] += 1
                     if toks[i + 1] in _STOP:
                         ends[k] += 1
-                for sentence in _SENTENCE.split(s):
-                    m = _mask(sentence.strip())
-                    words = m.split(" ", 8)
-                    for w in range(1, min(len(words), 8)):
-                        heads[" ".join(words[:w])] += 1
-                    for c in range(1, min(len(words[0]), 16)):
-                        heads[words[0][:c]] += 1
             keys, n, e = [], [], []
             for k, c in seen.items():
                 keys.append(_key("t", k)), n.append(c), e.append(ends[k])
             for k, c in lines.items():
                 keys.append(_key("l", k)), n.append(c), e.append(0)
-            for k, c in heads.items():
-                keys.append(_key("l", k)), n.append(0), e.append(c)
             for k, c in values_.items():
                 keys.append(_key("v", k)), n.append(c), e.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(e, pa.int64())], schema=schema)
@@ -198,6 +198,54 @@ def corpus_ends(values: DataFrame) -> DataFrame:
     return values.select("text").mapInArrow(run, "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
+def _head(kind: str, s: str) -> bytes:
+    """What a sentence or value begins with; a full stop alone does not make it longer than a bare one."""
+    return (kind + _AFTER_NUMBER.sub("", _mask(s.strip()).rstrip(".!?。！？؟।"))[: LINE_CHARS + 1]).encode("utf-8", "surrogatepass")
+
+
+def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """``kind, begin, longer``: of the asked begins the sentences (kind ``l``) or values (``v``) of the whole corpus
+    that begin with them and go on, at whatever character.
+
+    Distinct heads and two probes per begin are sorted over the cluster; a begin's number is the difference of
+    the running sums at its probes. Nothing is broadcast but one sum per partition."""
+    schema = pa.schema([("at", pa.binary()), ("n", pa.int64())])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text in b.column("text").to_pylist():
+                seen[_head("v", text)] += 1
+                for sentence in _SENTENCE.split(_prose(text).strip()):
+                    seen[_head("l", sentence)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, part, upto = ["part", "begin", "sum"], TaskContext.get().partitionId(), 0
+        as_batch = lambda begin, n: pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(begin, pa.binary()), pa.array(n, pa.int64())], names=names)
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for n, begin, sign in zip(*(b.column(c).to_pylist() for c in ("n", "begin", "sign"))):
+                if begin is None:
+                    upto += n
+                else:
+                    out[0].append(begin), out[1].append((sign, upto))
+            yield pa.RecordBatch.from_arrays([*as_batch(out[0], [u for _, u in out[1]]).columns, pa.array([s for s, _ in out[1]], pa.int32())], names=[*names, "sign"])
+        yield pa.RecordBatch.from_arrays([*as_batch([None], [upto]).columns, pa.array([0], pa.int32())], names=[*names, "sign"])
+
+    table = values.select("text").mapInArrow(heads, "at binary, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    begin = asked.select(F.concat(F.encode("kind", "UTF-8"), F.encode("begin", "UTF-8")).alias("begin"))
+    probe = lambda end, sign: begin.select(F.concat("begin", F.unhex(F.lit(end))).alias("at"), F.lit(0).cast("bigint").alias("n"), "begin", F.lit(sign).alias("sign"))
+    rows = table.select("at", "n", F.lit(None).cast("binary").alias("begin"), F.lit(0).alias("sign")).unionByName(probe("00", -1)).unionByName(probe("FF", 1))
+    # probes stand before heads that equal them; partitions keep the order of their ranges
+    told = rows.repartitionByRange("at").sortWithinPartitions("at", F.col("begin").isNull()).mapInArrow(sums, "part int, begin binary, sum bigint, sign int").checkpoint()
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = told.where("begin is null").select("part", F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("before"))  # a row per partition
+    found = told.where("begin is not null").join(F.broadcast(before), "part").groupBy("begin").agg(F.sum(F.col("sign") * (F.col("sum") + F.col("before"))).alias("longer"))
+    text = F.decode("begin", "UTF-8")
+    return found.select(F.substring(text, 1, 1).alias("kind"), text.substr(F.lit(2), F.length(text)).alias("begin"), "longer")
+
+
 def length_spikes(profiled: DataFrame) -> DataFrame:
     """``source, field, measure, length`` of the spikes at the upper end of the length histograms."""
     stacked = F.expr("stack(2, 'chars', n_chars, 'bytes', n_bytes) as (measure, length)")
@@ -231,11 +279,16 @@ def judged(values: DataFrame) -> DataFrame:
     asked = bare.select("record_id", "field", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("key")) for k in kinds])).alias("q")).select("record_id", "field", "q.*")
     told = asked.where("key is not null").join(corpus_ends(values), "key")
     told = told.groupBy("record_id", "field").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in kinds for c in ("n", "e")])
-    bare = bare.join(told, ["record_id", "field"], "left")
+    bare = bare.join(told, ["record_id", "field"], "left").checkpoint()  # read by the questions about longer lines, and by the verdicts
+    enough = {"line": "l", "value": "v"}
+    begins = [bare.where(F.col(f"{k}_n") >= SHARED).select(F.lit(kind).alias("kind"), F.col(k).alias("begin")) for k, kind in enough.items()]
+    more = longer(values, begins[0].unionByName(begins[1]).distinct())
+    for k, kind in enough.items():
+        bare = bare.join(more.where(F.col("kind") == kind).select(F.col("begin").alias(k), F.col("longer").alias(f"{k}_longer")), k, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ends = (zero("tail_e") + 0.1) / (zero("tail_n") + 1.0) >= END_SHARE
-    common = (zero("line_n") >= SHARED) & (zero("line_e") <= 2 * zero("line_n"))
-    bare = bare.withColumn("whole_end", ends | common | (zero("value_n") >= SHARED))
+    common = lambda k: (zero(f"{k}_n") >= SHARED) & (zero(f"{k}_n") >= SHARED_PART * (zero(f"{k}_n") + zero(f"{k}_longer")))
+    bare = bare.withColumn("whole_end", ends | common("line") | common("value"))
     rest = p.where(F.col("ending") != BARE).withColumn("whole_end", F.col("ending") == CLOSED)
     cols = ["record_id", "source", "field", "handed_on", "n_chars", "at_limit", "ending", "terminal", "whole_end"]
     both = bare.select(*cols).unionByName(rest.select(*cols))
