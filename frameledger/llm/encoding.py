@@ -1,29 +1,37 @@
 """Text garbled by a wrong character encoding: finding the spans, and restoring them where possible.
 
 For every pair (encoding the bytes were in, encoding they were read as) the garbled sequences are computed
-beforehand: of the signs of UTF-8 read as a one-byte encoding, and of the corpus' own words in one one-byte
-encoding read as another. One multi-pattern automaton finds them all; only matched spans are replaced.
+beforehand: of the signs of UTF-8 read as a one-byte encoding, found by one multi-pattern automaton, and of the
+corpus' own words in one one-byte encoding read as another. The words are a distributed table of any size; their
+garbled forms are made on the workers and joined with what the texts hold. Only matched spans are replaced.
 """
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameledger.session import ensure_checkpoint_dir
+
 #: Encodings that UTF-8 is mistaken for.
 WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8-r", "cp866"]
 #: Wrong encodings whose garbled pairs of signs also occur in sound text; they need company.
 NEEDS_COMPANY = {"cp1251", "koi8-r", "cp866"}
 LATIN_TRUE, LATIN_READ = ["cp1252", "cp1250", "iso8859-2", "mac_roman", "cp850"], ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8-r", "cp866"]
 CYRILLIC_TRUE, CYRILLIC_READ = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"], ["cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "koi8-r", "cp866"]
-#: Words learned from the corpus: those of at least MIN_DOCS texts, the VOCABULARY most frequent of them
-#: (the bound of what is broadcast; spans of other words are found by the sequence and run rules).
-VOCABULARY, MIN_DOCS = 10_000, 3
+#: Words learned from the corpus: those of at least MIN_DOCS texts.
+MIN_DOCS = 3
+#: So many garbled words, as the texts really hold, are broadcast at most; beyond, they are joined to the texts.
+SHARED_FORMS = 20_000
+#: Texts garbled several times are restored so often.
+ROUNDS = 3
 #: A garbled word counts if the sound word occurs in so many times more texts.
 FREQUENCY_RATIO = 4
 #: Pieces of a text that hold a sign beyond ASCII: with the signs that cling to a word, and the bare words.
@@ -95,34 +103,41 @@ def patterns(vocabulary: dict[str, int]) -> dict[str, tuple[int, str | None]]:
             out.setdefault(chr(b), (STRONG, bytes([b]).decode("cp1252")))
         except UnicodeDecodeError:
             out.setdefault(chr(b), (STRONG, None))
-    rarest = FREQUENCY_RATIO * min(vocabulary.values(), default=0) if len(vocabulary) >= VOCABULARY else 0
     for word, n in vocabulary.items():
-        if not word.isalpha() or _TWICE.search(word) or n < rarest:
-            continue  # no word, garbled itself, or too rare to know that its garbled form is rarer
-        if _latin(word):
-            pairs = [(t, r) for t in LATIN_TRUE for r in LATIN_READ if t != r]
-        elif _cyrillic(word):
-            pairs = [(t, r) for t in CYRILLIC_TRUE for r in CYRILLIC_READ if t != r]
-        else:
-            continue
-        for true, read in pairs:
-            try:
-                g = _read_as(word.encode(true), read)
-            except UnicodeEncodeError:
+        for g, home in word_forms(word, n):
+            if any(vocabulary.get(x, 0) * FREQUENCY_RATIO > n for x in home):
                 continue
-            if len(word) < 3 and (n < 5 * MIN_DOCS or not _FOREIGN.search(g)):
-                continue  # too short to tell, unless it holds a sign no Latin text has inside a word
-            if g == word or g.isascii() or any(ch.isspace() for ch in g) or vocabulary.get(g, 0) * FREQUENCY_RATIO > n:
-                continue
-            parts = re.findall(r"[^\W\d_]+", g)
-            if g.casefold() == word.casefold() or any(vocabulary.get(x, 0) * FREQUENCY_RATIO > n for p in parts for x in (p, p.casefold())):
-                continue  # made of words that are at home here
             old = out.get(g)
             if old is None or (old[0] == WORDS and vocabulary.get(old[1], 0) < n):
                 out[g] = (WORDS, word)
     return out
 
 
+def word_forms(word: str, n: int) -> Iterator[tuple[str, list[str]]]:
+    """The garbled forms of a word that n texts hold; each with the pieces it is made of, itself among them,
+    none of which may be at home in the corpus."""
+    if not word.isalpha() or _TWICE.search(word):
+        return  # no word, or garbled itself
+    if _latin(word):
+        pairs = [(t, r) for t in LATIN_TRUE for r in LATIN_READ if t != r]
+    elif _cyrillic(word):
+        pairs = [(t, r) for t in CYRILLIC_TRUE for r in CYRILLIC_READ if t != r]
+    else:
+        return
+    made = set()
+    for true, read in pairs:
+        try:
+            g = _read_as(word.encode(true), read)
+        except UnicodeEncodeError:
+            continue
+        if g in made or g.casefold() == word.casefold() or g.isascii() or any(ch.isspace() for ch in g):
+            continue
+        if len(word) < 3 and (n < 5 * MIN_DOCS or not _FOREIGN.search(g)):
+            continue  # too short to tell, unless it holds a sign no Latin text has inside a word
+        made.add(g)
+        yield g, list({g, *(x for p in re.findall(r"[^\W\d_]+", g) for x in (p, p.casefold()) if not x.isascii())})
+
+
 _RUN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{4,}")
 _LETTERS = re.compile("[À-ÿ]")
 
@@ -156,27 +171,41 @@ def _run_text(run: str) -> str | None:
     return (cyr or found[::-1])[0]
 
 
+def _free(left: str, right: str) -> bool:
+    """Whether a word may stand between these signs."""
+    if left.isalnum() or right.isalnum():
+        return False
+    return not (ord(left) > 0x2FF and not left.isspace() and unicodedata.category(left)[0] != "P" or (ord(right) > 0x2FF and unicodedata.category(right)[0] != "P"))
+
+
 class Finder:
-    """The automaton and the rules of one worker."""
+    """The automaton and the rules of one worker; with a small vocabulary also its garbled words."""
 
     def __init__(self, vocabulary: dict[str, int]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for g, (strength, sound) in patterns(vocabulary).items():
+        self.patterns = patterns(vocabulary)
+        for g, (strength, sound) in self.patterns.items():
             self.automaton.add_word(g, (len(g), strength, sound))
         self.automaton.make_automaton()
 
-    def spans(self, text: str) -> tuple[list[tuple[int, int, str | None]], bool]:
-        """Garbled spans (begin, end, sound text or None) from left to right, and whether they are a case."""
+    def spans(self, text: str, words: dict[str, str] | None = None) -> tuple[list[tuple[int, int, str | None]], bool]:
+        """Garbled spans (begin, end, sound text or None) from left to right, and whether they are a case.
+        ``words``: the garbled words the text holds, with the sound ones."""
         hits = []
         n = len(text)
+        free = lambda begin, end: _free(text[begin - 1] if begin else " ", text[end] if end < n else " ")
+        for g, sound in (words or {}).items():
+            at = -1 if g in self.patterns else text.find(g)
+            while at >= 0:
+                if free(at, at + len(g)):
+                    hits.append((at, -len(g), WORDS, sound))
+                at = text.find(g, at + 1)
         for end, (length, strength, sound) in self.automaton.iter(text):
             begin = end + 1 - length
-            if strength == WORDS:
-                left, right = text[begin - 1] if begin else " ", text[end + 1] if end + 1 < n else " "
-                if left.isalnum() or right.isalnum() or ord(left) > 0x2FF and not left.isspace() and unicodedata.category(left)[0] != "P" or (ord(right) > 0x2FF and unicodedata.category(right)[0] != "P"):
-                    continue
+            if strength == WORDS and not free(begin, end + 1):
+                continue
             hits.append((begin, -length, strength, sound))
         for m in _RUN.finditer(text):
             sound = _run_text(m.group())
@@ -213,34 +242,36 @@ class Finder:
         spans = [out[i] for i in keep] + [(p, p + 1, None) for p in lost]
         return sorted(spans, key=lambda s: s[0]), case
 
-    def restore(self, text: str, rounds: int = 3) -> tuple[str, int, bool]:
+    def replaced(self, text: str, words: dict[str, str] | None = None) -> tuple[str, int, bool]:
+        """The text with its garbled spans replaced once, the number of these, and whether it is a case."""
+        spans, case = self.spans(text, words)
+        live = [x for x in spans if case and x[2] is not None]
+        parts, at = [], 0
+        for begin, end, sound in live:
+            parts += [text[at:begin], sound]
+            at = end
+        return "".join(parts) + text[at:], len(live), case
+
+    def restore(self, text: str, rounds: int = ROUNDS) -> tuple[str, int, bool]:
         """The text with its garbled spans replaced (again, where it was garbled twice), the number of
         spans, and whether none was lost for good."""
         count = 0
         for _ in range(rounds):
-            spans, case = self.spans(text)
-            live = [s for s in spans if s[2] is not None]
-            if not case or not live:
+            text, n, _ = self.replaced(text)
+            count += n
+            if not n:
                 break
-            count += len(live)
-            parts, at = [], 0
-            for begin, end, sound in live:
-                parts += [text[at:begin], sound]
-                at = end
-            text = "".join(parts) + text[at:]
         lost = text.count("�")
         return text, count + lost, lost == 0
 
 
-_FINDERS: dict[int, Finder] = {}
+_FINDER: list[Finder] = []
 
 
-def _finder(vocabulary: dict[str, int]) -> Finder:
-    key = hash(tuple(sorted(vocabulary.items())))
-    if key not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[key] = Finder(vocabulary)
-    return _FINDERS[key]
+def _finder() -> Finder:
+    if not _FINDER:
+        _FINDER.append(Finder({}))
+    return _FINDER[0]
 
 
 def pieces(token: str) -> list[str]:
@@ -256,9 +287,31 @@ def pieces(token: str) -> list[str]:
     return [p for p in out if len(p) <= MAX_WORD]
 
 
-def learn_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Words and pieces with a sign beyond ASCII and the number of texts each occurs in, over all texts;
-    the VOCABULARY most frequent of those in at least MIN_DOCS texts (a bounded table on the driver)."""
+def candidates(token: str) -> list[str]:
+    """Whatever in a text without white space may be a garbled word: its stretches of letters and signs, not
+    all ASCII, between which and their neighbours a word may end."""
+    out = []
+    for p in _PIECE.findall(token):
+        if p.isascii():
+            continue
+        if p.isalnum():
+            if len(p) <= MAX_WORD:
+                out.append(p)
+            continue
+        ends = [j for j in range(1, len(p) + 1) if j == len(p) or _free(" ", p[j])]
+        for i in range(len(p)):
+            if i == 0 or _free(p[i - 1], " "):
+                out += [p[i:j] for j in ends[bisect_right(ends, i) : bisect_right(ends, i + MAX_WORD)] if not p[i:j].isascii()]
+    return out
+
+
+def held(text: str) -> set[str]:
+    return {c for t in set(text.split()) if not t.isascii() for c in candidates(t)}
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n``: words and pieces with a sign beyond ASCII and the number of texts each occurs in, over all
+    texts; those in at least MIN_DOCS texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,9 +324,51 @@ def learn_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
                     words[p] += n
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
-    counted = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text)).mapInArrow(run, "word string, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    return {r["word"]: r["n"] for r in top.collect()}
+    counted = texts.select("text").mapInArrow(run, "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+
+
+def garbled_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``garbled, sound``: of the garbled forms of all counted words those that the texts hold and that are not
+    made of pieces at home in the corpus, each with the most frequent word it may stand for."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = {w for t in b.column(0).to_pylist() for w in t.split() if not w.isascii()}
+            yield pa.RecordBatch.from_arrays([pa.array({c for t in tokens for c in candidates(t)}, pa.string())], names=["garbled"])
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(g, w, n, home) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for g, home in word_forms(w, n)]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())))], names=["garbled", "sound", "n", "home"])
+
+    made = counts.select("word", "n").mapInArrow(forms, "garbled string, sound string, n bigint, home array<string>")
+    met = made.join(texts.select("text").mapInArrow(hold, "garbled string").distinct(), "garbled")
+    at_home = counts.select("word", F.col("n").alias("n_home"))
+    known = met.select("garbled", "sound", "n", F.explode("home").alias("word")).join(at_home, "word", "left")
+    known = known.groupBy("garbled", "sound", "n").agg(F.coalesce(F.max("n_home"), F.lit(0)).alias("n_home")).where(F.col("n_home") * FREQUENCY_RATIO <= F.col("n"))
+    return known.groupBy("garbled").agg(F.min_by("sound", F.struct(-F.col("n"), "sound")).alias("sound"))
+
+
+def _with_words(texts: DataFrame, counts: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``key, text, n_spans, words``, the garbled words each text holds; or, where there are few in all, null
+    for ``words`` and all of them as a broadcast."""
+    found = garbled_words(texts, counts).checkpoint()
+    few = found.limit(SHARED_FORMS + 1).collect()
+    share = texts.sparkSession.sparkContext.broadcast
+    if len(few) <= SHARED_FORMS:
+        return texts.select("key", "text", "n_spans", F.lit(None).cast("map<string,string>").alias("words")), share({r["garbled"]: r["sound"] for r in few})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in held(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "garbled"])
+
+    # texts with the same hash only see each other's words as well
+    asked = texts.select(F.xxhash64("text").alias("id"), "text").mapInArrow(ask, "id bigint, garbled string")
+    told = asked.join(found, "garbled").groupBy("id").agg(F.collect_set(F.struct("garbled", "sound")).alias("words"))
+    return texts.withColumn("id", F.xxhash64("text")).join(told, "id", "left").select("key", "text", "n_spans", F.map_from_entries("words").alias("words")), share({})
 
 
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", restore: bool = False) -> DataFrame:
@@ -282,26 +377,40 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", resto
     Null, empty and pure ASCII texts are never cases. Texts are searched whole, whatever their length; a
     text that is stored again is a case again. Other columns are not read, so their names cannot clash.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(learn_words(docs, text))
+    ensure_checkpoint_dir(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    extra = ", restored string, n_spans int, complete boolean" if restore else ""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(vocabulary.value)
-        for b in batches:
-            hit, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not finder.spans(t)[1]:
-                    continue
-                hit.append(i)
+    picked = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("n_spans"))
+    counts = word_counts(picked).checkpoint()
+
+    def searched(texts: DataFrame, again: bool) -> DataFrame:
+        """The cases among the texts, with ``restore`` after one round of replacements; all texts if ``again``."""
+        texts, shared = _with_words(texts, counts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder, common = _finder(), shared.value
+            for b in batches:
+                hit, rows = [], []
+                for i, (t, n, own) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
+                    words = dict(own) if own else {c: common[c] for c in held(t) if c in common} if common else None
+                    body, now, case = finder.replaced(t, words) if restore else (None, 0, finder.spans(t, words)[1])
+                    if case or again:
+                        hit.append(i)
+                        rows.append((body, n + now, now > 0))
+                arrays = [b.column(0).take(pa.array(hit, pa.int64()))]
                 if restore:
-                    rows.append(finder.restore(t))
-            arrays = [b.column(0).take(pa.array(hit, pa.int64()))]
-            names = ["key"]
-            if restore:
-                arrays += [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())]
-                names += ["restored", "n_spans", "complete"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    picked = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"key {kind}{extra}").withColumnRenamed("key", key)
+                    arrays += [pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.int32(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text", "n_spans", "live"][: len(arrays)])
+
+        return texts.mapInArrow(run, f"key {kind}" + (", text string, n_spans int, live boolean" if restore else ""))
+
+    rows = searched(picked, False)
+    if restore:
+        for _ in range(ROUNDS - 1):
+            rows = rows.checkpoint()
+            live = rows.where("live")
+            if live.isEmpty():
+                break
+            rows = rows.where("not live").unionByName(searched(live.drop("live"), True))
+        lost = F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))
+        rows = rows.select("key", F.col("text").alias("restored"), (F.col("n_spans") + lost).alias("n_spans"), (lost == 0).alias("complete"))
+    return rows.withColumnRenamed("key", key)

@@ -60,3 +60,20 @@ def test_in_spark(spark):
     fixed = {r["doc_id"]: r["restored"] for r in encoding.find_garbled(df, restore=True).collect()}
     assert fixed[1] == "café time" and fixed[5].endswith("’ end")
     assert encoding.find_garbled(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [20_000, 0])
+def test_words_of_any_vocabulary(spark, monkeypatch, shared):
+    # the garbled word is one of 11,000 that four texts hold, too many for a table of the most frequent
+    monkeypatch.setattr(encoding, "SHARED_FORMS", shared)
+    letters = "bcdfghklmn"
+    many = ["ü" + "".join(letters[int(x)] for x in f"{i:05d}") for i in range(11_000)]
+    common = " ".join([*many, "zaliczkę"])
+    once, other = garble("zaliczkę", "cp1250", "cp1252"), garble(many[5_000], "cp1252", "cp437")
+    twice = garble(once, "utf-8", "cp1252")
+    rows = [(i, common) for i in range(4)] + [(10, f"x ({once}) y"), (10, f"x ({once}) y"), (11, other), (12, f"«{twice}»"), (13, "fin é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in encoding.find_garbled(df).collect()) == [10, 10, 11, 12]
+    fixed = sorted((r["doc_id"], r["restored"], r["n_spans"], r["complete"]) for r in encoding.find_garbled(df, restore=True).collect())
+    n = fixed[-1][2]
+    assert n >= 2 and fixed == [(10, "x (zaliczkę) y", 1, True)] * 2 + [(11, many[5_000], 1, True), (12, "«zaliczkę»", n, True)]
