@@ -42,6 +42,33 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     return nested.kind_table(_bridge(spark, d), "segments", {"start_sampled": "bigint", "end_sampled": "bigint", "text": "string"})
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The whole bridge: each occurrence of an object, of whatever kind, and its parent."""
+    return _bridge(spark, d).drop("scalars")
+
+
+_MENTION = {"frame_sampled": "bigint", "label": "string"}
+_SEGMENT = {"start_sampled": "bigint", "end_sampled": "bigint", "text": "string"}
+#: The flat table of each kind of object; the top level has the kind "". p4_segments is that of "segments".
+KINDS: dict[str, tuple[str, dict[str, str]]] = {
+    "p4_kind_top": ("", {"text": "string", "bbox": "array<double>", "time_window_sampled": "array<bigint>"}),
+    "p4_kind_objects": ("objects", {"label": "string", "bbox": "array<double>"}),
+    "p4_kind_objects_attributes": ("objects.attributes", {"name": "string", "value": "string"}),
+    "p4_kind_segments_mentions": ("segments.mentions", _MENTION),
+    "p4_kind_segments_sampled": ("segments_sampled", _SEGMENT),
+    "p4_kind_segments_sampled_mentions": ("segments_sampled.mentions", _MENTION),
+    "p4_kind_tracking": ("tracking", {"frame_sampled": "bigint", "bbox_mot": "array<double>"}),
+    "p4_kind_tracking_gt_sampled": ("tracking_gt_sampled", {"frame_sampled": "bigint", "frame_original": "bigint", "bbox_mot": "array<double>"}),
+    "p4_kind_notes": ("notes", {"origin": "string"}),
+    "p4_kind_notes_evidence": ("notes.evidence", {"frame_sampled": "bigint"}),
+    "p4_kind_notes_evidence_refs": ("notes.evidence.refs", {"label": "string"}),
+}
+
+
+def _kind(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: nested.kind_table(_bridge(spark, d), kind, columns)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return references.broken_references(table(spark, d, "annotations"), table(spark, d, "tracking_files"), table(spark, d, "prepared_samples"), shuffle_width(spark))
@@ -67,7 +94,7 @@ x as (select r.*, case when p.k is null then 'missing' when p.gone then 'deleted
 """
 _P6_PERIOD = "strftime(loaded at time zone 'UTC', '%Y-%m')"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
 SQL: dict[str, str] = {
     "p6_found": _P6 + f"select source_table, field, row_id, kind, {_P6_PERIOD} as period from x where kind is not null",
     "p6_report": _P6 + f"select source_table, field, kind, {_P6_PERIOD} as period, count(*) as n_rows from x where kind is not null group by all",

@@ -63,3 +63,18 @@ def test_in_spark(spark):
     s = spark.sql("select 1L as record_id, named_struct('objects', array(named_struct('label', 'a'), null, named_struct('label', null))) as payload")
     assert {r["path"] for r in nested.nested_objects(nested.shred(s, "t", "record_id", "payload")).collect()} == {"objects[0]", "objects[2]"}
     assert nested.shred(df.limit(0), "t", "record_id", "payload").count() == 0
+
+
+def test_every_kind_has_its_table(spark, sf):
+    from frameledger.plans import data_queries as q
+
+    links = q.QUERIES["p4_links"](spark, sf).collect()
+    link = ["source_table", "record_id", "path", "parent_path", "parent_id", "object_id", "ordinal"]
+    rows = {tuple(r[c] for c in link) for r in links}
+    tables = {name: q.QUERIES[name](spark, sf).collect() for name in ["p4_segments", *q.KINDS]}
+    assert {r["kind"] for r in links} == {"segments", *(k for k, _ in q.KINDS.values())}
+    assert {tuple(r[c] for c in link) for t in tables.values() for r in t} == rows and sum(map(len, tables.values())) == len(links)
+    at = {(r["source_table"], r["record_id"], r["path"]): r["object_id"] for r in links}
+    assert all(r["parent_path"] is None or at[r["source_table"], r["record_id"], r["parent_path"]] == r["parent_id"] for r in links)
+    # each column of each table is read with a type that holds its values
+    assert all(any(r[c] is not None for r in tables[name]) for name, (_, columns) in q.KINDS.items() for c in columns)
