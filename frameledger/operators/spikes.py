@@ -2,8 +2,8 @@
 
 Tracking rows: a robust autoregression per source (tracker) and box side gives its forecast and its normal
 movement; additive-outlier tests (leaves the forecast and the course on both sides, comes back) run
-iteratively, rows found are taken out and the rest is tested again; a one-sided jump is a level shift and
-re-anchors the course instead of being flagged. Scoreboard boxes: robust centre and spread per event.
+iteratively, rows found are taken out and the rest is tested again. There is no level-shift test: a one-sided
+jump is not flagged, as it does not come back, but neither is it subtracted. Scoreboard boxes: robust centre and spread per event.
 """
 from __future__ import annotations
 
