@@ -595,6 +595,33 @@ def evaluation_summary(spark, d):
     return pipeline.run(p, pipeline.mock_responses(p))[1]
 
 
+def _model_run(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The records, and the summary per model and task, of the real responses of all models; a prediction is its own
+    sample here, so that no two responses to a sample meet. Predictions without a reference stay pending."""
+    s = once(spark, d, "structured_predictions", "sample_id", "protocol_id", "task_name", "model_name", "structurer_raw_response")
+    p = table(spark, d, "prepared_samples").groupBy("sample_id", "protocol_id").agg(F.min_by("reference_payload", F.struct(F.col("written_at").isNull(), "written_at", "record_id")).alias("reference_payload"))
+    j = s.join(p, ["sample_id", "protocol_id"], "left")
+    own = [F.col("record_id").cast("string").alias("sample_id"), F.lit("").alias("protocol_id")]
+    asked = j.select(*own, "task_name", F.col("structurer_raw_response").alias("response"), F.transform("reference_payload.objects", lambda o: o["label"]).alias("labels"))
+    prepared = j.where(F.col("reference_payload").isNotNull()).select(*own, "task_name", "reference_payload")
+    records = pipeline.evaluate_predictions(prepared, structure.structure_responses(asked))
+    targets = s.select(*own, F.struct("model_name", "task_name").alias("task_name"))
+    summary = summarize.task_summary(targets, records, ["sample_id", "protocol_id"])
+    names = s.select("record_id", "sample_id", "protocol_id", "model_name")
+    named = names.join(records.drop("protocol_id", "judge_decision").withColumn("record_id", F.col("sample_id").cast("bigint")).drop("sample_id"), "record_id")
+    return named, summary.select("task_name.model_name", "task_name.task_name", *[c for c in summary.columns if c != "task_name"])
+
+
+@query()
+def evaluation_records_models(spark, d):
+    return _model_run(spark, d)[0]
+
+
+@query()
+def evaluation_summary_models(spark, d):
+    return _model_run(spark, d)[1]
+
+
 @query()
 def sampled_rate_texts(spark, d):
     p = once(spark, d, "prepared_samples", "sampled_video_fps")

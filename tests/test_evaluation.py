@@ -134,3 +134,16 @@ def test_blank_text_is_not_judged(spark, text):
     p = prepared(spark).where("sample_id = 'd'")
     resp = spark.createDataFrame([("d", "main", "Spatial_Imagination", json.dumps({"text": text}), None)], "sample_id string, protocol_id string, task_name string, response string, labels array<string>")
     assert pipeline.run(p, resp)[0].first()["task_pass"] == 0
+
+
+def test_real_responses_are_scored_per_model(spark, sf):
+    from frameledger.plans import reference_queries as q
+
+    predictions = q.once(spark, sf, "structured_predictions", "model_name", "task_name").collect()
+    records = q.QUERIES["evaluation_records_models"](spark, sf).collect()
+    summary = q.QUERIES["evaluation_summary_models"](spark, sf).collect()
+    assert len({r["record_id"] for r in records}) == len(records)
+    assert {r["model_name"] for r in summary} == {r["model_name"] for r in predictions}
+    assert sum(r["num_samples"] for r in summary) == len(predictions)
+    assert sum(r["num_scored_samples"] for r in summary) == sum(r["task_pass"] is not None for r in records)
+    assert {0, 1} <= {r["task_pass"] for r in records} and sum(r["num_pending_samples"] for r in summary) > 0
