@@ -35,6 +35,8 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _TOKEN = re.compile(r"[⺀-鿿]|[^\s⺀-鿿.!?。！？,，;；:]+|[.!?。！？]|\n|[,，;；:]")
 _AFTER_NUMBER = re.compile(r"(?<=9)[.,:]$")  # of a masked text: a number may go on behind it
+#: Only signs that close what was begun, also where they are spelt in JSON.
+_CLOSING = r"""^(?:[\s"'»”’`)\]}>*_]|\\[n"])*$"""
 _STOP = set(".!?。！？\n")
 #: End classes: punctuated or closed, bare, open.
 CLOSED, BARE, OPEN = 0, 1, 2
@@ -116,7 +118,10 @@ def value_table(records: DataFrame, key: str, source: str, fields: list[str], ar
     stacked = ", ".join(f"'{f}', `{f}`" for f in fields)
     values = once.select(F.col(key).alias("record_id"), F.col(source).alias("source"), F.expr(f"stack({len(fields)}, {stacked}) as (field, text)"), F.col(fields[0]).alias("__first"))
     # a field that hands on the whole first field, be it plain or as a JSON text, stops where that stops
-    handed = (F.col("field") != fields[0]) & (F.length("__first") > 20) & (F.expr("contains(text, rtrim(__first))") | F.expr(r"contains(text, replace(replace(rtrim(__first), '\"', '\\\"'), '\n', '\\n'))"))
+    plain = F.rtrim("__first")
+    spelt = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    ends_with = lambda h: F.contains("text", h) & F.call_function("substring_index", F.col("text"), h, F.lit(-1)).rlike(_CLOSING)
+    handed = (F.col("field") != fields[0]) & (F.length("__first") > 20) & (ends_with(plain) | ends_with(spelt))
     values = values.withColumn("handed_on", F.coalesce(handed & ~F.col("text").rlike(r"\{\s*\""), F.lit(False)))
     return values.where(F.col("text").isNotNull()).drop("__first")
 
