@@ -325,6 +325,14 @@ def segment_linearize(spark, d):
     return a.select("row_id", F.when(s.isNotNull(), F.size(s)).alias("n_segments"), evaluate.linearized(s).alias("linear"))
 
 
+@query()
+def segment_linearize_all(spark, d):
+    """As segment_linearize, over the rows its SQL leaves out as well: null where an interval does not parse."""
+    a = once(spark, d, "annotations", "task_l2", "a_window_frame", "answer").where(F.col("task_l2").isin("Continuous_Events_Caption", "Continuous_Actions_Caption"))
+    s = ann.segments(F.col("a_window_frame"), F.col("answer"))
+    return a.select("row_id", F.when(s.isNotNull(), F.size(s)).alias("n_segments"), evaluate.linearized(s).alias("linear"))
+
+
 # ---- scoring ---------------------------------------------------------------------------------------------------
 
 def _derived_tracking(spark, d) -> DataFrame:

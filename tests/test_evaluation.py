@@ -147,3 +147,13 @@ def test_real_responses_are_scored_per_model(spark, sf):
     assert sum(r["num_samples"] for r in summary) == len(predictions)
     assert sum(r["num_scored_samples"] for r in summary) == sum(r["task_pass"] is not None for r in records)
     assert {0, 1} <= {r["task_pass"] for r in records} and sum(r["num_pending_samples"] for r in summary) > 0
+
+
+def test_captions_of_any_spelling_are_linearized(spark, tmp_path):
+    from frameledger.plans import reference_queries as q
+
+    captions = [(1, '["1-5", "6 - 9"]', '["a", "b"]'), (2, '["1-5", "soon"]', '["a", "b"]'), (3, None, '["a"]')]
+    df = spark.createDataFrame([(i, "Continuous_Events_Caption", w, a, None) for i, w, a in captions], "row_id long, task_l2 string, a_window_frame string, answer string, loaded_at timestamp")
+    df.write.parquet(f"{tmp_path}/annotations.parquet")
+    got = {r["row_id"]: r["n_segments"] for r in q.QUERIES["segment_linearize_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: None, 3: None}
