@@ -24,6 +24,11 @@ VALID, BLANK, QUOTING, COLUMN_COUNT, VALUE = range(5)
 INTEGER = r"^\+?[0-9]+(\.0*)?$|^-0+(\.0*)?$"
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+#: A decimal number above 0, whatever its exponent.
+POSITIVE = r"^\+?[0.]*[1-9]"
+#: The largest value of the integer columns.
+LARGEST = str(2**63 - 1)
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -37,10 +42,28 @@ def _gather(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets.tobytes()), pa.py_buffer(buf[at].tobytes()))
 
 
+def record_ends(data: bytes) -> np.ndarray:
+    """Ends of the records of a whole text: positions behind the line feeds outside quotes (by the parity of the
+    quotes before them), and the end of the text. A quoted line break does not end a record."""
+    buf = np.frombuffer(data, np.uint8)
+    even = np.cumsum(buf == QUOTE) % 2 == 0
+    ends = np.flatnonzero((buf == 10) & even) + 1
+    return ends if len(ends) and ends[-1] == len(buf) else np.append(ends, len(buf))
+
+
+def split_records(data: bytes) -> pa.Array:
+    """A whole text as one record a row; carriage returns before the line feeds count as blanks."""
+    ends = record_ends(data)
+    start = np.concatenate([[0], ends[:-1]])
+    keep = ends > start
+    return _gather(np.frombuffer(data, np.uint8), start[keep], ends[keep] - (np.frombuffer(data, np.uint8)[ends[keep] - 1] == 10))
+
+
 def index_lines(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
     """Reason code of every line, and for the lines with code VALID the ten typed columns.
 
-    A null line counts as blank. Blank lines are valid but carry no row.
+    A null line counts as blank. Blank lines are valid but carry no row. A valid value that its column's type
+    cannot hold (an integer beyond 64 bits, a number too large or too small for a double) is null there.
     """
     arr = lines.cast(pa.string()) if lines.type != pa.string() else lines
     arr = pc.fill_null(arr, "")
@@ -114,23 +137,29 @@ def index_lines(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
     whole = pc.match_substring_regex(texts, INTEGER).to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS)
     number = pc.match_substring_regex(texts, DECIMAL).to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS)
     good = whole[:, :2].all(1) & number[:, 2:].all(1)
-    tidy = pc.replace_substring_regex(pc.if_else(pa.array(number.ravel()), texts, "0"), r"^\+", "")
-    value = pc.cast(tidy, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS)
-    good &= (value[:, 4] > 0) & (value[:, 5] > 0)
-    ints = pc.replace_substring_regex(pc.if_else(pa.array(whole.ravel()), texts, "0"), r"\..*$|^[+-]", "")
-    ints = ints.take(pa.array(np.flatnonzero(np.tile(np.arange(N_FIELDS) < 2, len(live)))))
-    fits = pc.less_equal(pc.utf8_length(pc.utf8_ltrim(ints, "0")), 18).to_numpy(zero_copy_only=False).reshape(-1, 2)
-    good &= fits.all(1)
+    above = pc.match_substring_regex(texts, POSITIVE).to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS)
+    good &= above[:, 4:6].all(1)
     code[live[~good]] = VALUE
-    keep = np.repeat(good, 2)
-    ids = pc.cast(pc.filter(ints, pa.array(keep)), pa.int64()).to_numpy(zero_copy_only=False).reshape(-1, 2)
-    cols = [pa.array(ids[:, k]) for k in range(2)] + [pa.array(value[good, k]) for k in range(2, N_FIELDS)]
+    kept = np.flatnonzero(good)
+    tidy = pc.replace_substring_regex(texts.take(pa.array((kept[:, None] * N_FIELDS + np.arange(2, N_FIELDS)).ravel())), r"^\+", "")
+    value = pc.cast(tidy, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS - 2)
+    some = pc.match_substring_regex(tidy, r"^-?[0.]*[1-9]").to_numpy(zero_copy_only=False).reshape(-1, N_FIELDS - 2)
+    lost = ~np.isfinite(value) | ((value == 0) & some)
+    ints = pc.replace_substring_regex(texts.take(pa.array((kept[:, None] * N_FIELDS + np.arange(2)).ravel())), r"\..*$|^[+-]", "")
+    ints = pc.utf8_ltrim(ints, "0")
+    size = pc.utf8_length(ints)
+    fits = pc.or_(pc.less(size, len(LARGEST)), pc.and_(pc.equal(size, len(LARGEST)), pc.less_equal(ints, LARGEST)))
+    ints = pc.if_else(fits, pc.if_else(pc.equal(size, 0), "0", ints), pa.scalar(None, pa.string()))
+    ids = pc.cast(ints, pa.int64())
+    n_kept = len(kept)
+    cols = [ids.take(pa.array(np.arange(n_kept) * 2 + k)) for k in range(2)] + [pa.array(value[:, k], mask=lost[:, k]) for k in range(N_FIELDS - 2)]
     return code, cols
 
 
 def split_lines(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
     """Every non-blank line of ``df`` as one row: ``key``, ``reason`` (null for a valid line), ``line``
-    (for rejects only) and the ten typed columns (for valid lines only).
+    (for rejects, and for valid lines with a value its type cannot hold) and the ten typed columns (for valid
+    lines only). Such a value is null in its column: never infinite, never wrapped, and its text is kept in ``line``.
 
     Nulls: a null line counts as blank and has no row; a null key stays null. Empty tables give an empty
     result; repeated rows are parsed as often as they come; other columns of ``df`` are not read, so their
@@ -147,7 +176,9 @@ def split_lines(df: DataFrame, key: str = "line_id", line: str = "line") -> Data
             place = np.full(len(code), -1, np.int64)
             place[code == VALID] = np.arange((code == VALID).sum())
             pick = pa.array(place[rows], mask=place[rows] < 0)
-            bad = pa.array(code[rows] != VALID)
+            beyond = np.zeros(len(cols[0]) + 1, bool)
+            beyond[:-1] = np.any([np.asarray(c.is_null()) for c in cols], axis=0)
+            bad = pa.array((code[rows] != VALID) | beyond[place[rows]])
             names = pa.array([None if r == VALID else REASONS[r] for r in range(5)], pa.string())
             arrays = [names.take(pa.array(code[rows])), pc.if_else(bad, b.column(1).take(pa.array(rows)).cast(pa.string()), pa.scalar(None, pa.string()))]
             arrays += [c.take(pick) for c in cols]

@@ -78,6 +78,25 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(p6_found(spark, d))
 
 
+_FIELD = r'[ \t\n\r\f]*(?:"(?:[^"]|"")*"[ \t\n\r\f]*|[^",]*)'
+_P1 = rf"""
+with l as (select line_id, any_value(line) line from tracking_lines group by line_id),
+q as (select *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') quoted, list_transform(regexp_extract_all(',' || line, ',[ \t\n\r\f]*("(?:[^"]|"")*"|[^",]*)', 1),
+    lambda f: trim(case when f[1] = '"' then replace(f[2:-2], '""', '"') else f end, ' ' || chr(9) || chr(10) || chr(12) || chr(13))) f
+  from l where not regexp_full_match(coalesce(line, ''), '[ \t\n\r\f]*')),
+r as (select *, case when not quoted then 'quoting' when len(f) <> 10 then 'column_count' when len(list_filter(f[1:2], lambda x: not regexp_full_match(x, '\+?[0-9]+(\.0*)?|-0+(\.0*)?'))) > 0
+    or len(list_filter(f[3:10], lambda x: not regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?'))) > 0 or not regexp_matches(f[5], '^\+?[0.]*[1-9]') or not regexp_matches(f[6], '^\+?[0.]*[1-9]') then 'value' end reason from q)
+"""
+_P4 = """
+with recursive t(source_table, record_id, path, v) as (
+  select 'structured_predictions', record_id, '', to_json(any_value(structured_prediction)) from structured_predictions where structured_prediction is not null group by record_id
+  union all select 'prepared_samples', record_id, '', to_json(any_value(reference_payload)) from prepared_samples where reference_payload is not null group by record_id
+  union all select source_table, record_id, path || case when c.step is null or c.step[1] = '[' or path = '' then '' else '.' end || coalesce(c.step, ''), c.v from (
+    select source_table, record_id, path, unnest(case json_type(v)
+      when 'OBJECT' then list_transform(json_keys(v), lambda k: {step: k, v: v -> ('/' || replace(replace(k, '~', '~0'), '/', '~1'))})
+      when 'ARRAY' then list_transform(range(json_array_length(v)::bigint), lambda i: {step: '[' || i || ']', v: v -> ('/' || i)})
+      when 'VARCHAR' then case when regexp_matches(v ->> '$', '^\\s*[\\[{"]') and json_valid(v ->> '$') then [{step: null::varchar, v: (v ->> '$')::json}] end end) c from t))
+"""
 _P6 = r"""
 with a0 as (select row_id, min(loaded_at) loaded, any_value(trim(video_key, chr(9)||chr(10)||chr(13)||chr(160)||' ')) vk, any_value(trim(annotation_id, chr(9)||chr(10)||chr(13)||chr(160)||' ')) ak,
     any_value(trim(upstream_annotation_id, chr(9)||chr(10)||chr(13)||chr(160)||' ')) up, any_value(regexp_replace(trim(tracking_bboxes, chr(9)||chr(10)||chr(13)||chr(160)||' '), '^(\./data/|data/|\./dataset/|dataset/)', '')) tp from annotations group by row_id),
@@ -96,6 +115,9 @@ _P6_PERIOD = "strftime(loaded at time zone 'UTC', '%Y-%m')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
 SQL: dict[str, str] = {
+    "p1_found": _P1 + "select line_id, reason from r where reason is not null",
+    "p1_rows": _P1 + "select line_id, try_cast(regexp_replace(f[1], '\\..*$', '') as bigint) as frame, try_cast(regexp_replace(f[2], '\\..*$', '') as bigint) as track_id, " + ", ".join(f"try_cast(f[{k + 1}] as double) as {c}" for k, c in enumerate(parse_lines.TYPED) if k > 1) + " from r where reason is null",
+    "p4_found": _P4 + "select source_table, record_id, path from t where json_type(v) = 'OBJECT' and path <> ''",
     "p6_found": _P6 + f"select source_table, field, row_id, kind, {_P6_PERIOD} as period from x where kind is not null",
     "p6_report": _P6 + f"select source_table, field, kind, {_P6_PERIOD} as period, count(*) as n_rows from x where kind is not null group by all",
 }

@@ -1,11 +1,12 @@
 import re
+from decimal import Decimal
 
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from frameledger.operators.parse_lines import REASONS, index_lines, reject_rows, split_lines, valid_rows
+from frameledger.operators.parse_lines import REASONS, TYPED, index_lines, reject_rows, split_lines, split_records, valid_rows
 
 WS = " \t\r\n\v\f"
 
@@ -38,7 +39,7 @@ def brute(s):
     for k, f in enumerate(out):
         if not re.fullmatch(r"\+?[0-9]+(\.0*)?|-0+(\.0*)?" if k < 2 else r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", f):
             return "value"
-        if k in (4, 5) and not float(f) > 0:
+        if k in (4, 5) and not Decimal(f) > 0:
             return "value"
     return "valid"
 
@@ -71,9 +72,20 @@ def test_in_spark(spark):
     assert empty.count() == 0 and empty.columns == s.columns
 
 
-def test_late_numbers_do_not_crash():
-    code, _ = index_lines(pa.array(["9" * 40 + ",1,1,1,1,1,1,1,1,1", "1,1,1e400,1,1,1,1,1,1,1"]))
-    assert REASONS[code[0]] == "value"  # beyond 64 bits
+def test_values_beyond_the_types_are_valid_but_null(spark):
+    lines = ["9" * 40 + ",1,1,1,1,1,1,1,1,1", "1,1,1e999,1,1,1,1,1,1,1", f"{2**63 - 1},{2**63},1,1,1,1,1,1,1,1", "000000000000000000000000000012.000,1,-1e-999,1,1e-999,1,0e999,1,1,1", "1,1,1,1,0e5,1,1,1,1,1"]
+    code, cols = index_lines(pa.array(lines))
+    assert [REASONS[c] for c in code] == ["valid"] * 4 + ["value"] == [brute(x) for x in lines]
+    assert cols[0].to_pylist() == [None, 1, 2**63 - 1, 12] and cols[1].to_pylist() == [1, 1, None, 1]
+    assert cols[2].to_pylist() == [1.0, None, 1.0, None] and cols[4].to_pylist() == [1.0, 1.0, 1.0, None] and cols[6].to_pylist()[3] == 0.0
+    got = {r["line_id"]: r for r in split_lines(spark.createDataFrame(list(enumerate([*lines, CASES[0]])), "line_id long, line string")).collect()}
+    assert {i: r["line"] for i, r in got.items()} == dict(enumerate([*lines, None])) and got[4]["reason"] == "value" and got[0]["reason"] is None
+
+
+def test_records_of_a_whole_text():
+    assert split_records(b'1,2\r\n"a\nb",3\n\nlast').to_pylist() == ["1,2\r", '"a\nb",3', "", "last"]
+    assert split_records(b"").to_pylist() == [] and split_records(b'x\n"open\n1\n').to_pylist() == ["x", '"open\n1']
+    assert len(TYPED) == 10
 
 
 @pytest.mark.parametrize("cut", [1, 2])
