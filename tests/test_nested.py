@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from frameledger.operators import nested
 
@@ -40,24 +42,55 @@ def test_paths(v):
 
 
 def test_identities_and_links():
-    rows = nested.walk('{"a": [{"x": 1, "y": {"z": [1, 2]}}, null, {"y": {"z": [1, 2]}, "x": 1}], "s": "{\\"q\\": {}}"}')
+    rows = list(nested.walk('{"a": [{"x": 1, "y": {"z": [1, 2]}}, null, {"y": {"z": [1, 2]}, "x": 1}], "s": "{\\"q\\": {}}"}'))
     by = {r[0]: r for r in rows}
     assert by["a[0]"][4] == by["a[2]"][4] and by["a[0].y"][4] == by["a[2].y"][4]
     assert by["a[2]"][5] == 2 and by["a[0].y"][2] == "a[0]" and by["a[0].y"][3] == by["a[0]"][4]
     assert by["s"][3] == by[""][4] and by["s.q"][2] == "s" and by[""][2] is None
-    assert nested.walk(None) == [] and nested.walk("plain") == [] and nested.walk("[1]") == [] and nested.walk("{") == []
-    assert [r[0] for r in nested.walk('[{"a": {}}]')] == ["[0]", "[0].a"] or {r[0] for r in nested.walk('[{"a": {}}]')} == {"[0]", "[0].a"}
-    deep = '{"a":' * 400 + "1" + "}" * 400
-    assert len(nested.walk(deep)) == 400
-    assert nested.walk('{"a":' * 100_000 + "1" + "}" * 100_000) == []  # beyond the reader: no JSON
+    assert not any(list(nested.walk(x)) for x in (None, "plain", "{", "[]{", '{"a":1,}'))
+    assert {r[0] for r in nested.walk('[{"a": {}}]')} == {"[0]", "[0].a"}
+    same = list(nested.walk('{"": {"b": {"": 1}}}'))
+    assert {(r[0], r[2]) for r in same} == {("", None), ("", ""), ("b", "")}
+
+
+def test_no_scalar_is_lost():
+    top, item = sorted(nested.walk('{"a": [1, {"b": 2}, [3, {"c": [4]}], null], "d": [{"e": []}], "f": [[5]]}'))[:2]
+    inner = {r[0]: r for r in nested.walk('{"b": 2}')}[""][4]
+    c = {r[0]: r for r in nested.walk('{"c": [4]}')}[""][4]
+    assert item[0] == "a[1]" and json.loads(top[6]) == {"a": [1, {"#": inner}, [3, {"#": c}], None], "f": [[5]]}
+    rows = {r[0]: r for r in nested.walk('[7, {"b": 2}]')}
+    assert json.loads(rows[""][6])[""][0] == 7 and rows["[1]"][3] == rows[""][4] and rows["[1]"][2] == ""
+
+
+@pytest.mark.parametrize("depth", [400, 20_000])
+def test_any_depth(depth):
+    n, last = 0, None
+    for n, r in enumerate(nested.walk('{"a":' * depth + "1" + "}" * depth), 1):
+        assert last is None or (r[2], r[3]) == last
+        last = r[0], r[4]
+    assert n == depth and len(last[0]) == 2 * depth - 3
+    assert [r[0] for r in nested.walk('{"a":' + "[" * depth + "2" + "]" * depth + "}")] == [""]
+    assert not list(nested.walk('{"a":' * depth + "1" + "}" * (depth - 1)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(value.map(json.dumps), st.text('{}[]",:1a \\\\n', max_size=14), value.map(lambda v: json.dumps(v, indent=1))))
+def test_the_deep_reader_reads_as_the_shallow_one(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            nested._deep(text)
+        return
+    assert nested._deep(text) == want
 
 
 def test_in_spark(spark):
     df = spark.createDataFrame([(1, '{"segments": [{"text": "x", "start_sampled": 1}, null]}', "p"), (2, None, "q"), (3, "", "r"), (4, '"{\\"segments\\": [{\\"text\\": \\"x\\", \\"start_sampled\\": 1}]}"', "s")], "record_id long, payload string, path string")
     b = nested.shred(df, "t", "record_id", "payload")
     assert {(r["record_id"], r["path"]) for r in nested.nested_objects(b).collect()} == {(1, "segments[0]"), (4, "segments[0]")}
-    objects = {r["kind"]: r["occurrences"] for r in nested.object_table(b).collect()}
-    assert objects["segments"] == 2
+    objects = sorted((r["occurrences"], r["scalars"]) for r in nested.object_table(b.unionByName(b.withColumn("kind", F.lit("again")))).collect())
+    assert objects == [(2, "{}"), (2, "{}"), (4, '{"start_sampled":1,"text":"x"}')]
     flat = nested.kind_table(b, "segments", {"text": "string", "start_sampled": "bigint"}).collect()
     assert {(r["text"], r["start_sampled"], r["ordinal"]) for r in flat} == {("x", 1, 0)}
     s = spark.sql("select 1L as record_id, named_struct('objects', array(named_struct('label', 'a'), null, named_struct('label', null))) as payload")
