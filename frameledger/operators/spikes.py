@@ -1,9 +1,10 @@
 """Implausible readings: physical limits, stuck runs and spikes, judged per source.
 
 Tracking rows: a robust autoregression per source (tracker) and box side gives its forecast and its normal
-movement; additive-outlier tests (leaves the forecast and the course on both sides, comes back) run
-iteratively, rows found are taken out and the rest is tested again. There is no level-shift test: a one-sided
-jump is not flagged, as it does not come back, but neither is it subtracted. Scoreboard boxes: robust centre and spread per event.
+movement. Jumps beyond that movement cut a track into stretches; additive-outlier tests (a stretch leaves the
+forecast and the course on both sides, and the course comes back) run until none is found, then the jumps that no
+patch explains and behind which the course lasts pass as level shifts and are subtracted, and the tests run again.
+Scoreboard boxes: robust centre and spread per event.
 """
 from __future__ import annotations
 
@@ -15,22 +16,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameledger.session import ensure_checkpoint_dir
+from frameledger.session import spread_join
 
 SIDES = ["box_left", "box_top", "box_width", "box_height"]
 PHIS = np.array([0.0, 0.25, 0.5, 0.75, 1.0])
-#: A spike's rows at most, and its least distance from the course in units of the source's normal movement.
-MAX_PATCH, SPIKE_UNITS, ITERATIONS = 4, 2.75, 6
+#: A spike's least distance from the course in units of the source's normal movement.
+SPIKE_UNITS = 2.75
+#: Rows over which a forecast goes on; farther ahead it stays.
+HORIZON = 4
+#: A jump is a level shift if so many rows stand on both sides of it.
+SHIFT_ROWS = 8
 #: A stretch is stuck from so many times the source's usual hold, and from so many rows, on.
 STUCK_TIMES, STUCK_LEAST = 4, 5
 #: Rows of one track are handled in blocks of so many frames with a margin on both sides, so that a track
 #: of any length is spread over tasks; the margin exceeds every window used below.
-BLOCK_FRAMES, MARGIN_FRAMES = 50_000, 2_500
+BLOCK_FRAMES, MARGIN_FRAMES = 500_000, 25_000
 #: Sources up to this number have their statistics shipped with the tasks (a few hundred bytes each);
 #: beyond it they are joined to the rows.
-SHIPPED_SOURCES = 20_000
-#: Half-octave eighths: bin k of a histogram holds magnitudes around 2**((k - 80) / 8).
-BINS = 256
+SHIPPED_SOURCES, SOURCE_COPIES = 20_000, 32
+#: Eighths of octaves: bin k of a histogram holds magnitudes around 2**((k - 80) / 8). Holds are counted exactly up
+#: to EXACT rows, beyond in eighths of octaves (up to eight million rows).
+BINS, EXACT = 256, 128
 
 
 def impossible_box(left, top, width, height):
@@ -65,6 +71,7 @@ class Tracks:
         new[1:] = (self.path[1:] != self.path[:-1]) | (self.block[1:] != self.block[:-1])
         once = new.copy()
         once[1:] |= rid[1:] != rid[:-1]
+        new |= once & (self.block < 0)  # no place in a track: a row by itself
         self.take = np.flatnonzero(once)
         self.row_id, self.own = rid[once], t.column("own").to_numpy(zero_copy_only=False)[once]
         self.group = (np.cumsum(new) - 1)[once]
@@ -135,10 +142,19 @@ def _counts(t: Tracks) -> dict[tuple[int, int, int], np.ndarray]:
         head = np.flatnonzero(~same)
         length = np.bincount(run, weights=same).astype(np.int64)
         use = owned[at[head]]
-        add(4, 6, t.source[at[head[use]]], length[use])
+        add(4, 6, t.source[at[head[use]]], hold_bin(length[use]))
     return out
 
 
+def hold_bin(length: np.ndarray) -> np.ndarray:
+    return np.where(length < EXACT, length, EXACT + np.ceil(8 * np.log2(np.maximum(length, EXACT) / EXACT)).astype(np.int64))
+
+
+def _hold(b: int) -> int:
+    """The longest hold of a bin."""
+    return b if b < EXACT else int(EXACT * 2 ** ((b - EXACT) / 8))
+
+
 def _quantile(h: np.ndarray, q: float) -> int:
     return int(np.searchsorted(np.cumsum(h), q * h.sum(), side="left"))
 
@@ -158,80 +174,133 @@ def _fit(hist: dict[tuple[int, int], np.ndarray]) -> tuple[list[float], list[flo
         moved = 2.0 ** ((_quantile(hist[k, 5], 0.95) - 80) / 8) if (k, 5) in hist else 0.0
         phis.append(float(PHIS[best]))
         units.append(max(moved, 1.5 * residual))
-    hold = _quantile(hist[4, 6], 0.98) if (4, 6) in hist else 0
+    hold = _hold(_quantile(hist[4, 6], 0.98)) if (4, 6) in hist else 0
     return phis, units, hold
 
 
-def _local_centre(x: np.ndarray, group: np.ndarray, half: int = 7) -> np.ndarray:
-    """Running median over 2*half+1 usable rows of the same track (fewer at its ends)."""
-    n = len(x)
-    win = np.full((n, 2 * half + 1), np.nan)
-    for j in range(-half, half + 1):
-        a, b = max(0, -j), min(n, n - j)
-        if b > a:
-            here = np.arange(a, b)
-            there = here + j
-            win[here, j + half] = np.where(group[here] == group[there], x[there], np.nan)
-    return np.nanmedian(win, axis=1) if n else np.zeros(0)
+def _stretches(v: np.ndarray, g: np.ndarray, u: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the stretches that no jump (of ``scale`` times the least size) cuts, and whether a stretch is the
+    first of its track."""
+    new = np.ones(len(v), bool)
+    new[1:] = g[1:] != g[:-1]
+    cut = new.copy()
+    cut[1:] |= np.abs(v[1:] - v[:-1]) > scale * SPIKE_UNITS * np.maximum(u[1:], 1e-9)
+    start = np.flatnonzero(cut)
+    return start, new[start]
+
+
+def _centres(v: np.ndarray, g: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Running median around each stretch: of its rows and, on both sides, twice as many (7 at least) of its track.
+    Stretches of like length are handled together."""
+    out = np.full(len(start), np.nan)
+    size = end - start
+    span = np.maximum(7, 1 << np.ceil(np.log2(2 * size)).astype(np.int64))  # 7, 8, 16, 32 ...
+    for half in np.unique(span):
+        of = np.flatnonzero(span == half)
+        width = 2 * int(half) + int(size[of].max())
+        step = max(1, 4_000_000 // width)
+        for k in range(0, len(of), step):
+            some = of[k : k + step]
+            at = start[some, None] - half + np.arange(width)
+            inside = (at >= 0) & (at < np.minimum(end[some, None] + half, len(v)))
+            at = np.where(inside, at, 0)
+            inside &= g[at] == g[start[some], None]
+            out[some] = np.nanmedian(np.where(inside, v[at], np.nan), axis=1)
+    return out
+
+
+def _drift(v: np.ndarray, g: np.ndarray, u: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The course's last change before row i, within twice the normal movement."""
+    d = np.where((i >= 2) & (g[np.maximum(i - 2, 0)] == g[i]), v[i - 1] - v[np.maximum(i - 2, 0)], 0.0)
+    return np.clip(d, -2 * u[i], 2 * u[i])
+
+
+def _patches(v: np.ndarray, g: np.ndarray, u: np.ndarray, ph: np.ndarray, scale: float) -> np.ndarray | None:
+    """Mask of the rows of one round's additive patches; None if no jump has the scale.
+
+    A patch is a stretch between two jumps, of fewer rows than the stretches beside it together. All its rows lie
+    beyond the hull of the row before, the row after and the autoregressive forecast by SPIKE_UNITS of normal
+    movement, on one side, and farther from the running median than both anchors. Of neighbours the farthest
+    (of equals the first) is taken; the other is tested again in the next round."""
+    hit = np.zeros(len(v), bool)
+    start, first = _stretches(v, g, u, scale)
+    if first.all():
+        return None
+    end = np.append(start[1:], len(v))
+    size = end - start
+    k = np.arange(1, len(start) - 1)
+    k = k[~first[k] & ~first[k + 1]] if len(k) else k
+    k = k[size[k] < size[k - 1] + size[k + 1]]
+    if not len(k):
+        return hit
+    i, z = start[k], end[k]
+    a, b = v[i - 1], v[z]
+    side = np.sign(v[i] - a)
+    least = np.full(len(k), np.inf)
+    drift = _drift(v, g, u, i)
+    ahead = a.copy()
+    for j in range(HORIZON + 1):
+        drift = ph[i] * drift
+        ahead = ahead + drift
+        low, high = np.minimum(np.minimum(a, b), ahead), np.maximum(np.maximum(a, b), ahead)
+        if j < HORIZON:
+            live, w = size[k] > j, v[np.minimum(i + j, z - 1)]
+        else:  # all later rows against the forecast as it stays
+            live = size[k] > j
+            w = np.where(side > 0, np.minimum.reduceat(v, start)[k], np.maximum.reduceat(v, start)[k])
+        least = np.where(live, np.minimum(least, np.where(side > 0, w - high, low - w)), least)
+    score = least / np.maximum(u[i], 1e-9)
+    ok = score > SPIKE_UNITS
+    k, i, z, a, b, side, score = (c[ok] for c in (k, i, z, a, b, side, score))
+    if not len(k):
+        return hit
+    centre = _centres(v, g, i, z)
+    near = np.where(side > 0, np.minimum.reduceat(v, start)[k], np.maximum.reduceat(v, start)[k])
+    far = np.abs(near - centre) > np.maximum(np.abs(a - centre), np.abs(b - centre))
+    points = np.zeros(len(start))
+    points[k[far]] = score[far]
+    win = k[far][(points[k[far]] > points[k[far] - 1]) & (points[k[far]] >= points[k[far] + 1])]
+    return np.repeat(np.isin(np.arange(len(start)), win), size)
 
 
 def additive_outliers(x: np.ndarray, group: np.ndarray, phi: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """Mask of rows in patches of at most MAX_PATCH rows that leave the course of their track and come back.
+    """Mask of rows in patches that leave the course of their track and come back, of whatever length.
 
-    Per iteration every start and patch length is tested: all rows of the patch must lie beyond the hull of
-    the row before, the row after and the autoregressive forecast by SPIKE_UNITS of normal movement, on one
-    side, and farther from the running median than both anchors. Of overlapping patches the farthest, then
-    the longest, wins; its rows leave the series before the next iteration.
-    """
+    Rows found leave the series and the rest is tested again, until nothing is found; then level shifts (jumps
+    that no patch explains, with SHIFT_ROWS rows on both sides) are subtracted from all that follows, and the
+    tests begin again. It ends when neither is left. A change that the end of the track cuts off does not come back,
+    so it is no case (nor are rows before a track's first jump: what precedes them is not known)."""
     found = np.zeros(len(x), bool)
-    at = np.arange(len(x))
-    for _ in range(ITERATIONS):
-        v, g, u, ph = x[at], group[at], unit[at], phi[at]
-        n = len(v)
-        # cheap screen: a patch needs a jump of the required size at its start
-        jump = np.zeros(n, bool)
-        jump[1:] = (g[1:] == g[:-1]) & (np.abs(v[1:] - v[:-1]) > SPIKE_UNITS * u[1:])
-        if not jump.any():
-            break
-        centre = np.full(n, np.nan)
-        near = np.flatnonzero(np.convolve(jump, np.ones(2 * MAX_PATCH + 3), "same") > 0)
-        touched = np.isin(g, np.unique(g[near]))
-        centre[touched] = _local_centre(v[touched], g[touched])
-        start, score, length = [], [], []
-        for size in range(1, MAX_PATCH + 1):
-            i = np.flatnonzero(jump)
-            i = i[(i >= 1) & (i + size < n)]
-            i = i[g[i - 1] == g[np.minimum(i + size, n - 1)]]
-            if not len(i):
-                continue
-            a, b = v[i - 1], v[i + size]
-            drift = np.where((i >= 2) & (g[np.maximum(i - 2, 0)] == g[i]), a - v[np.maximum(i - 2, 0)], 0.0)
-            drift = np.clip(drift, -2 * u[i], 2 * u[i])
-            base = np.maximum(np.abs(a - centre[i - 1]), np.abs(b - centre[i + size]))
-            side = np.sign(v[i] - a)
-            least = np.full(len(i), np.inf)
-            ahead = a.copy()
-            for j in range(size):
-                drift = ph[i] * drift
-                ahead = ahead + drift
-                w = v[i + j]
-                low, high = np.minimum(np.minimum(a, b), ahead), np.maximum(np.maximum(a, b), ahead)
-                d = np.where(side > 0, w - high, low - w)
-                d = np.where(np.abs(w - centre[i + j]) > base, d, -1.0)
-                least = np.minimum(least, d)
-            r = least / np.maximum(u[i], 1e-9)
-            ok = r > SPIKE_UNITS
-            start.append(i[ok]), score.append(r[ok]), length.append(np.full(ok.sum(), size))
-        start, score, length = np.concatenate(start), np.concatenate(score), np.concatenate(length)
-        if not len(start):
+    if not len(x):
+        return found
+    start, first = _stretches(x, group, unit)
+    at = np.flatnonzero(np.isin(group, np.unique(group[start[~first]])))  # tracks with a jump
+    y, shifted = x.copy(), np.zeros(len(x), bool)
+    while len(at):
+        v, g, u, ph = y[at], group[at], unit[at], phi[at]
+        hit, scale = _patches(v, g, u, ph, 1.0), 1.0
+        while hit is not None and not hit.any():  # a patch may jump in itself: larger jumps alone
+            scale *= 2
+            hit = _patches(v, g, u, ph, scale)
+        if hit is not None:
+            found[at[hit]] = True
+            at = at[~hit]
+            continue
+        start, first = _stretches(v, g, u)
+        size = np.diff(np.append(start, len(v)))
+        k = np.flatnonzero(~first)
+        k = k[(np.minimum(size[k], size[k - 1]) >= SHIFT_ROWS) & ~shifted[at[start[k]]]]
+        if not len(k):
             break
-        taken = np.zeros(n, bool)
-        for j in np.lexsort((start, -length, -score)):
-            s = slice(start[j], start[j] + length[j])
-            if not taken[max(0, start[j] - 1) : start[j] + length[j] + 1].any():
-                taken[s] = True
-        found[at[taken]] = True
-        at = at[~taken]
+        i = start[k]
+        shifted[at[i]] = True
+        step = np.zeros(len(v))
+        step[i] = v[i] - v[i - 1] - ph[i] * _drift(v, g, u, i)
+        total = np.cumsum(step)
+        head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        base = np.where(head > 0, total[head - 1], 0.0)
+        y[at] = v - (total - np.repeat(base, np.diff(np.append(head, len(v)))))
+        at = at[np.isin(g, np.unique(g[start[~first]]))]
     return found
 
 
@@ -256,13 +325,20 @@ def flag_tracks(t: Tracks, fits: dict) -> np.ndarray:
 
 
 def _by_track(rows: DataFrame) -> DataFrame:
-    """Rows laid out by track and block (each with its margin), in frame order."""
+    """Rows laid out by track and block (each with its margin). Rows without a track or frame have
+    no course; each stands by itself, spread by its id (negative blocks)."""
     f = F.col("frame_original")
     cut = [F.greatest(F.floor((f + m) / BLOCK_FRAMES), F.lit(0)) for m in (-MARGIN_FRAMES, 0, MARGIN_FRAMES)]
     cols = [F.col(c).cast("double").alias(c) for c in SIDES]
-    laid = rows.select("row_id", "tracking_path", "tracker_id", f.cast("bigint").alias("frame_original"), *cols).withColumn("block", F.explode(F.when(f.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.array_distinct(F.array(*cut)))))
-    laid = laid.withColumn("own", F.coalesce(F.col("block") == cut[1], F.lit(True)))
-    return laid.repartition("tracking_path", "block").sortWithinPartitions("tracking_path", "block", "frame_original", "row_id")
+    alone = F.col("tracking_path").isNull() | f.isNull()
+    laid = rows.select("row_id", "tracking_path", "tracker_id", f.cast("bigint").alias("frame_original"), *cols)
+    laid = laid.withColumn("block", F.explode(F.when(alone, F.array(-1 - F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)))).otherwise(F.array_distinct(F.array(*cut)))))
+    laid = laid.withColumn("own", alone | (F.col("block") == cut[1]))
+    return laid.repartition("tracking_path", "block")
+
+
+def _in_order(laid: DataFrame) -> DataFrame:
+    return laid.sortWithinPartitions("tracking_path", "block", "frame_original", "row_id")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], target: int = 200_000) -> Iterator[Tracks]:
@@ -302,7 +378,7 @@ def source_histograms(laid: DataFrame) -> DataFrame:
                     c.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    counts = laid.mapInArrow(run, "tracker_id string, side int, kind int, bin int, n bigint")
+    counts = _in_order(laid).mapInArrow(run, "tracker_id string, side int, kind int, bin int, n bigint")
     return counts.groupBy("tracker_id", "side", "kind", "bin").agg(F.sum("n").alias("n"))
 
 
@@ -313,66 +389,62 @@ def _dense(rows) -> dict[tuple[int, int], np.ndarray]:
     return hist
 
 
-def flag_tracking_rows(rows: DataFrame) -> DataFrame:
-    """``row_id, kind`` of the flagged tracking rows.
-
-    Nulls: a null side is no reading (never impossible) and is skipped; rows without a track or frame form
-    one track of their own, a null tracker is a source of its own. A row delivered twice counts once. Ties
-    in frame keep row_id order. An empty table gives an empty result; further columns are not read.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
-    laid = _by_track(rows)
-    hist = source_histograms(laid)
-    packed = hist.groupBy("tracker_id").agg(F.collect_list(F.struct("side", "kind", "bin", "n")).alias("h"))
-    doubles = pa.list_(pa.float64())
-    fit_schema = pa.schema([("tracker_id", pa.string()), ("fit", pa.struct([("phi", doubles), ("unit", doubles), ("hold", pa.int64())]))])
+def _fits(hist: DataFrame) -> DataFrame:
+    """``tracker_id, fit``: nine numbers a source (phi and normal movement by side, usual hold), made where the
+    histograms are."""
+    packed = hist.groupBy("tracker_id").agg(F.collect_list(F.struct("side", "kind", "bin", "n")).alias("h"))  # bounded: 26 histograms
+    schema = pa.schema([("tracker_id", pa.string()), ("fit", pa.list_(pa.float64()))])
 
-    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 phi, unit, hold = _fit(_dense(r["h"]))
-                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": {"phi": phi, "unit": unit, "hold": hold}}], schema=fit_schema)
-
-    # fitted where the histograms are; nine numbers a source leave the workers
-    fits = packed.mapInArrow(fit_rows, "tracker_id string, fit struct<phi:array<double>,unit:array<double>,hold:bigint>").checkpoint()
-    fitted = fits.limit(SHIPPED_SOURCES + 1).collect()
-    schema = pa.schema([("row_id", pa.int64()), ("kind", pa.string())])
-    names = pa.array([None, "impossible", "stuck", "spike"])
+                yield pa.RecordBatch.from_pylist([{"tracker_id": r["tracker_id"], "fit": [*phi, *unit, float(hold)]}], schema=schema)
 
-    def emit(t: Tracks, fits: dict) -> pa.RecordBatch:
-        kind = flag_tracks(t, fits)
-        hit = (kind > 0) & t.own
-        return pa.RecordBatch.from_arrays([pa.array(t.row_id[hit]), names.take(pa.array(kind[hit]))], schema=schema)
+    return packed.mapInArrow(run, "tracker_id string, fit array<double>")
 
-    if len(fitted) <= SHIPPED_SOURCES:
-        known = {r["tracker_id"]: (r["fit"]["phi"], r["fit"]["unit"], r["fit"]["hold"]) for r in fitted}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _whole_groups(batches):
-                yield emit(t, known)
+def flag_tracking_rows(rows: DataFrame) -> DataFrame:
+    """``row_id, kind`` of the flagged tracking rows.
 
-        return laid.mapInArrow(run, "row_id bigint, kind string")
+    The rows are shuffled once: the histograms and the tests read the same exchange. Nulls: a null side is no
+    reading (never impossible) and is skipped; rows without a track or frame have no course, so only physical
+    limits apply to them; a null tracker is a source of its own. A row delivered twice counts once. Ties in
+    frame keep row_id order. An empty table gives an empty result; further columns are not read.
+    """
+    laid = _by_track(rows)
+    fits = _fits(source_histograms(laid)).withColumnRenamed("tracker_id", "source")
+    few = rows.select("tracker_id").distinct().limit(SHIPPED_SOURCES + 1).count() <= SHIPPED_SOURCES  # reads one column
+    if few:
+        known = laid.join(F.broadcast(fits), F.col("tracker_id").eqNullSafe(F.col("source")), "left").drop("source")
+    else:
+        # too many sources to ship: their numbers are joined, each source's in so many copies that a hot one is spread
+        part = F.pmod(F.xxhash64("row_id"), F.lit(SOURCE_COPIES)).cast("int")
+        copies = fits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_COPIES - 1))))
+        known = laid.withColumn("spread", part).join(copies, F.col("tracker_id").eqNullSafe(F.col("source")) & (F.col("spread") == F.col("part")), "left").drop("source", "part", "spread")
+        known = known.repartition("tracking_path", "block")
+    schema = pa.schema([("row_id", pa.int64()), ("kind", pa.string())])
+    names = pa.array([None, "impossible", "stuck", "spike"])
 
-    # too many sources to ship: the few numbers of each are joined to its rows
-    joined = _by_track(rows).alias("r").join(fits.alias("f"), F.col("r.tracker_id").eqNullSafe(F.col("f.tracker_id")), "left").select("r.*", "f.fit")
-    joined = joined.repartition("tracking_path", "block").sortWithinPartitions("tracking_path", "block", "frame_original", "row_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def strip():
+        def strip() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                one = pa.table({"s": b.column("tracker_id"), "f": b.column("fit")})
-                first = pc.index_in(pc.unique(one["s"]), one["s"])
-                for i in first.to_pylist():
-                    f = one["f"][i].as_py()
+                source = b.column("tracker_id").dictionary_encode()
+                codes = source.indices.fill_null(len(source.dictionary)).to_numpy(zero_copy_only=False)
+                for code, at in zip(*np.unique(codes, return_index=True)):
+                    f = b.column("fit")[int(at)].as_py()
                     if f:
-                        known[one["s"][i].as_py()] = (f["phi"], f["unit"], f["hold"])
-                yield b.select(["row_id", "tracking_path", "tracker_id", "frame_original", *SIDES, "block", "own"])
+                        known[source.dictionary[int(code)].as_py() if code < len(source.dictionary) else None] = (f[:4], f[4:8], int(f[8]))
+                yield b.select(["row_id", "tracking_path", "tracker_id", *SIDES, "block", "own"])
 
-        known: dict = {}
         for t in _whole_groups(strip()):
-            yield emit(t, known)
+            kind = flag_tracks(t, known)
+            hit = (kind > 0) & t.own
+            yield pa.RecordBatch.from_arrays([pa.array(t.row_id[hit]), names.take(pa.array(kind[hit]))], schema=schema)
 
-    return joined.mapInArrow(run_joined, "row_id bigint, kind string")
+    return _in_order(known).mapInArrow(run, "row_id bigint, kind string")  # a join drops the order below it
 
 
 #: Boxes of an event whose side differs from the event's median by more than so many median deviations
@@ -413,12 +485,12 @@ def flag_annotation_boxes(annotations: DataFrame) -> DataFrame:
     sides = [F.col("boxes")[0][0].alias("s0"), F.col("boxes")[0][1].alias("s1"), (F.col("boxes")[0][2] - F.col("boxes")[0][0]).alias("s2"), (F.col("boxes")[0][3] - F.col("boxes")[0][1]).alias("s3")]
     board = once.where(~F.col("bad") & (F.trim("task_l2") == "Scoreboard_Single")).select("row_id", "event", *sides)
     centre = board.groupBy("event").agg(*[F.percentile_approx(f"s{k}", 0.5, 10_000).alias(f"c{k}") for k in range(4)])
-    near = board.join(centre, "event")
+    near = spread_join(board, centre, ["event"], "row_id")
     spread = near.groupBy("event").agg(*[F.percentile_approx(F.abs(F.col(f"s{k}") - F.col(f"c{k}")), 0.5, 10_000).alias(f"d{k}") for k in range(4)], *[F.first(f"c{k}").alias(f"c{k}") for k in range(4)])
     far = F.lit(False)
     for k in range(4):
         far = far | (F.abs(F.col(f"s{k}") - F.col(f"c{k}")) > BOARD_DEVIATIONS * F.greatest(f"d{k}", F.lit(LEAST_SPREAD)))
-    spikes = board.join(spread, "event").where(far).select("row_id", F.lit("spike").alias("kind"))
+    spikes = spread_join(board, spread, ["event"], "row_id").where(far).select("row_id", F.lit("spike").alias("kind"))
     return once.where("bad").select("row_id", F.lit("impossible").alias("kind")).unionByName(spikes)
 
 

@@ -36,6 +36,15 @@ def first_delivery(df: DataFrame, key: str | list[str], arrived: str) -> DataFra
     return df.groupBy(*keys).agg(picked.alias("__first")).select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
 
 
+def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", copies: int = 16) -> DataFrame:
+    """Join with a side of one row per key of which a few may hold most of ``rows``: each row of ``small`` goes out in
+    so many copies, and ``rows`` of a key are spread over them by the hash of ``by``. (Where the side turns out small at
+    run time, the plan broadcasts it.)"""
+    part = F.pmod(F.xxhash64(by), F.lit(copies)).cast("int")
+    many = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return rows.withColumn("__part", part).join(many, [*on, "__part"], how).drop("__part")
+
+
 def utc_month(ts: str | Column) -> Column:
     """``yyyy-MM`` of an instant in UTC, whatever the session's time zone."""
     c = F.col(ts) if isinstance(ts, str) else ts

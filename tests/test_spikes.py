@@ -77,6 +77,86 @@ def test_blocks_do_not_change_the_result(spark, planted, monkeypatch):
     assert {r["row_id"]: r["kind"] for r in got} == truth and len(got) == len(truth)
 
 
+def series(rng, n):
+    return np.cumsum(rng.normal(0, 1, n) + 0.5) + 300
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 8, 10, 12])
+def test_patches_of_any_length(size):
+    rng = np.random.default_rng(size)
+    n, tracks = 60, 200
+    x, g, truth = [], np.repeat(np.arange(tracks), n), np.zeros(n * tracks, bool)
+    for t in range(tracks):
+        v, at = series(rng, n), int(rng.integers(3, n - size - 3))
+        v[at : at + size] += rng.choice([-1, 1]) * rng.uniform(30, 200) * rng.normal(1, 0.02, size)
+        x.append(v)
+        truth[t * n + at : t * n + at + size] = True
+    got = spikes.additive_outliers(np.concatenate(x), g, np.full(len(g), 0.5), np.full(len(g), 2.5))
+    assert (got & truth).sum() >= 0.97 * truth.sum() and (got & ~truth).sum() <= 0.01 * truth.sum()
+
+
+@pytest.mark.parametrize("gap", [1, 2, 4, 7])
+def test_level_shifts_stand_and_spikes_beside_them_are_found(gap):
+    rng = np.random.default_rng(gap)
+    n, tracks = 60, 200
+    x, g, truth = [], np.repeat(np.arange(tracks), n), np.zeros(n * tracks, bool)
+    for t in range(tracks):
+        v, at = series(rng, n), int(rng.integers(15, 40))
+        way = rng.choice([-1, 1])
+        v[at:] += way * rng.uniform(40, 150)
+        size = int(rng.integers(1, 4))
+        a = at + gap if t % 2 else at - gap - size
+        v[a : a + size] += rng.choice([-1, 1]) * rng.uniform(200, 400)
+        truth[t * n + a : t * n + a + size] = True
+        if t % 5 == 0:
+            v[n - 4 :] += way * 90  # the track ends before it could come back
+        x.append(v)
+    got = spikes.additive_outliers(np.concatenate(x), g, np.full(len(g), 0.5), np.full(len(g), 2.5))
+    assert (got & truth).sum() >= 0.95 * truth.sum() and (got & ~truth).sum() <= 0.03 * truth.sum()
+
+
+def test_many_patches_and_degenerate_scales():
+    rng = np.random.default_rng(4)
+    v = series(rng, 3000)
+    truth = np.zeros(3000, bool)
+    for at in range(20, 2980, 20):
+        size = int(rng.integers(1, 7))
+        v[at : at + size] += 100 + 10 * np.arange(size)
+        truth[at : at + size] = True
+    one = np.zeros(3000, int)
+    got = spikes.additive_outliers(v, one, np.full(3000, 0.0), np.full(3000, 2.5))
+    assert (got == truth).mean() > 0.99
+    assert not spikes.additive_outliers(v, one, np.zeros(3000), np.full(3000, np.inf)).any()
+    spikes.additive_outliers(v, one, np.zeros(3000), np.zeros(3000))  # ends
+    assert not spikes.additive_outliers(np.arange(50) * 10.0, one[:50], np.zeros(50), np.full(50, 2.0)).any()
+
+
+def test_long_holds(spark):
+    # a source that holds a value over 400 rows: its stretches of 400 are usual, one of 4,000 is stuck
+    rows, rid, truth = [], 0, set()
+    for t in range(12):
+        frame = 0
+        for h in range(12):
+            size = 4_000 if t == 3 and h == 5 else 400
+            for k in range(size):
+                rows.append((rid, f"t{t}", "v", "slow", frame, 1, 100.0 + h, 50.0 + h % 2, 20.0, 20.0, None, "", 0))
+                if size == 4_000 and k:
+                    truth.add(rid)
+                rid, frame = rid + 1, frame + 1
+    got = spikes.flag_tracking_rows(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["row_id"] for r in got if r["kind"] == "stuck"} == truth
+    b = spikes.hold_bin(np.array([0, 127, 128, 129, 400, 10**6]))
+    assert [spikes._hold(int(x)) for x in b[:3]] == [0, 127, 128] and all(spikes._hold(int(x)) >= y for x, y in zip(b, [0, 127, 128, 129, 400, 10**6]))
+
+
+def test_rows_without_a_track_stand_alone(spark):
+    rows = [(i, None if i % 2 else "p", "v", "a", None if i % 2 == 0 else i, 1, 500.0 if i == 9 else 5.0, 5.0, 0.0 if i == 20 else 5.0, 5.0, None, "", 0) for i in range(60)]
+    laid = spikes._by_track(spark.createDataFrame(rows, SCHEMA))
+    assert laid.count() == 60 and laid.select("tracking_path", "block").distinct().count() > 50
+    got = spikes.flag_tracking_rows(spark.createDataFrame(rows + rows[:30], SCHEMA)).collect()
+    assert [(r["row_id"], r["kind"]) for r in got] == [(20, "impossible")]
+
+
 def test_empty_and_null(spark):
     assert spikes.flag_tracking_rows(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = [(1, None, None, None, None, None, None, None, None, None, None, None, None), (2, "p", "v", None, 5, 1, 1.0, 1.0, 2000.0, 1.0, None, None, None)]
