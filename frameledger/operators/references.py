@@ -1,8 +1,9 @@
 """References to records that do not exist (or are deleted, or arrive later).
 
-Keys are cut into ranges of a 128-bit hash; each task holds the parents of its ranges as sorted arrays and
-probes reference batches by vectorised binary search; misses are aggregated per table and month. Keys that
-carry many references are spread over several tasks, each with its own copy of that one parent.
+Keys are cut into ranges of a 128-bit hash, as many as the data ask for; a task holds the parents of one range at a
+time as sorted arrays and probes reference batches by vectorised binary search; misses are aggregated per table and
+month. Keys that carry many references (heavy hitters of a map-side sketch) are spread over several ranges, each with
+its own copy of that one parent.
 """
 from __future__ import annotations
 
@@ -17,11 +18,12 @@ from frameledger.session import first_delivery, trimmed, utc_month
 
 #: The prefixes a path may carry, one of which is taken off.
 PATH_PREFIX = r"^(\./data/|data/|\./dataset/|dataset/)"
-#: Ranges per task; more ranges than tasks keep the load even.
-RANGES_PER_TASK = 8
-#: A key with more than 1/HOT_SHARE of a task's fair share of references is spread. There are at most
-#: HOT_SHARE * tasks such keys, whatever the data, which bounds the broadcast below.
-HOT_SHARE = 2
+#: Ranges per task at least (more ranges than tasks keep the load even), and rows of a range on average at most.
+RANGES_PER_TASK, RANGE_ROWS = 8, 500_000
+#: A key with more than 1/HOT_SHARE of a task's fair share of references, and HOT_LEAST of them, is spread. There are
+#: at most HOT_SHARE * tasks such keys, whatever the data, which bounds the broadcast below. The sketch tracks
+#: TRACKED times as many, so that it misses none.
+HOT_SHARE, HOT_LEAST, TRACKED = 2, 1000, 32
 KINDS = [None, "missing", "deleted", "late"]
 
 
@@ -55,7 +57,7 @@ _OUT = pa.schema([("source_table", pa.string()), ("field", pa.string()), ("row_i
 
 
 class _Range:
-    """The parents of one task's ranges: sorted arrays, probed by binary search."""
+    """The parents of one range: sorted arrays, probed by binary search."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -96,11 +98,24 @@ def _micros(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return a.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), null
 
 
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the range changes."""
+    for b in batches:
+        spot = b.column("spot").to_numpy()
+        ends = [0, *(np.flatnonzero(spot[1:] != spot[:-1]) + 1).tolist(), len(spot)]
+        for a, z in zip(ends, ends[1:]):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
 def _probe_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted with the parents (side 0) of all the task's ranges first."""
-    held = _Range()
+    """Rows come sorted by range, with its parents (side 0) first; one range is held at a time."""
+    held, now = _Range(), None
     never = np.iinfo(np.int64).min
-    for b in batches:
+    for b in _by_range(batches):
+        here = b.column("spot")[0].as_py()
+        if here != now:
+            held, now = _Range(), here
         side = b.column("side").to_numpy(zero_copy_only=False)
         h1, h2 = b.column("h1").to_numpy(), b.column("h2").to_numpy()
         loaded, unknown = _micros(b.column("loaded"))
@@ -125,31 +140,31 @@ def _probe_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("source_table").take(rows), b.column("field").take(rows), b.column("row_id").take(rows), pa.array(KINDS, pa.string()).take(pa.array(kind[case])), b.column("loaded").take(rows).cast(_OUT.field("loaded").type)], schema=_OUT)
 
 
-def orphans(parent_rows: DataFrame, reference_rows: DataFrame, tasks: int) -> DataFrame:
-    """The broken references: source_table, field, row_id, kind, loaded.
+def orphans(parent_rows: DataFrame, reference_rows: DataFrame, tasks: int, rows: int = 0) -> DataFrame:
+    """The broken references: source_table, field, row_id, kind, loaded. ``rows``: about how many rows both have, which
+    sets the number of ranges.
 
     Nulls: rows without a key refer to nothing and are no parents; a parent of unknown load time is never
     late, nor is a reference of unknown load time. Ties (loaded at the same instant) are not late. Empty
     parents make every reference ``missing``. Rows repeated under one id count once.
     """
-    spark = parent_rows.sparkSession
-    counts = reference_rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    total = reference_rows.groupBy().agg(F.count(F.lit(1)).alias("total"))
-    # the hot keys: at most HOT_SHARE * tasks by construction, so the broadcast is bounded
-    hot = counts.join(F.broadcast(total), F.col("n") * tasks * HOT_SHARE > F.greatest(F.col("total"), F.lit(tasks * HOT_SHARE * 1000))).select("h1", "h2", F.ceil(F.col("n") * tasks * HOT_SHARE / F.col("total")).cast("int").alias("copies"))
-    hot = hot.checkpoint() if spark.sparkContext.getCheckpointDir() else hot
+    top = HOT_SHARE * tasks
+    sketch = F.call_function("approx_top_k", F.col("h1"), F.lit(min(2 * top, 500_000)), F.lit(min(2 * TRACKED * top, 1_000_000)))
+    share = reference_rows.groupBy().agg(F.count(F.lit(1)).alias("total"), sketch.alias("keys")).select("total", F.explode("keys").alias("k"))
+    # the hot keys: HOT_SHARE * tasks of them by construction (and the sketch's errors), so the broadcast is bounded
+    hot = share.where((F.col("k.count") * top > F.col("total")) & (F.col("k.count") > HOT_LEAST)).select(F.col("k.item").alias("h1"), F.ceil(F.col("k.count") * top / F.col("total")).cast("int").alias("copies"))
     blank = F.lit(None).cast("string")
-    p = parent_rows.join(F.broadcast(hot), ["h1", "h2"], "left").select(F.lit(0).cast("tinyint").alias("side"), "h1", "h2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("copy"), blank.alias("source_table"), blank.alias("field"), F.lit(None).cast("bigint").alias("row_id"), "loaded", F.col("gone").alias("flag"))
-    r = reference_rows.join(F.broadcast(hot), ["h1", "h2"], "left").select(F.lit(1).cast("tinyint").alias("side"), "h1", "h2", F.pmod(F.xxhash64("row_id"), F.coalesce(F.col("copies"), F.lit(1))).cast("int").alias("copy"), "source_table", "field", "row_id", "loaded", F.col("strict").alias("flag"))
+    p = parent_rows.join(F.broadcast(hot), "h1", "left").select(F.lit(0).cast("tinyint").alias("side"), "h1", "h2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("copy"), blank.alias("source_table"), blank.alias("field"), F.lit(None).cast("bigint").alias("row_id"), "loaded", F.col("gone").alias("flag"))
+    r = reference_rows.join(F.broadcast(hot), "h1", "left").select(F.lit(1).cast("tinyint").alias("side"), "h1", "h2", F.pmod(F.xxhash64("row_id"), F.coalesce(F.col("copies"), F.lit(1))).cast("int").alias("copy"), "source_table", "field", "row_id", "loaded", F.col("strict").alias("flag"))
     # range of the key: its leading bits; copies of a hot key go to other ranges
-    ranges = tasks * RANGES_PER_TASK
+    ranges = max(tasks * RANGES_PER_TASK, rows // RANGE_ROWS)
     width = float(2**64) / ranges
     spot = F.floor((F.col("h1").cast("double") + F.lit(2.0**63)) / F.lit(width)).cast("int")
-    spot = F.least(spot, F.lit(ranges - 1))
-    task = F.pmod(spot + F.col("copy"), F.lit(tasks)).cast("int")
-    both = p.unionByName(r).withColumn("task", task).repartitionById(tasks, F.col("task")).sortWithinPartitions("side")
-    out = both.select("side", "h1", "h2", "source_table", "field", "row_id", "loaded", "flag").mapInArrow(_probe_task, "source_table string, field string, row_id bigint, kind string, loaded timestamp")
-    return out
+    spot = F.pmod(F.least(spot, F.lit(ranges - 1)) + F.col("copy"), F.lit(ranges)).cast("int")
+    # ranges in turn over the tasks; a task's ranges one behind the other
+    tasks = max(tasks, ranges // (8 * RANGES_PER_TASK))
+    both = p.unionByName(r).withColumn("spot", spot).repartitionById(tasks, F.pmod(F.col("spot"), F.lit(tasks))).sortWithinPartitions("spot", "side")
+    return both.select("side", "h1", "h2", "source_table", "field", "row_id", "loaded", "flag", "spot").mapInArrow(_probe_task, "source_table string, field string, row_id bigint, kind string, loaded timestamp")
 
 
 def broken_references(annotations: DataFrame, tracking_files: DataFrame, prepared_samples: DataFrame, tasks: int) -> DataFrame:
@@ -166,7 +181,8 @@ def broken_references(annotations: DataFrame, tracking_files: DataFrame, prepare
     r = r.unionByName(references(annotations, "annotations", "tracking_bboxes", "row_id", "loaded_at", "path", True, tidy_path("tracking_bboxes")))
     r = r.unionByName(references(prepared_samples, "prepared_samples", "annotation_id", "record_id", "written_at", "annotation", True, *ann("annotation_id")))
     r = r.unionByName(references(tracking_files, "tracking_files", "annotation_id", "file_id", "loaded_at", "annotation", False, *ann("annotation_id")))
-    found = orphans(p, r, tasks)
+    # row counts come from the files' footers
+    found = orphans(p, r, tasks, 3 * annotations.count() + 2 * tracking_files.count() + prepared_samples.count())
     return found.select("source_table", "field", "row_id", "kind", utc_month("loaded").alias("period"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger.operators import nested, parse_lines, references, spikes
-from frameledger.session import ensure_checkpoint_dir, first_delivery, shuffle_width, table
+from frameledger.session import first_delivery, shuffle_width, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,6 @@ def _kind(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], D
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
     return references.broken_references(table(spark, d, "annotations"), table(spark, d, "tracking_files"), table(spark, d, "prepared_samples"), shuffle_width(spark))
 
 
