@@ -41,6 +41,10 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.in_order(p8_mix(spark, d))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
@@ -53,5 +57,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents"), restore=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_labels": p5_labels, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_labels": p5_labels, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_blocks": p8_blocks, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL: dict[str, str] = {}

@@ -88,30 +88,48 @@ def test_pfair_stays_within_a_block():
 TARGETS = "source string, weight double, max_repeats int"
 
 
-def test_mix(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 60)
+def test_mix(spark):
+    block = 16
     r = random.Random(2)
     docs = [(i, " ".join(["word"] * r.randint(1, 30)), s) for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["small"] * 60 + ["other"] * 50 + [None] * 5)]
-    docs += [(5000, None, "big"), (5001, "", "mid")]
+    docs += [(5000, None, "big"), (5001, "", "mid"), (5002, " ".join(["word"] * 900), "mid")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3), ("absent", 0.4, 3)], TARGETS)
-    m = mixing.mix(df, targets).collect()
+    mixture = mixing.mix(df, targets, block=block)
+    m = mixture.collect()
     assert {x["source"] for x in m} == {"big", "mid", "small"}
     assert len({(x["doc_id"], x["use_no"]) for x in m}) == len(m)
     cap = {"big": 1, "mid": 2, "small": 3}
     assert all(1 <= x["use_no"] <= cap[x["source"]] for x in m) and all(x["n_tokens"] > 0 for x in m)
-    got = {x["source"]: x for x in mixing.shares(mixing.mix(df, targets), targets).collect()}
+    assert all(sum(p["n_tokens"] for p in x["pieces"]) == x["n_tokens"] and x["pieces"][0]["at"] == 0 for x in m)
+    got = {x["source"]: x for x in mixing.shares(mixture, targets).collect()}
     for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
         assert abs(got[s]["share"] - w) < 0.02
     assert got["small"]["most_uses"] == 3 and got["absent"]["share"] == 0
-    # at any point of the mixture no source strays by more than a block and the records at its edges
-    m.sort(key=lambda x: (x["slot"], x["start_token"]))
-    block = sum(x["n_tokens"] for x in m) / (m[-1]["slot"] + 1)
+    # whole records but for the last of each source
+    whole = {d: len((t or "").split()) for d, t, _ in docs}
+    assert sum(x["n_tokens"] != whole[x["doc_id"]] for x in m) <= 3
+    # every slot is one full block of one source, and at any point no source strays by a block
+    pieces = mixing.in_order(mixture).collect()
+    filled = {}
+    for p in pieces:
+        filled.setdefault((p["slot"], p["source"]), []).append(p["n_tokens"])
+    assert sorted(k[0] for k in filled) == list(range(len(filled))) and {sum(x) for x in filled.values()} == {block}
     total, by = 0, dict.fromkeys(cap, 0)
-    for x in m:
-        total += x["n_tokens"]
-        by[x["source"]] += x["n_tokens"]
-        assert all(abs(by[s] - w * total) < 2 * block + 62 for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)))
+    for p in pieces:
+        for _ in range(p["n_tokens"]):
+            total += 1
+            by[p["source"]] += 1
+            assert all(abs(by[s] - w * total) < block for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)))
+
+
+def test_weights_and_plan():
+    assert mixing.whole_weights({"a": 0.35, "b": 0.25, "c": 0.4}) == {"a": 7, "b": 5, "c": 8}
+    assert mixing.whole_weights({"a": 3.0, "b": 1.0}) == {"a": 3, "b": 1} and mixing.whole_weights({}) == {}
+    odd = mixing.whole_weights({str(i): 1 / p for i, p in enumerate((7, 11, 13, 17, 19, 23))})
+    assert sum(odd.values()) <= 1_005 and abs(odd["0"] / sum(odd.values()) - (1 / 7) / sum(1 / p for p in (7, 11, 13, 17, 19, 23))) < 1e-3
+    slots, blocks, period = mixing.plan([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.0, 9)], {"a": 10**15, "b": 3 * 10**14, "c": 5}, 4096)
+    assert period == 2 and blocks["b"] == 6 * 10**14 // 4096 and 0 <= blocks["a"] - blocks["b"] <= 1 and sorted(slots["a"] + slots["b"]) == [0, 1]
 
 
 def test_mix_of_nothing(spark):
