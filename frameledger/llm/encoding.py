@@ -1,8 +1,8 @@
 """Text garbled by a wrong character encoding: finding the spans, and restoring them where possible.
 
 For every pair (encoding the bytes were in, encoding they were read as) the garbled sequences are computed
-beforehand: of the signs of UTF-8 read as a one-byte encoding, found by one multi-pattern automaton, and of the
-corpus' own words in one one-byte encoding read as another. The words are a distributed table of any size; their
+beforehand and found by one multi-pattern automaton: of the signs of UTF-8 read as a one-byte encoding, the pairs of
+bytes of Cyrillic and Chinese encodings read as Western ones, and the sign for a lost character; and of the corpus' own words in one one-byte encoding read as another. The words are a distributed table of any size; their
 garbled forms are made on the workers and joined with what the texts hold. Only matched spans are replaced.
 """
 from __future__ import annotations
@@ -37,7 +37,7 @@ FREQUENCY_RATIO = 4
 #: Pieces of a text that hold a sign beyond ASCII: with the signs that cling to a word, and the bare words.
 _PIECE = re.compile("[A-Za-z\u0080-\u2e7f\ua000-\ufefe]+")
 _CLINGING = re.compile("[’‘“”„«»…–—¡¿·]+")
-MAX_WORD = 24
+LOST = "\ufffd"
 
 
 def _read_as(raw: bytes, wrong: str) -> str:
@@ -98,6 +98,7 @@ def patterns(vocabulary: dict[str, int]) -> dict[str, tuple[int, str | None]]:
             old = out.get(g)
             if old is None or (old[0] == WEAK and not weak):
                 out[g] = (WEAK if weak else STRONG, sign)
+    out[LOST] = (STRONG, None)
     for b in [*range(0x80, 0x85), *range(0x86, 0xA0)]:  # Windows' own signs read as Latin-1
         try:
             out.setdefault(chr(b), (STRONG, bytes([b]).decode("cp1252")))
@@ -138,7 +139,13 @@ def word_forms(word: str, n: int) -> Iterator[tuple[str, list[str]]]:
         yield g, list({g, *(x for p in re.findall(r"[^\W\d_]+", g) for x in (p, p.casefold()) if not x.isascii())})
 
 
-_RUN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{4,}")
+def byte_pairs() -> list[str]:
+    """All pairs of upper bytes as they are read in a Western encoding: what a run of Cyrillic or Chinese bytes is made of."""
+    signs = [_one(b, "cp1252") for b in range(0x80, 0x100)]
+    signs += [chr(b) for b in range(0x80, 0xA0) if chr(b) not in signs]
+    return [x + y for x in signs for y in signs]
+
+
 _LETTERS = re.compile("[À-ÿ]")
 
 
@@ -187,7 +194,10 @@ class Finder:
         self.automaton = ahocorasick.Automaton()
         self.patterns = patterns(vocabulary)
         for g, (strength, sound) in self.patterns.items():
-            self.automaton.add_word(g, (len(g), strength, sound))
+            self.automaton.add_word(g, (len(g), strength, sound, False))
+        for g in byte_pairs():
+            strength, sound = self.patterns.get(g, (None, None))
+            self.automaton.add_word(g, (2, strength, sound, True))
         self.automaton.make_automaton()
 
     def spans(self, text: str, words: dict[str, str] | None = None) -> tuple[list[tuple[int, int, str | None]], bool]:
@@ -202,16 +212,21 @@ class Finder:
                 if free(at, at + len(g)):
                     hits.append((at, -len(g), WORDS, sound))
                 at = text.find(g, at + 1)
-        for end, (length, strength, sound) in self.automaton.iter(text):
+        runs: list[list[int]] = []  # pairs of bytes that overlap, as runs
+        for end, (length, strength, sound, pair) in self.automaton.iter(text):
             begin = end + 1 - length
-            if strength == WORDS and not free(begin, end + 1):
+            if pair:
+                if runs and runs[-1][1] == end:
+                    runs[-1][1] = end + 1
+                else:
+                    runs.append([begin, end + 1])
+            if strength is None or (strength == WORDS and not free(begin, end + 1)):
                 continue
             hits.append((begin, -length, strength, sound))
-        for m in _RUN.finditer(text):
-            sound = _run_text(m.group())
+        for begin, end in runs:
+            sound = _run_text(text[begin:end]) if end - begin >= 4 else None
             if sound is not None:
-                hits.append((m.start(), -len(m.group()), STRONG, sound))
-        lost = [m.start() for m in re.finditer("�", text)]
+                hits.append((begin, begin - end, STRONG, sound))
         hits.sort(key=lambda h: (h[0], h[2] == WORDS, h[1]))
         out: list[tuple[int, int, str | None]] = []
         kinds: list[int] = []
@@ -222,7 +237,7 @@ class Finder:
             upto = begin - minus
             out.append((begin, upto, sound))
             kinds.append(strength)
-        case = bool(lost)
+        case = False
         points = 0.0
         keep = []
         for i, (begin, end, _) in enumerate(out):
@@ -239,8 +254,7 @@ class Finder:
                 case = True
                 keep.append(i)
         case = case or points >= 1
-        spans = [out[i] for i in keep] + [(p, p + 1, None) for p in lost]
-        return sorted(spans, key=lambda s: s[0]), case
+        return [out[i] for i in keep], case
 
     def replaced(self, text: str, words: dict[str, str] | None = None) -> tuple[str, int, bool]:
         """The text with its garbled spans replaced once, the number of these, and whether it is a case."""
@@ -261,7 +275,7 @@ class Finder:
             count += n
             if not n:
                 break
-        lost = text.count("�")
+        lost = text.count(LOST)
         return text, count + lost, lost == 0
 
 
@@ -284,29 +298,30 @@ def pieces(token: str) -> list[str]:
         words = _CLINGING.split(p)
         if len(words) > 1:
             out += [w for w in words if w and not w.isascii() and w.isalpha()]
-    return [p for p in out if len(p) <= MAX_WORD]
+    return out
 
 
-def candidates(token: str) -> list[str]:
+def candidates(token: str, longest: int) -> list[str]:
     """Whatever in a text without white space may be a garbled word: its stretches of letters and signs, not
-    all ASCII, between which and their neighbours a word may end."""
+    all ASCII, between which and their neighbours a word may end; no longer than the corpus' longest word (of a word
+    in a one-byte encoding the garbled form is as long as the word)."""
     out = []
     for p in _PIECE.findall(token):
         if p.isascii():
             continue
         if p.isalnum():
-            if len(p) <= MAX_WORD:
+            if len(p) <= longest:
                 out.append(p)
             continue
         ends = [j for j in range(1, len(p) + 1) if j == len(p) or _free(" ", p[j])]
         for i in range(len(p)):
             if i == 0 or _free(p[i - 1], " "):
-                out += [p[i:j] for j in ends[bisect_right(ends, i) : bisect_right(ends, i + MAX_WORD)] if not p[i:j].isascii()]
+                out += [p[i:j] for j in ends[bisect_right(ends, i) : bisect_right(ends, i + longest)] if not p[i:j].isascii()]
     return out
 
 
-def held(text: str) -> set[str]:
-    return {c for t in set(text.split()) if not t.isascii() for c in candidates(t)}
+def held(text: str, longest: int) -> set[str]:
+    return {c for t in set(text.split()) if not t.isascii() for c in candidates(t, longest)}
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -328,14 +343,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
 
 
-def garbled_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
+def garbled_words(texts: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
     """``garbled, sound``: of the garbled forms of all counted words those that the texts hold and that are not
     made of pieces at home in the corpus, each with the most frequent word it may stand for."""
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens = {w for t in b.column(0).to_pylist() for w in t.split() if not w.isascii()}
-            yield pa.RecordBatch.from_arrays([pa.array({c for t in tokens for c in candidates(t)}, pa.string())], names=["garbled"])
+            yield pa.RecordBatch.from_arrays([pa.array({c for t in tokens for c in candidates(t, longest)}, pa.string())], names=["garbled"])
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,10 +366,10 @@ def garbled_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
     return known.groupBy("garbled").agg(F.min_by("sound", F.struct(-F.col("n"), "sound")).alias("sound"))
 
 
-def _with_words(texts: DataFrame, counts: DataFrame) -> tuple[DataFrame, Broadcast]:
+def _with_words(texts: DataFrame, counts: DataFrame, longest: int) -> tuple[DataFrame, Broadcast]:
     """``key, text, n_spans, words``, the garbled words each text holds; or, where there are few in all, null
     for ``words`` and all of them as a broadcast."""
-    found = garbled_words(texts, counts).checkpoint()
+    found = garbled_words(texts, counts, longest).checkpoint()
     few = found.limit(SHARED_FORMS + 1).collect()
     share = texts.sparkSession.sparkContext.broadcast
     if len(few) <= SHARED_FORMS:
@@ -362,7 +377,7 @@ def _with_words(texts: DataFrame, counts: DataFrame) -> tuple[DataFrame, Broadca
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in held(t)]
+            rows = [(i, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in held(t, longest)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "garbled"])
 
     # texts with the same hash only see each other's words as well
@@ -381,17 +396,18 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", resto
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("n_spans"))
     counts = word_counts(picked).checkpoint()
+    longest = counts.where(F.col("word").rlike(r"^\p{L}+$")).agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
 
     def searched(texts: DataFrame, again: bool) -> DataFrame:
         """The cases among the texts, with ``restore`` after one round of replacements; all texts if ``again``."""
-        texts, shared = _with_words(texts, counts)
+        texts, shared = _with_words(texts, counts, longest)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder, common = _finder(), shared.value
             for b in batches:
                 hit, rows = [], []
                 for i, (t, n, own) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
-                    words = dict(own) if own else {c: common[c] for c in held(t) if c in common} if common else None
+                    words = dict(own) if own else {c: common[c] for c in held(t, longest) if c in common} if common else None
                     body, now, case = finder.replaced(t, words) if restore else (None, 0, finder.spans(t, words)[1])
                     if case or again:
                         hit.append(i)

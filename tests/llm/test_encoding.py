@@ -46,6 +46,14 @@ def test_chinese_read_as_latin(finder):
     assert finder.spans(bad)[1]
 
 
+def test_runs_of_bytes_come_from_the_automaton(finder):
+    for text, true in (("Ночная", "cp1251"), ("仓库希望检查附件", "gb2312")):
+        bad = encoding._read_as(text.encode(true), "cp1252")
+        spans, case = finder.spans(f"x {bad} y")
+        assert case and [(b, e) for b, e, _ in spans] == [(2, 2 + len(bad))]
+    assert not finder.spans("Ça même «éé» ÀÉ")[1]
+
+
 def test_lost_signs_and_mixed_text(finder):
     text, n, complete = finder.restore("Gr�ße and cafÃ© für Grüße")
     assert text == "Gr�ße and café für Grüße" and not complete and n == 2
@@ -67,13 +75,15 @@ def test_words_of_any_vocabulary(spark, monkeypatch, shared):
     # the garbled word is one of 11,000 that four texts hold, too many for a table of the most frequent
     monkeypatch.setattr(encoding, "SHARED_FORMS", shared)
     letters = "bcdfghklmn"
+    long = "Größenverhältnisübersichtstabellenführer"
     many = ["ü" + "".join(letters[int(x)] for x in f"{i:05d}") for i in range(11_000)]
-    common = " ".join([*many, "zaliczkę"])
+    common = " ".join([*many, "zaliczkę", long])
     once, other = garble("zaliczkę", "cp1250", "cp1252"), garble(many[5_000], "cp1252", "cp437")
     twice = garble(once, "utf-8", "cp1252")
-    rows = [(i, common) for i in range(4)] + [(10, f"x ({once}) y"), (10, f"x ({once}) y"), (11, other), (12, f"«{twice}»"), (13, "fin é")]
+    rows = [(i, common) for i in range(4)] + [(10, f"x ({once}) y"), (10, f"x ({once}) y"), (11, other), (12, f"«{twice}»"), (13, "fin é"), (14, garble(long, "cp1252", "cp850"))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r["doc_id"] for r in encoding.find_garbled(df).collect()) == [10, 10, 11, 12]
+    assert sorted(r["doc_id"] for r in encoding.find_garbled(df).collect()) == [10, 10, 11, 12, 14]
     fixed = sorted((r["doc_id"], r["restored"], r["n_spans"], r["complete"]) for r in encoding.find_garbled(df, restore=True).collect())
+    assert fixed.pop()[:2] == (14, long)
     n = fixed[-1][2]
     assert n >= 2 and fixed == [(10, "x (zaliczkę) y", 1, True)] * 2 + [(11, many[5_000], 1, True), (12, "«zaliczkę»", n, True)]
