@@ -45,6 +45,13 @@ def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: str, how:
     return rows.withColumn("__part", part).join(many, [*on, "__part"], how).drop("__part")
 
 
+def small_join(rows: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", most: int = 20_000) -> DataFrame:
+    """Join with a side that is broadcast if it has no more rows than ``most`` (it is counted), else ``spread_join``."""
+    if small.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(small), on, how)
+    return spread_join(rows, small, on, by, how)
+
+
 def utc_month(ts: str | Column) -> Column:
     """``yyyy-MM`` of an instant in UTC, whatever the session's time zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
