@@ -1,229 +1,274 @@
 """Text cut off by field limits or in transfer.
 
-Per source and field the histograms of lengths, in characters and in bytes, are tested for spikes at their
-upper end; values of a spike's length without terminal punctuation are cut. Values cut in transfer have no
-common length: they are judged by how they end - an open bracket, quotation or code fence, or last words that
-the whole corpus does not end on.
+Per source and field the histograms of lengths, in characters, bytes and words, are tested for spikes at their upper
+end. Values of a spike's length without terminal punctuation are cut: evidence ``limit``. Values cut in transfer have
+no common length, so no histogram can show them: evidence ``transfer``. They are judged by how they end - an open
+bracket, quotation or code fence, or last words that the whole corpus does not end on.
 """
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.session import ensure_checkpoint_dir, first_delivery
+from frameledger.llm.reading import END, STOP, STOPS, Reader, mix, slices, unquoted
+from frameledger.session import ensure_checkpoint_dir, first_delivery, small_join
 
 #: A length is a spike from SPIKE_TIMES its neighbours' mean plus SPIKE_LEAST values on, if no more than
 #: TAIL_SHARE of its own number is longer. Neighbours are the lengths up to NEAR away.
 SPIKE_TIMES, SPIKE_LEAST, TAIL_SHARE, NEAR = 5.0, 5, 0.2, 15
+#: A spike is a limit only if this share of its values differ: texts that recur have their length for another reason.
+DISTINCT_SHARE = 0.5
 #: An unpunctuated end is whole if its last words end a sentence in this share of their occurrences.
 END_SHARE = 0.3
 #: A last line (or value) without punctuation is whole if SHARED values at least have it (less is no evidence),
 #: and if they are SHARED_PART of themselves and the longer ones that begin so: a share, whatever the number of rows.
 #: Cuts fall anywhere, so few of them on one place; of whole answers that sentences also begin with there are more.
 SHARED, SHARED_PART = 3, 0.01
-LINE_CHARS = 60
+#: Begins up to this number are shipped, so that only sentences with the same first words are compared; beyond it all are.
+SHIPPED_BEGINS = 200_000
 
-TERMINAL = re.compile(r"""[.!?。！？؟।][)\]}"'»”’*_`\s]*$""")
+#: Signs that may stand behind the last sentence.
+_CLOSERS = " \t\r\n\f\v )]}\"'»”’*_`"
+_TERMINAL = frozenset(".!?。！？؟।")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
-_TOKEN = re.compile(r"[⺀-鿿]|[^\s⺀-鿿.!?。！？,，;；:]+|[.!?。！？]|\n|[,，;；:]")
 _AFTER_NUMBER = re.compile(r"(?<=9)[.,:]$")  # of a masked text: a number may go on behind it
+_MEMBER = re.compile(r'\{\s*["}]')
 #: Only signs that close what was begun, also where they are spelt in JSON.
 _CLOSING = r"""^(?:[\s"'»”’`)\]}>*_]|\\[n"])*$"""
-_STOP = set(".!?。！？\n")
+#: What a text handed on may stand behind: the begin, or a sign that opens it.
+_OPENING = r"""(?s)^$|^.*[\n:"'“‘«>`]\s*$"""
 #: End classes: punctuated or closed, bare, open.
 CLOSED, BARE, OPEN = 0, 1, 2
 
 
-def _mask(s: str) -> str:
-    return _NUMBER.sub("9", s)
+def terminal(s: str) -> bool:
+    """Whether a text ends a sentence, closing signs aside."""
+    return s.rstrip(_CLOSERS)[-1:] in _TERMINAL and s.rstrip(_CLOSERS) != ""
 
 
-def _key(kind: str, s: str) -> int:
-    return int.from_bytes(blake2b(f"{kind}\0{s}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _open_json(text: str) -> bool | None:
-    """Whether a JSON text (after a possible lead-in) is still open at its end; None if it is no JSON."""
-    s = text.lstrip()
-    if s.count("```") % 2 or re.search(r"\n``?$", s):
+def _open_json(s: str) -> bool | None:
+    """Whether the JSON of a text (after a possible lead-in) is still open at its end; None if it holds none."""
+    if "```" in s and (s.count("```") % 2 or s.endswith(("\n`", "\n``"))):
         return True
-    at = min((i for i in (s.find("{"), s.find("[")) if i >= 0), default=-1)
-    if at < 0 or at > 60 or (s[at] == "[" and not s.startswith(("[", "```", '"'), 0)):
+    if s.endswith(("\n`", "\n``")):
+        return True
+    head = s.lstrip()[:1]
+    if head in ("[", "`", '"'):
+        at = min((i for i in (s.find("{"), s.find("[")) if i >= 0), default=-1)
+    else:
+        at = s.find("{")
+        if at >= 0 and (m := _MEMBER.search(s, at)):
+            at = m.start()
+        elif at < 0 or s[at + 1 :].strip():
+            return None
+    if at < 0:
         return None
     body = _STRING.sub('""', s[at:])
     if body.count('"') % 2:
         return True
-    depth = body.count("{") + body.count("[") - body.count("}") - body.count("]")
-    return depth > 0
-
-
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
-
-
-def _last_sentence(text: str) -> str:
-    return _mask(_SENTENCE.split(text.rstrip())[-1].strip())
+    return body.count("{") + body.count("[") > body.count("}") + body.count("]")
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_mask(text.lower()))
-
-
-def _tail_key(toks: list[str]) -> str:
-    """The context of an end: two words, or four ideographs."""
-    if toks and "⺀" <= toks[-1][0] <= "鿿":
-        return " ".join(toks[-4:])
-    return " ".join(toks[-2:])
-
-
-def end_of(text: str) -> tuple[int, str, str]:
-    """End class, and for bare ends the tail context and the masked last sentence or line."""
+def end_of(text: str) -> int:
+    """End class of a text."""
     s = text.rstrip()
     if not s:
-        return CLOSED, "", ""
+        return CLOSED
     opened = _open_json(s)
     if opened:
-        return OPEN, "", ""
-    line = s.rsplit("\n", 1)[-1]
-    if opened is False:
-        if line[-1:] in "}]`\"" or TERMINAL.search(line):
-            return CLOSED, "", ""
-    if s.endswith("…"):
-        return BARE, _tail_key([t for t in tokens(s[:-1].rsplit("\n", 1)[-1]) if t not in ",，;；:"] + ["…"]), _last_sentence(s)
-    if TERMINAL.search(s):
-        return CLOSED, "", ""
+        return OPEN
+    if not any(map(str.isalnum, s)):
+        return CLOSED  # no content that could be cut
+    line = s[s.rfind("\n") + 1 :]
+    if opened is False and (line[-1] in "}]`\"" or terminal(line)):
+        return CLOSED
+    if s[-1] == "…":
+        return BARE
+    if terminal(s):
+        return CLOSED
     if line.count("[") > line.count("]") or line.count("(") > line.count(")") or line.count("{") > line.count("}"):
-        return OPEN, "", ""
-    if line[-1] in ")]}*_" and re.search(r"[\[({*_]", line[:-1]):
-        return CLOSED, "", ""
-    if line[-1] in ",，;；:、([{-–—" and len(line) > 2:
-        # a bare colon or comma: judged by whether such lines are common
-        return BARE, _tail_key(tokens(line)), _last_sentence(s)
-    toks = tokens(line)
-    while toks and toks[-1] in ",，;；:":
-        toks.pop()
-    return BARE, _tail_key(toks), _last_sentence(s)
+        return OPEN
+    if line[-1] in ")]}*_" and any(x in line[:-1] for x in "[({*_"):
+        return CLOSED
+    return BARE
 
 
 def value_table(records: DataFrame, key: str, source: str, fields: list[str], arrived: str) -> DataFrame:
-    """``record_id, source, field, text``: the non-null values of the fields, each record once."""
+    """``record_id, source, field, text, handed_on``: the non-null values of the fields, each record once."""
     once = first_delivery(records.select(key, source, *fields, arrived), key, arrived)
     stacked = ", ".join(f"'{f}', `{f}`" for f in fields)
     values = once.select(F.col(key).alias("record_id"), F.col(source).alias("source"), F.expr(f"stack({len(fields)}, {stacked}) as (field, text)"), F.col(fields[0]).alias("__first"))
     # a field that hands on the whole first field, be it plain or as a JSON text, stops where that stops
     plain = F.rtrim("__first")
     spelt = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    ends_with = lambda h: F.contains("text", h) & F.call_function("substring_index", F.col("text"), h, F.lit(-1)).rlike(_CLOSING)
-    handed = (F.col("field") != fields[0]) & (F.length("__first") > 20) & (ends_with(plain) | ends_with(spelt))
+
+    def hands_on(h):
+        after = F.call_function("substring_index", F.col("text"), h, F.lit(-1))
+        before = F.left("text", F.length("text") - F.length(after) - F.length(h))
+        return F.contains("text", h) & after.rlike(_CLOSING) & (before.rlike(_OPENING) | (F.trim(before) == h))
+
+    handed = (F.col("field") != fields[0]) & (F.trim("__first") != "") & (hands_on(plain) | hands_on(spelt))
     values = values.withColumn("handed_on", F.coalesce(handed & ~F.col("text").rlike(r"\{\s*\""), F.lit(False)))
     return values.where(F.col("text").isNotNull()).drop("__first")
 
 
-_PROFILE = "record_id bigint, source string, field string, handed_on boolean, n_chars int, n_bytes int, ending tinyint, terminal boolean, k_tail bigint, k_line bigint, k_value bigint, line string, value string"
+_KEYS = ["k_tail", "k_line", "k_value"]
+_PROFILE = "record_id bigint, source string, field string, handed_on boolean, h_text bigint, n_chars int, n_bytes int, n_words int, ending tinyint, terminal boolean, k_tail bigint, k_line bigint, k_value bigint, line string, value string"
+
+
+def _final(r: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the last sentence (first and last sign) and the whole (first and last sign); equal ends: none."""
+    text, first, last = r.sentences()
+    out = [np.zeros(r.n, np.int64) for _ in range(4)]
+    out[0][text], out[1][text] = first, last  # the last of each text stays
+    out[2][text[::-1]], out[3][text] = first[::-1], last
+    return tuple(out)
+
+
+def _tails(r: Reader) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the context it ends on, and whether there is one: its last token is no stop, and no sign that only
+    parts words follows."""
+    out, some = np.zeros(r.n, np.uint64), np.zeros(r.n, bool)
+    i = np.flatnonzero((r.next_kind() == END) & ~r.stop)
+    out[r.text[i]] = r.contexts()[i]
+    some[r.text[i]] = True
+    return out, some
 
 
 def profile(values: DataFrame) -> DataFrame:
     """Lengths and end class of every value, and the keys by which the corpus is asked about bare ends."""
-    schema = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("handed_on", pa.bool_()), ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("ending", pa.int8()), ("terminal", pa.bool_()), ("k_tail", pa.int64()), ("k_line", pa.int64()), ("k_value", pa.int64()), ("line", pa.string()), ("value", pa.string())])
+    ints = [("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("n_words", pa.int32()), ("ending", pa.int8()), ("terminal", pa.bool_())]
+    schema = pa.schema([("record_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("handed_on", pa.bool_()), ("h_text", pa.int64()), *ints, *[(k, pa.int64()) for k in _KEYS], ("line", pa.string()), ("value", pa.string())])
+
+    def part(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        ending = np.array([end_of(t) for t in texts], np.int8)
+        ends = [terminal(t) for t in texts]
+        chars, size = [len(t) for t in texts], [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        words = [len(t.split()) for t in texts]
+        bare = np.flatnonzero(ending == BARE)
+        keys = [np.zeros(len(texts), np.int64) for _ in _KEYS]
+        empty = [np.ones(len(texts), bool) for _ in _KEYS]
+        strings: list[list] = [[None] * len(texts), [None] * len(texts)]
+        if len(bare):
+            r = Reader([texts[i].rstrip() for i in bare])
+            tail, some = _tails(r)
+            some &= np.array([texts[i].rstrip()[-1] not in ",，;；:、" for i in bare])
+            a, z, a0, z0 = _final(r)
+            for j, (k, ok) in enumerate(((tail, some), (r.spans(a, z), z > a), (r.spans(a0, z0), z0 > a0))):
+                keys[j][bare], empty[j][bare] = k.view(np.int64), ~ok
+            for n, i in enumerate(bare):
+                strings[0][i] = _AFTER_NUMBER.sub("", r.string(a[n], z[n]))
+                strings[1][i] = _AFTER_NUMBER.sub("", r.string(a0[n], z0[n]))
+        arrays = [b.column("record_id").cast(pa.int64()), b.column("source"), b.column("field"), b.column("handed_on"), b.column("h_text")]
+        arrays += [pa.array(c, t) for c, (_, t) in zip((chars, size, words, ending, ends), ints)]
+        arrays += [pa.array(k, pa.int64(), mask=e) for k, e in zip(keys, empty)] + [pa.array(s, pa.string()) for s in strings]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for text in b.column("text").to_pylist():
-                kind, tail, line = end_of(text)
-                bare = kind == BARE
-                row = (len(text), len(text.encode("utf-8", "surrogatepass")), kind, bool(TERMINAL.search(text.rstrip())), _key("t", tail) if bare else None)
-                line, value = line if bare and len(line) <= LINE_CHARS else None, _mask(text.strip()) if bare and len(text) <= LINE_CHARS else None
-                row += (None if line is None else _key("l", line), None if value is None else _key("v", value), line and _AFTER_NUMBER.sub("", line), value and _AFTER_NUMBER.sub("", value))
-                for c, v in zip(cols, row):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("record_id").cast(pa.int64()), b.column("source"), b.column("field"), b.column("handed_on"), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[4:])]], schema=schema)
-
-    return values.select("record_id", "source", "field", "handed_on", "text").mapInArrow(run, _PROFILE)
+            texts = b.column("text").to_pylist()
+            for i, j in slices(texts):
+                yield part(b.slice(i, j - i), texts[i:j])
 
-
-def _prose(text: str) -> str:
-    """The text; of a structure the texts inside it, whose words end where their strings end."""
-    if _open_json(text) is not None and text.lstrip()[:1] in "{[`":
-        return "\n".join(m[1:-1].replace("\\n", "\n").replace('\\"', '"') for m in _STRING.findall(text) if " " in m or "⺀" <= m[1:2] <= "鿿")
-    return text
+    return values.select("record_id", "source", "field", "handed_on", F.xxhash64("text").alias("h_text"), "text").mapInArrow(run, _PROFILE)
 
 
 def corpus_ends(values: DataFrame) -> DataFrame:
-    """``key, n, e`` over all values: of tail contexts the occurrences and those that end a sentence; of last
-    lines the values that end on them; of short values their number.
+    """``key, n, e`` over all values: of contexts (kind in the last bits: see ``_kinded``) the occurrences and those that
+    end a sentence; of last lines the values that end on them; of whole values their number.
 
-    Counted per batch before the shuffle, so frequent words cost one row per batch."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("e", pa.int64())])
+    Counted per slice before the shuffle, so frequent words cost one row per slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            ends: Counter = Counter()
-            lines: Counter = Counter()
-            values_: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                final = _last_sentence(text)
-                if len(final) <= LINE_CHARS:
-                    lines[final] += 1
-                if len(text) <= LINE_CHARS:
-                    values_[_mask(text.strip())] += 1
-                s = _prose(text).strip()
-                if not s:
-                    continue
-                toks = [t for t in tokens(s) if t not in ",，;；:"]
-                last = len(toks) - 1
-                for i, t in enumerate(toks):
-                    if t in _STOP or i == last:
-                        continue
-                    han = "⺀" <= t[0] <= "鿿"
-                    span = toks[max(0, i - 3) : i + 1] if han else toks[max(0, i - 1) : i + 1]
-                    while span and any(x in _STOP for x in span[:-1]):
-                        span = span[1:]
-                    k = " ".join(span)
-                    seen[k] += 1
-                    if toks[i + 1] in _STOP:
-                        ends[k] += 1
-            keys, n, e = [], [], []
-            for k, c in seen.items():
-                keys.append(_key("t", k)), n.append(c), e.append(ends[k])
-            for k, c in lines.items():
-                keys.append(_key("l", k)), n.append(c), e.append(0)
-            for k, c in values_.items():
-                keys.append(_key("v", k)), n.append(c), e.append(0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(e, pa.int64())], schema=schema)
+            texts = [unquoted(t).strip() for t in b.column("text").to_pylist()]
+            for i, j in slices(texts):
+                r = Reader(texts[i:j])
+                after = r.next_kind()
+                use = ~r.stop & (after != END)
+                seen, at, n = np.unique(r.contexts()[use], return_inverse=True, return_counts=True)
+                e = np.bincount(at, weights=(after[use] == STOP), minlength=len(seen)).astype(np.int64)
+                a, z, a0, z0 = _final(r)
+                lines, n1 = np.unique(r.spans(a, z), return_counts=True)
+                whole, n2 = np.unique(r.spans(a0, z0), return_counts=True)
+                zero = np.zeros(len(lines) + len(whole), np.int64)
+                key = np.concatenate([_kinded(seen, 0), _kinded(lines, 1), _kinded(whole, 2)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([n, n1, n2])), pa.array(np.concatenate([e, zero]))], names=["key", "n", "e"])
 
     return values.select("text").mapInArrow(run, "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
-def _head(kind: str, s: str) -> bytes:
-    """What a sentence or value begins with; a full stop alone does not make it longer than a bare one."""
-    return (kind + _AFTER_NUMBER.sub("", _mask(s.strip()).rstrip(".!?。！？؟।"))[: LINE_CHARS + 1]).encode("utf-8", "surrogatepass")
+def _kinded(h: np.ndarray, kind: int) -> np.ndarray:
+    """The hash with its kind (0 context, 1 line, 2 value) in the last two bits."""
+    return ((h & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
+
+
+def _first_words(r: Reader, first: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the first word, and of the first two, of what begins at these signs, and how many of them there are
+    (of an asked begin the last word does not count: it may go on)."""
+    i = np.searchsorted(r.at, first)
+    n = len(r.at)
+    here = np.minimum(i, max(n - 1, 0))
+    one = r.hash[here]
+    ok1 = (i < n) & ~r.stop[here]
+    nxt = np.minimum(i + 1, max(n - 1, 0))
+    ok2 = ok1 & (i + 1 < n) & ~r.stop[nxt]
+    two = mix(mix(r.hash[nxt]) + one)
+    if asked:
+        ok1 &= r.kind[nxt] != END
+        ok2 &= r.kind[np.minimum(i + 2, n - 1)] != END
+    return one, two, ok1.astype(int) + (ok1 & ok2)
+
+
+def _wanted(begins: list[str]) -> list[np.ndarray]:
+    """What the sentences begin with that may be longer than one of the asked: first two words, one word, or sign."""
+    if not begins:
+        return [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
+    r = Reader(begins)
+    first = np.append(0, r.ends[:-1] + 1)
+    one, two, n = _first_words(r, first, asked=True)
+    return [np.unique(two[n == 2]), np.unique(one[n == 1]), np.unique(r.c[first[n == 0]])]
 
 
 def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
     """``kind, begin, longer``: of the asked begins the sentences (kind ``l``) or values (``v``) of the whole corpus
-    that begin with them and go on, at whatever character.
+    that begin with them and go on, at whatever sign; a full stop alone does not make one longer.
 
+    Only sentences with an asked begin's first words are compared (all, where the begins are too many to ship).
     Distinct heads and two probes per begin are sorted over the cluster; a begin's number is the difference of
-    the running sums at its probes. Nothing is broadcast but one sum per partition."""
-    schema = pa.schema([("at", pa.binary()), ("n", pa.int64())])
+    the running sums at its probes. Nothing else is broadcast but one sum per partition."""
+    known = asked.select("kind", "begin").limit(SHIPPED_BEGINS + 1).collect()
+    shared = None
+    if len(known) <= SHIPPED_BEGINS:
+        by = {k: [r["begin"] for r in known if r["kind"] == k] for k in "lv"}
+        shared = {k: (_wanted(b), max(map(len, b), default=0) + 1) for k, b in by.items()}
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                seen[_head("v", text)] += 1
-                for sentence in _SENTENCE.split(_prose(text).strip()):
-                    seen[_head("l", sentence)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
+            texts = [unquoted(t).strip() for t in b.column("text").to_pylist()]
+            for i, j in slices(texts):
+                r = Reader(texts[i:j])
+                text, first, last = r.sentences()
+                opens = np.append(True, text[1:] != text[:-1])[: len(text)]
+                one, two, _ = _first_words(r, first)
+                seen: Counter = Counter()
+                for kind, at in (("l", np.arange(len(first))), ("v", np.flatnonzero(opens))):
+                    limit = None
+                    if shared is not None:
+                        (pair, word, sign), limit = shared[kind]
+                        at = at[np.isin(two[at], pair) | np.isin(one[at], word) | np.isin(r.c[first[at]], sign)]
+                    for s in at:
+                        end = last[s] if kind == "l" else r.ends[text[s]]
+                        head = r.string(first[s], end).rstrip().rstrip(STOPS)
+                        seen[(kind + (_AFTER_NUMBER.sub("", head) if limit is None or len(head) <= limit else head[:limit])).encode("utf-8", "surrogatepass")] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["at", "n"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, part, upto = ["part", "begin", "sum"], TaskContext.get().partitionId(), 0
@@ -252,57 +297,66 @@ def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def length_spikes(profiled: DataFrame) -> DataFrame:
-    """``source, field, measure, length`` of the spikes at the upper end of the length histograms."""
-    stacked = F.expr("stack(2, 'chars', n_chars, 'bytes', n_bytes) as (measure, length)")
-    hist = profiled.select("source", "field", stacked).groupBy("source", "field", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
+    """``source, field, measure, length, n`` of the spikes at the upper end of the length histograms."""
+    stacked = F.expr("stack(3, 'chars', n_chars, 'bytes', n_bytes, 'words', n_words) as (measure, length)")
+    hist = profiled.select("source", "field", "h_text", stacked).groupBy("source", "field", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h_text").alias("texts"))
     w = Window.partitionBy("source", "field", "measure").orderBy("length")
+    zero = lambda c: F.coalesce(c, F.lit(0))
     # means over all lengths nearby, also those that no value has
-    left = F.coalesce(F.sum("n").over(w.rangeBetween(-NEAR, -3)), F.lit(0)) / (NEAR - 2)
-    right = F.coalesce(F.sum("n").over(w.rangeBetween(3, NEAR)), F.lit(0)) / (NEAR - 2)
-    above = F.coalesce(F.sum("n").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    return hist.select("source", "field", "measure", "length", "n", F.greatest(left, right).alias("near"), above.alias("above")).where((F.col("length") > 20) & (F.col("n") > SPIKE_TIMES * F.col("near") + SPIKE_LEAST) & (F.col("above") <= TAIL_SHARE * F.col("n"))).select("source", "field", "measure", "length")
+    left = zero(F.sum("n").over(w.rangeBetween(-NEAR, -3))) / (NEAR - 2)
+    right = zero(F.sum("n").over(w.rangeBetween(3, NEAR))) / (NEAR - 2)
+    above = zero(F.sum("n").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    t = hist.withColumns({"near": F.greatest(left, right), "above": above})
+    stands_out = (F.col("n") > SPIKE_TIMES * F.col("near") + SPIKE_LEAST) & (F.col("above") <= TAIL_SHARE * F.col("n")) & (F.col("texts") >= DISTINCT_SHARE * F.col("n"))
+    return t.where(stands_out).select("source", "field", "measure", "length", "n")
 
 
 def judged(values: DataFrame) -> DataFrame:
     """Every value with its evidence: ``record_id, source, field, n_chars, at_limit, is_open, bare, whole_end,
-    cut``.
+    cut, evidence`` (``limit`` or ``transfer``; null for whole values).
 
     A value is cut if it is at a limit without terminal punctuation (structures: without being closed), if
     it ends open, or if it ends bare on words that do not end sentences and on no line that is common.
-    Null values have no row; empty ones are whole. Long values are judged whole.
+    Null values have no row; empty ones are whole. Long values are judged whole; a null source is one of its own.
     """
     ensure_checkpoint_dir(values.sparkSession)
-    p = profile(values).checkpoint()  # a few numbers per value, read by the histograms and the verdicts
-    spikes = length_spikes(p)
-    at = lambda m: F.broadcast(spikes.where(F.col("measure") == m).select("source", "field", F.col("length").alias(f"n_{m}"), F.lit(True).alias(f"limit_{m}")))
-    # a source and field have a handful of spikes at most: lengths with few longer ones
-    p = p.join(at("chars"), ["source", "field", "n_chars"], "left").join(at("bytes"), ["source", "field", "n_bytes"], "left")
-    p = p.withColumn("at_limit", F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False)))
-    bare = p.where(F.col("ending") == BARE)
+    p = profile(values).withColumn("source_", F.coalesce("source", F.lit("\0"))).checkpoint()  # a few numbers per value, read by the histograms and the verdicts
+    spikes = length_spikes(p.withColumn("source", F.col("source_"))).groupBy("source", "field").agg(F.collect_list(F.struct("measure", "length")).alias("limits"))  # a handful a source and field
+    p = small_join(p, spikes.withColumnRenamed("source", "source_"), ["source_", "field"], "record_id", "left")
+    within = lambda m, n: F.exists("limits", lambda x: (x["measure"] == m) & (x["length"] == F.col(n)))
+    # a limit in words cuts no word, so a closing sign at one is the writer's own
+    p = p.withColumn("at_limit", F.coalesce(within("chars", "n_chars") | within("bytes", "n_bytes") | (within("words", "n_words") & (F.col("ending") != CLOSED)), F.lit(False))).drop("limits", "source_")
+    is_bare = F.col("ending") == BARE
+    settled = F.col("at_limit") & ~F.col("terminal")  # the limit decides, however the last words read
+    bare = p.where(is_bare & ~settled)
     # one pass over the corpus answers all three questions of a bare end
     kinds = ("tail", "line", "value")
-    asked = bare.select("record_id", "field", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("key")) for k in kinds])).alias("q")).select("record_id", "field", "q.*")
+    last = F.lit(~3).cast("bigint")
+    asked = bare.select("record_id", "field", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").bitwiseAND(last).bitwiseOR(F.lit(i).cast("bigint")).alias("key")) for i, k in enumerate(kinds)])).alias("q")).select("record_id", "field", "q.*")
     told = asked.where("key is not null").join(corpus_ends(values), "key")
     told = told.groupBy("record_id", "field").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in kinds for c in ("n", "e")])
     bare = bare.join(told, ["record_id", "field"], "left").checkpoint()  # read by the questions about longer lines, and by the verdicts
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ends = (zero("tail_e") + 0.1) / (zero("tail_n") + 1.0) >= END_SHARE
     enough = {"line": "l", "value": "v"}
-    begins = [bare.where(F.col(f"{k}_n") >= SHARED).select(F.lit(kind).alias("kind"), F.col(k).alias("begin")) for k, kind in enough.items()]
+    begins = [bare.where(~ends & (F.col(f"{k}_n") >= SHARED)).select(F.lit(kind).alias("kind"), F.col(k).alias("begin")) for k, kind in enough.items()]
     more = longer(values, begins[0].unionByName(begins[1]).distinct())
     for k, kind in enough.items():
         bare = bare.join(more.where(F.col("kind") == kind).select(F.col("begin").alias(k), F.col("longer").alias(f"{k}_longer")), k, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ends = (zero("tail_e") + 0.1) / (zero("tail_n") + 1.0) >= END_SHARE
     common = lambda k: (zero(f"{k}_n") >= SHARED) & (zero(f"{k}_n") >= SHARED_PART * (zero(f"{k}_n") + zero(f"{k}_longer")))
     bare = bare.withColumn("whole_end", ends | common("line") | common("value"))
-    rest = p.where(F.col("ending") != BARE).withColumn("whole_end", F.col("ending") == CLOSED)
+    rest = p.where(~is_bare | settled).withColumn("whole_end", F.col("ending") == CLOSED)
     cols = ["record_id", "source", "field", "handed_on", "n_chars", "at_limit", "ending", "terminal", "whole_end"]
     both = bare.select(*cols).unionByName(rest.select(*cols))
     structured = (F.col("ending") == CLOSED) & ~F.col("terminal")
     limit_cut = F.col("at_limit") & ~F.col("terminal") & ~(structured & (F.col("field") == "structurer_raw_response"))
-    return both.select("record_id", "source", "field", "n_chars", "at_limit", (F.col("ending") == OPEN).alias("is_open"), (F.col("ending") == BARE).alias("bare"), "whole_end", ((limit_cut | (F.col("ending") == OPEN) | ~F.col("whole_end")) & ~(F.col("handed_on") & ~F.col("at_limit"))).alias("cut"))
+    cut = (limit_cut | (F.col("ending") == OPEN) | ~F.col("whole_end")) & ~(F.col("handed_on") & ~F.col("at_limit"))
+    evidence = F.when(cut, F.when(F.col("at_limit"), "limit").otherwise("transfer"))
+    return both.select("record_id", "source", "field", "n_chars", "at_limit", (F.col("ending") == OPEN).alias("is_open"), (F.col("ending") == BARE).alias("bare"), "whole_end", cut.alias("cut"), evidence.alias("evidence"))
 
 
 def truncation_rates(evidence: DataFrame) -> DataFrame:
-    """Per source and field: values, cut values and their share."""
-    g = evidence.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"))
+    """Per source and field: values, cut values (by evidence) and their share."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    g = evidence.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_values"), count(F.col("cut")).alias("n_cut"), count(F.col("evidence") == "limit").alias("n_limit"), count(F.col("evidence") == "transfer").alias("n_transfer"))
     return g.withColumn("rate", F.col("n_cut") / F.col("n_values"))
