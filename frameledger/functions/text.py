@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: What a template variable and a fenced value look like.
 VARIABLE = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}", re.A)
 _FENCE = re.compile(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", re.S)
 
@@ -65,7 +66,7 @@ def extract_json(text: pd.Series) -> pd.DataFrame:
         try:
             out.append((_canonical(recover_json(t)), None))
         except (ValueError, RecursionError) as e:
-            out.append((None, str(e)[:200]))
+            out.append((None, str(e)))
     return pd.DataFrame(out, columns=["value", "error"])
 
 

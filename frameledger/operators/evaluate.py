@@ -1,11 +1,14 @@
 """Scoring of structured predictions against the reference, and the judge."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from frameledger.functions import geometry
-from frameledger.schemas import ACTIONS, DECISION, GROUNDING, THRESHOLD
+from frameledger.functions.text import recover_json
+from frameledger.schemas import ACTIONS, CAPTIONS, GROUNDING, THRESHOLD
 
 NO_DECISION = {"correctness": 0, "completeness": 0, "faithfulness": 0, "final_pass": 0}
 
@@ -28,6 +31,31 @@ def tracking_scores(truth: DataFrame, predicted: DataFrame, keys: list[str]) ->
     return g.select(*keys, "tracking_mean_iou", "tracking_pass_rate", ((F.col("tracking_mean_iou") >= THRESHOLD) & (F.col("tracking_pass_rate") >= THRESHOLD)).cast("int").alias("tracking_pass"), "n_frames")
 
 
+def tracking_in_row(truth: Column, predicted: Column) -> Column:
+    """The same scores of one row from its two arrays, without a join: struct of tracking_mean_iou,
+    tracking_pass_rate and tracking_pass. Null truth elements do not count; no true frame gives 0."""
+    real = F.filter(F.coalesce(truth, F.array()), lambda t: t.isNotNull())
+
+    def iou(t):
+        first = F.get(F.filter(predicted, lambda p: p["frame_sampled"] == t["frame_sampled"]), F.lit(0))["bbox_mot"]
+        return F.coalesce(geometry.box_iou(geometry.mot_to_corner(first), geometry.mot_to_corner(t["bbox_mot"])), F.lit(0.0))
+
+    # all sums in one pass over the frames, so that each IoU is computed once
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("hits"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["hits"] + (x >= THRESHOLD).cast("int")).alias("hits"))
+    total = F.aggregate(F.transform(real, iou), start, step)
+    n = F.when(F.size(real) > 0, F.size(real))
+    scores = F.transform(F.array(total), lambda t: F.struct(F.coalesce(t["sum"] / n, F.lit(0.0)).alias("mean"), F.coalesce(t["hits"] / n, F.lit(0.0)).alias("rate")))
+    return F.transform(scores, lambda s: F.struct(s["mean"].alias("tracking_mean_iou"), s["rate"].alias("tracking_pass_rate"), ((s["mean"] >= THRESHOLD) & (s["rate"] >= THRESHOLD)).cast("int").alias("tracking_pass")))[0]
+
+
+def duplicate_warnings(predicted: Column) -> Column:
+    """A warning for every predicted box beyond the first of its frame, in frame order."""
+    frames = F.array_sort(F.transform(predicted, lambda p: p["frame_sampled"]))
+    again = F.filter(frames, lambda f, i: (i > 0) & (f == F.get(frames, i - 1)))
+    return F.transform(again, lambda f: F.concat(F.lit("duplicate tracking prediction for sampled frame "), f.cast("string")))
+
+
 def zero_filled(samples: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """The scores for all samples; those without true frames get 0."""
     j = samples.select(*keys).join(scores, keys, "left")
@@ -65,22 +93,50 @@ def passed_decision(reason: str = "static pass") -> Column:
     return F.struct(*[F.lit(1).alias(k) for k in NO_DECISION], F.lit("high").alias("confidence"), F.lit(reason).alias("brief_reason"))
 
 
+def decision(payload) -> dict | None:
+    """A judge's payload as a decision, or None if it is malformed: all six members, whole numbers of 0 or 1 (or texts
+    that spell them), no blank text. Further members are allowed."""
+    if not isinstance(payload, dict) or not {*NO_DECISION, "confidence", "brief_reason"} <= payload.keys():
+        return None
+    try:
+        bits = {k: int(payload[k]) for k in NO_DECISION}
+    except (TypeError, ValueError, OverflowError):
+        return None
+    words = {k: str(payload[k]).strip() for k in ("confidence", "brief_reason")}
+    return bits | words if set(bits.values()) <= {0, 1} and all(words.values()) else None
+
+
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in NO_DECISION] + [StructField(k, StringType()) for k in ("confidence", "brief_reason")]))
+def _decisions(text: pd.Series) -> pd.DataFrame:
+    out = []
+    for t in text:
+        try:
+            out.append(None if t is None else decision(recover_json(t)))
+        except (ValueError, RecursionError):
+            out.append(None)
+    return pd.DataFrame([d or {} for d in out], columns=[*NO_DECISION, "confidence", "brief_reason"], dtype=object).where(lambda x: x.notna(), None)
+
+
 def parse_decision(text: Column) -> Column:
-    """A judge's JSON object as a decision; null unless all six members are there, the four criteria are 0
-    or 1 and neither text is blank. Further members are allowed."""
-    raw = F.from_json(text, "correctness string, completeness string, faithfulness string, final_pass string, confidence string, brief_reason string")
+    """A judge's response as a decision, null if it is none."""
+    d = _decisions(text)
+    return F.when(d["correctness"].isNotNull(), d)
+
+
+def judge_reference(task: Column, reference: Column) -> Column:
+    """What the judge sees of the reference, as JSON: the text, or the segments; nothing else."""
+    pick = lambda n: F.transform(reference[n], lambda s: F.struct(s["start_sampled"].alias("start_sampled"), s["end_sampled"].alias("end_sampled"), s["text"].alias("text")))
+    return F.when(task.isin(CAPTIONS), F.to_json(F.struct(pick("segments_sampled").alias("reference_segments")))).when(task != GROUNDING, F.to_json(F.struct(reference["text"].alias("text"))))
+
+
+def judge_prediction(task: Column, prediction: Column) -> Column:
+    """What the judge sees of the prediction, as JSON: boxes and tracking are scored without it."""
+    return F.when(task.isin(CAPTIONS), F.to_json(F.struct(prediction["segments"].alias("prediction_segments")))).when(task != GROUNDING, F.to_json(F.struct(prediction["text"].alias("text"))))
 
-    def bit(name: str) -> Column:
-        v = F.lower(F.trim(raw[name]))
-        n = F.when(v == "true", F.lit(1)).when(v == "false", F.lit(0)).otherwise(v.try_cast("double").cast("int"))
-        return n
 
-    ok = F.lit(True)
-    for k in NO_DECISION:
-        ok = ok & F.coalesce(bit(k).isin(0, 1), F.lit(False))
-    for k in ("confidence", "brief_reason"):
-        ok = ok & F.coalesce(F.length(F.trim(raw[k])) > 0, F.lit(False))
-    return F.when(ok, F.struct(*[bit(k).alias(k) for k in NO_DECISION], F.trim(raw["confidence"]).alias("confidence"), F.trim(raw["brief_reason"]).alias("brief_reason")).cast(f"struct<{DECISION.replace(' ', ':').replace(',:', ',')}>"))
+def has_text(task: Column, prediction: Column) -> Column:
+    """Whether there is something to judge: segments, or a text that is not blank."""
+    return task.isin(CAPTIONS) | (F.length(F.trim(F.coalesce(prediction["text"], F.lit("")))) > 0)
 
 
 def needs_judge(mode: Column, prediction: Column, has_text: Column) -> Column:
@@ -102,7 +158,7 @@ def linearized(segments: Column) -> Column:
 
 def text_pair(task: Column, reference: Column, prediction: Column) -> Column:
     """struct<reference, candidate> for text scoring; null for tasks without text or without prediction."""
-    caption = task.isin("Continuous_Actions_Caption", "Continuous_Events_Caption")
+    caption = task.isin(CAPTIONS)
     pair = lambda a, b: F.struct(a.alias("reference"), b.alias("candidate"))
     return F.when(prediction.isNull() | (task == GROUNDING), None).when(caption, pair(linearized(reference["segments_sampled"]), linearized(prediction["segments"]))).otherwise(pair(reference["text"], prediction["text"]))
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameledger.functions.text import recover_json
-from frameledger.operators.evaluate import NO_DECISION
-from frameledger.schemas import DECISION
+from frameledger.operators.evaluate import NO_DECISION, decision
+from frameledger.schemas import DECISION_TYPE
 
 
 class Adapter:
@@ -74,25 +74,13 @@ def predict(inputs: DataFrame, adapter: Adapter) -> DataFrame:
                 try:
                     rows.append({"raw_output": as_text(adapter.predict(r)), "error": None})
                 except Exception as e:  # noqa: BLE001 - a row's failure is its result
-                    rows.append({"raw_output": None, "error": f"{type(e).__name__}: {e}"[:500]})
+                    rows.append({"raw_output": None, "error": f"{type(e).__name__}: {e}"})
                 rows[-1] |= {"sample_id": r["sample_id"], "protocol_id": r["protocol_id"]}
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return inputs.mapInArrow(run, "sample_id string, protocol_id string, raw_output string, error string")
 
 
-def decision(payload) -> dict | None:
-    """A judge's payload as a decision, or None if it is malformed."""
-    if not isinstance(payload, dict) or not {*NO_DECISION, "confidence", "brief_reason"} <= payload.keys():
-        return None
-    try:
-        bits = {k: int(payload[k]) for k in NO_DECISION}
-    except (TypeError, ValueError):
-        return None
-    words = {k: str(payload[k]).strip() for k in ("confidence", "brief_reason")}
-    return bits | words if set(bits.values()) <= {0, 1} and all(words.values()) else None
-
-
 def judge(rows: DataFrame, backend: Judge) -> DataFrame:
     """sample_id, protocol_id, decision, error for the rows that need a judge (filter before: see
     ``evaluate.needs_judge``). A row whose tries are all malformed has an error and no decision."""
@@ -115,15 +103,56 @@ def judge(rows: DataFrame, backend: Judge) -> DataFrame:
                             error = None
                             break
                 except Exception as e:  # noqa: BLE001 - transport errors are not tried again
-                    error = f"{type(e).__name__}: {e}"[:500]
+                    error = f"{type(e).__name__}: {e}"
                 out.append({"sample_id": r["sample_id"], "protocol_id": r["protocol_id"], "decision": made, "error": error})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.mapInArrow(run, f"sample_id string, protocol_id string, decision struct<{DECISION.replace(' ', ':').replace(',:', ',')}>, error string")
+    return rows.mapInArrow(run, f"sample_id string, protocol_id string, decision {DECISION_TYPE}, error string")
+
+
+#: Pieces of one answer that are joined at once.
+PIECES = 4096
 
 
 def stream_texts(chunks: DataFrame) -> DataFrame:
     """request, choice, text: streamed pieces (``ord`` orders them) joined per choice; null pieces are empty.
-    A request's pieces meet in one task, as its answer does."""
-    piece = F.struct("ord", F.coalesce("piece", F.lit("")).alias("piece"))
-    return chunks.groupBy("request", "choice").agg(F.array_sort(F.collect_list(piece)).alias("p")).select("request", "choice", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+
+    Joined in two steps, PIECES at a time, so that an answer of very many pieces is spread over tasks until only its
+    text is left; ``ord`` counts the pieces of a request from 0 or 1."""
+    def joined(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce("piece", F.lit("")).alias("piece"))))
+        return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("piece"))
+
+    cut = chunks.withColumn("block", F.floor(F.col("ord") / PIECES))
+    return joined(joined(cut, ["request", "choice", "block"], "ord"), ["request", "choice"], "block").withColumnRenamed("piece", "text")
+
+
+class ModelBackend:
+    """A remote model behind an OpenAI-like client: ``client(**options)`` is made once per worker and ``stream`` gives
+    the pieces of every choice. Both the structurer and the judge below use it; subclass for another API."""
+
+    def __init__(self, client, model: str, temperature: float = 0.0, extra_body: dict | None = None):
+        self.client, self.model, self.temperature = client, model, temperature
+        self.extra_body = {"enable_thinking": False} | (extra_body or {})
+        self.made = None
+
+    def texts(self, messages: list[dict]) -> list[str]:
+        """The whole text of each choice; blank choices are left out."""
+        if self.made is None:
+            self.made = self.client()
+        found: dict[int, list[str]] = {}
+        for chunk in self.made.stream(model=self.model, messages=messages, temperature=self.temperature, extra_body=self.extra_body):
+            for index, piece in chunk:
+                found.setdefault(index, []).append(piece or "")
+        return [t for t in ("".join(found[i]) for i in sorted(found)) if t.strip()]
+
+
+class ModelJudge(Judge):
+    """The judge's prompt is asked for; the first choice is its response."""
+
+    def __init__(self, backend: ModelBackend, retries: int = 2):
+        self.backend, self.retries = backend, retries
+
+    def respond(self, row):
+        found = self.backend.texts([{"role": "user", "content": row["prompt"]}])
+        return found[0] if found else ""

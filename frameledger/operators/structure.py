@@ -211,6 +211,16 @@ class StaticParse(Backend):
         return [raw_output]
 
 
+class ModelStructurer(Backend):
+    """A remote model asked with the rendered prompt; every choice is a candidate."""
+
+    def __init__(self, backend, retries: int = 2):
+        self.backend, self.retries = backend, retries
+
+    def complete(self, prompt, raw_output):
+        return self.backend.texts([{"role": "user", "content": prompt}])
+
+
 def structure_with(records: DataFrame, backend: Backend, oracle: bool = False) -> DataFrame:
     """As ``structure_responses``, asking a backend: ``records`` has prompt and raw_output instead of response."""
     schema = "sample_id string, protocol_id string, task_name string, labels array<string>, response string"

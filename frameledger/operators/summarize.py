@@ -11,27 +11,28 @@ def task_summary(targets: DataFrame, records: DataFrame, keys: list[str]) -> Dat
     """Per task: samples, scored, pending, accuracy and the means of the components that tasks have.
 
     ``records``: task_name, task_pass, judge_pass, bbox_passes array<int>, tiou_pass, tracking_mean_iou,
-    tracking_pass_rate, text_f1. A component no record has stays null; a pooled rate counts each box."""
+    tracking_pass_rate, text_f1. A component no record has stays null; a pooled rate counts each box. All sums are
+    taken per task and text score first, map-side; the exact median then weighs the distinct scores, so no task
+    gathers the scores of all its rows."""
     mine = [c for c in records.columns if c not in ("task_name",)]
     j = targets.select(*keys, "task_name").join(records.select(*mine), keys, "left")
-    scored = F.col("task_pass").isNotNull()
-    boxes = F.coalesce(F.size("bbox_passes"), F.lit(0))
-    boxes = F.when(boxes < 0, 0).otherwise(boxes)
-    g = j.groupBy("task_name").agg(
-        F.count(F.lit(1)).alias("num_samples"),
-        F.sum(scored.cast("bigint")).alias("num_scored_samples"),
-        F.avg("task_pass").alias("task_accuracy"),
-        F.avg("judge_pass").alias("judge_pass_rate"),
-        F.sum(F.aggregate(F.coalesce("bbox_passes", F.array().cast("array<int>")), F.lit(0), lambda a, x: a + x)).alias("_hits"),
-        F.sum(boxes).alias("_boxes"),
-        F.avg("tiou_pass").alias("tiou_pass_rate"),
-        F.avg("tracking_mean_iou").alias("tracking_mean_iou_mean"),
-        F.avg("tracking_pass_rate").alias("tracking_pass_rate_mean"),
-        F.avg("text_f1").alias("mean_text_f1"),
-        F.median("text_f1").alias("median_text_f1"),
+    boxes = F.filter("bbox_passes", lambda x: x.isNotNull())
+    means = {"task_accuracy": "task_pass", "judge_pass_rate": "judge_pass", "tiou_pass_rate": "tiou_pass", "tracking_mean_iou_mean": "tracking_mean_iou", "tracking_pass_rate_mean": "tracking_pass_rate"}
+    sums = [F.count(F.lit(1)).alias("num_samples"), F.count("task_pass").alias("num_scored_samples"), F.sum(F.aggregate(boxes, F.lit(0), lambda a, x: a + x)).alias("hits"), F.sum(F.size(boxes)).alias("boxes")]
+    for c in means.values():
+        sums += [F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")]
+    part = j.withColumn("bbox_passes", F.coalesce("bbox_passes", F.array().cast("array<int>"))).groupBy("task_name", "text_f1").agg(*sums)
+    n = F.when(F.col("text_f1").isNotNull(), F.col("num_samples"))
+    share = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    g = part.groupBy("task_name").agg(
+        F.sum("num_samples").alias("num_samples"),
+        F.sum("num_scored_samples").alias("num_scored_samples"),
+        *[share(f"s_{c}", f"n_{c}").alias(name) for name, c in means.items()],
+        share(F.col("text_f1") * n, n).alias("mean_text_f1"),
+        F.percentile("text_f1", 0.5, F.coalesce(n, F.lit(0))).alias("median_text_f1"),
+        share("hits", "boxes").alias("bbox_pass_rate"),
     )
-    pooled = F.when(F.col("_boxes") > 0, F.col("_hits") / F.when(F.col("_boxes") > 0, F.col("_boxes")))
-    return g.withColumns({"num_pending_samples": F.col("num_samples") - F.col("num_scored_samples"), "bbox_pass_rate": pooled}).drop("_hits", "_boxes")
+    return g.withColumn("num_pending_samples", F.col("num_samples") - F.col("num_scored_samples"))
 
 
 def overall(summary: DataFrame) -> DataFrame:
@@ -69,8 +70,18 @@ def chain_summary(components: DataFrame, group: list[str] | None = None) -> Data
 def oracle_components(pairs: DataFrame, variants: DataFrame, results: DataFrame) -> DataFrame:
     """Pairs x variants (three rows) with the results of their reruns: ``results`` has variant, pair_id,
     up_judge, up_tiou, down_judge. No tracking is scored, the truth was given."""
-    j = pairs.join(F.broadcast(variants), F.lit(True)).join(results, ["variant", "pair_id"], "left")
+    names = [r["variant"] for r in variants.select("variant").distinct().collect()]  # three
+    j = pairs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in names]))).join(results, ["variant", "pair_id"], "left")
     there = F.col("has_result").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     seen = F.when(F.col("upstream_task_name") == ACTIONS, zero("up_judge")).otherwise(zero("up_tiou"))
     return j.select("variant", "pair_id", "upstream_task_name", there.alias("scored"), F.when(there, seen).alias("plain"), F.lit(None).cast("int").alias("full"), F.when(there, zero("down_judge")).alias("reasoning"))
+
+
+def combined_chain_summary(base: DataFrame, oracle: DataFrame | None = None) -> DataFrame:
+    """The base chain summary and, below it, that of each oracle variant: ``experiment`` is ``base`` or
+    ``oracle_<variant>``. Measures that a rerun does not have (tracking was given) are null."""
+    out = base.withColumn("experiment", F.lit("base"))
+    if oracle is not None:
+        out = out.unionByName(oracle.withColumn("experiment", F.concat(F.lit("oracle_"), "variant")).drop("variant"))
+    return out.select("experiment", *[c for c in out.columns if c != "experiment"])

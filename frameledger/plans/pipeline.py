@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameledger.functions import geometry
 from frameledger.operators import evaluate, structure, summarize
-from frameledger.schemas import PREDICTION, TASKS, THRESHOLD
+from frameledger.schemas import ACTIONS, GROUNDING, PREDICTION, TASKS, THRESHOLD
 
 _MODES = {t[0]: t[3] for t in TASKS}
 
@@ -16,34 +16,47 @@ def judge_mode(task: Column) -> Column:
 
 
 def evaluate_predictions(prepared: DataFrame, verdicts: DataFrame, decision: Column | None = None, oracle: bool = False) -> DataFrame:
-    """The evaluation record of every validated sample: component metrics and passes, task_pass.
+    """The evaluation record of every validated sample: component metrics and passes, task_pass, warnings.
 
     ``prepared``: sample_id, protocol_id, task_name, reference_payload. ``verdicts``: as structure_responses
-    gives them. ``decision``: a Column with the judge's decision (default: the static passing judge)."""
+    gives them; read once, everything is scored within the row. ``decision``: a Column over ``prepared`` with the
+    judge's decision (default: the static passing judge). A row that needs a judge and has no decision (the call
+    failed, or stayed malformed) has no record: it is pending, not failed. A row without text to judge fails
+    without being asked."""
     keys = ["sample_id", "protocol_id"]
-    j = prepared.select(*keys, "task_name", F.col("reference_payload").alias("ref")).join(verdicts.where(F.col("prediction").isNotNull()).select(*keys, F.from_json("prediction", PREDICTION).alias("pred")), keys)
-    mode = judge_mode(F.col("task_name"))
-    caption = F.col("task_name").isin("Continuous_Actions_Caption", "Continuous_Events_Caption")
-    has_text = caption | (F.length(F.trim(F.coalesce(F.col("pred.text"), F.lit("")))) > 0)
-    asked = evaluate.needs_judge(mode, F.col("pred"), has_text)
-    d = F.when(asked, decision if decision is not None else evaluate.passed_decision()).when(mode != "none", evaluate.failed_decision("missing structured text prediction"))
-    bbox_iou = F.when(F.col("task_name") == "Scoreboard_Single", geometry.box_iou(F.col("pred.bbox"), F.col("ref.bbox")))
-    objects = F.when(F.col("task_name") == "Objects_Spatial_Relationships", evaluate.object_scores(F.col("ref.objects"), F.col("pred.objects")))
+    told = decision if decision is not None else evaluate.passed_decision()
+    j = prepared.select(*keys, "task_name", F.col("reference_payload").alias("ref"), told.alias("told")).join(verdicts.where(F.col("prediction").isNotNull()).select(*keys, F.from_json("prediction", PREDICTION).alias("pred")), keys)
+    task = F.col("task_name")
+    mode = judge_mode(task)
+    asked = evaluate.needs_judge(mode, F.col("pred"), evaluate.has_text(task, F.col("pred")))
+    j = j.where(~asked | F.col("told").isNotNull())
+    d = F.when(asked, F.col("told")).when(mode != "none", evaluate.failed_decision("missing structured text prediction"))
+    bbox_iou = F.when(task == "Scoreboard_Single", geometry.box_iou(F.col("pred.bbox"), F.col("ref.bbox")))
+    objects = F.when(task == "Objects_Spatial_Relationships", evaluate.object_scores(F.col("ref.objects"), F.col("pred.objects")))
     window, true_window = F.col("pred.time_window_sampled"), F.col("ref.time_window_sampled")
     at = lambda a, i: F.get(a, F.lit(i))
-    tiou = F.when(F.col("task_name") == "Spatial_Temporal_Grounding", F.when(F.size(window) == 2, F.coalesce(geometry.temporal_iou(at(window, 0), at(window, 1), at(true_window, 0), at(true_window, 1)), F.lit(0.0))).otherwise(0.0))
-    scored = j.withColumns({"judge_decision": d, "judge_pass": evaluate.judge_pass(d, mode), "bbox_iou": bbox_iou, "object_scores": objects, "tiou": tiou, "pair": evaluate.text_pair(F.col("task_name"), F.col("ref"), F.col("pred"))})
-    tracked = j.where(F.col("task_name").isin("Continuous_Actions_Caption", "Spatial_Temporal_Grounding"))
-    truth = tracked.select(*keys, F.explode("ref.tracking_gt_sampled").alias("t")).where(F.col("t").isNotNull()).select(*keys, "t.frame_sampled", "t.bbox_mot")
-    guess = tracked.select(*keys, F.posexplode("pred.tracking").alias("ord", "t")).select(*keys, "ord", "t.frame_sampled", "t.bbox_mot")
-    tracking = evaluate.zero_filled(tracked, evaluate.tracking_scores(truth, guess, keys), keys)
-    out = scored.join(tracking, keys, "left") if not oracle else scored.withColumns({"tracking_mean_iou": F.lit(None).cast("double"), "tracking_pass_rate": F.lit(None).cast("double"), "tracking_pass": F.lit(None).cast("int")})
+    tiou = F.when(task == GROUNDING, F.when(F.size(window) == 2, F.coalesce(geometry.temporal_iou(at(window, 0), at(window, 1), at(true_window, 0), at(true_window, 1)), F.lit(0.0))).otherwise(0.0))
+    tracked = task.isin(ACTIONS, GROUNDING) & F.lit(not oracle)
+    scores = F.when(tracked, evaluate.tracking_in_row(F.col("ref.tracking_gt_sampled"), F.col("pred.tracking")))
+    warnings = F.when(tracked, evaluate.duplicate_warnings(F.col("pred.tracking")))
+    out = j.withColumns({"judge_decision": d, "judge_pass": evaluate.judge_pass(d, mode), "bbox_iou": bbox_iou, "object_scores": objects, "tiou": tiou, "pair": evaluate.text_pair(task, F.col("ref"), F.col("pred")), "t": scores, "warnings": warnings})
     bbox_pass = F.when(F.col("bbox_iou").isNotNull(), (F.col("bbox_iou") >= THRESHOLD).cast("int"))
     object_passes = F.transform("object_scores", lambda o: o["pass"])
     all_objects = F.when(F.col("object_scores").isNotNull(), F.forall("object_scores", lambda o: o["pass"] == 1).cast("int"))
     tiou_pass = F.when(F.col("tiou").isNotNull(), (F.col("tiou") >= THRESHOLD).cast("int"))
-    verdict = evaluate.task_pass(F.col("task_name"), F.col("judge_pass"), bbox_pass, all_objects, tiou_pass, F.col("tracking_pass"), oracle)
-    return out.select(*keys, "task_name", "judge_decision", "judge_pass", "bbox_iou", F.coalesce(object_passes, F.when(bbox_pass.isNotNull(), F.array(bbox_pass))).alias("bbox_passes"), "tiou", tiou_pass.alias("tiou_pass"), "tracking_mean_iou", "tracking_pass_rate", "tracking_pass", evaluate.token_f1(F.col("pair.reference"), F.col("pair.candidate")).alias("text_f1"), verdict.alias("task_pass"))
+    verdict = evaluate.task_pass(task, F.col("judge_pass"), bbox_pass, all_objects, tiou_pass, F.col("t.tracking_pass"), oracle)
+    return out.select(*keys, "task_name", "judge_decision", "judge_pass", "bbox_iou", F.coalesce(object_passes, F.when(bbox_pass.isNotNull(), F.array(bbox_pass))).alias("bbox_passes"), "tiou", tiou_pass.alias("tiou_pass"), "t.tracking_mean_iou", "t.tracking_pass_rate", "t.tracking_pass", evaluate.token_f1(F.col("pair.reference"), F.col("pair.candidate")).alias("text_f1"), verdict.alias("task_pass"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
+def judge_requests(prepared: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """sample_id, protocol_id, task_name, question_text, reference, prediction (JSON payloads) of the rows that go to a
+    judge."""
+    keys = ["sample_id", "protocol_id"]
+    j = prepared.join(verdicts.where(F.col("prediction").isNotNull()).select(*keys, F.from_json("prediction", PREDICTION).alias("pred")), keys)
+    task = F.col("task_name")
+    j = j.where(evaluate.needs_judge(judge_mode(task), F.col("pred"), evaluate.has_text(task, F.col("pred"))))
+    question = F.coalesce("question_text", F.lit("")) if "question_text" in prepared.columns else F.lit("")
+    return j.select(*keys, "task_name", question.alias("question_text"), evaluate.judge_reference(task, F.col("reference_payload")).alias("reference"), evaluate.judge_prediction(task, F.col("pred")).alias("prediction"))
 
 
 def mock_responses(prepared: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ TASKS = [
     ("Continuous_Actions_Caption", "window", "segments+tracking", "final"),
     ("Spatial_Temporal_Grounding", "grounding", "window+tracking", "none"),
 ]
+CAPTIONS = ["Continuous_Actions_Caption", "Continuous_Events_Caption"]
 TASK_NAMES = [t[0] for t in TASKS]
 UPSTREAM_TASKS = [ACTIONS, GROUNDING]
 PAYLOAD_KIND = {t[0]: t[2] for t in TASKS}
@@ -38,3 +39,4 @@ SEGMENTS = "array<struct<start_sampled bigint, end_sampled bigint, text string>>
 OBJECTS = f"array<struct<label string, bbox {BOX}>>"
 PREDICTION = f"text string, bbox {BOX}, objects {OBJECTS}, segments {SEGMENTS}, time_window_sampled array<bigint>, tracking {TRACKING}"
 DECISION = "correctness int, completeness int, faithfulness int, final_pass int, confidence string, brief_reason string"
+DECISION_TYPE = f"struct<{DECISION.replace(' ', ':').replace(',:', ',')}>"
