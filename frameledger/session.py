@@ -36,6 +36,20 @@ def first_delivery(df: DataFrame, key: str | list[str], arrived: str) -> DataFra
     return df.groupBy(*keys).agg(picked.alias("__first")).select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
 
 
+def deliveries(df: DataFrame, key: str, arrived: str, most: int = 100_000) -> DataFrame:
+    """As ``first_delivery``, for wide rows that are seldom delivered again: only the keys are shuffled (in a job of
+    their own), and of the rows those whose key occurs again. If more than ``most`` keys do, all rows are."""
+    again = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
+    known = [r[0] for r in again.limit(most + 1).collect()]
+    if len(known) > most:
+        return first_delivery(df, key, arrived)
+    if not known:
+        return df
+    few = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in known], df.select(F.col(key).alias("__key")).schema))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(few, same, "left_anti").unionByName(first_delivery(df.join(few, same, "left_semi"), key, arrived))
+
+
 def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", copies: int = 16) -> DataFrame:
     """Join with a side of one row per key of which a few may hold most of ``rows``: each row of ``small`` goes out in
     so many copies, and ``rows`` of a key are spread over them by the hash of ``by``. (Where the side turns out small at
