@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameledger.llm.reading import END, STOP, STOPS, Reader, mix, slices, unquoted
-from frameledger.session import ensure_checkpoint_dir, first_delivery, small_join
+from frameledger.session import deliveries, ensure_checkpoint_dir, small_join
 
 #: A length is a spike from SPIKE_TIMES its neighbours' mean plus SPIKE_LEAST values on, if no more than
 #: TAIL_SHARE of its own number is longer. Neighbours are the lengths up to NEAR away.
@@ -102,9 +102,13 @@ def end_of(text: str) -> int:
 
 def value_table(records: DataFrame, key: str, source: str, fields: list[str], arrived: str) -> DataFrame:
     """``record_id, source, field, text, handed_on``: the non-null values of the fields, each record once."""
-    once = first_delivery(records.select(key, source, *fields, arrived), key, arrived)
-    stacked = ", ".join(f"'{f}', `{f}`" for f in fields)
-    values = once.select(F.col(key).alias("record_id"), F.col(source).alias("source"), F.expr(f"stack({len(fields)}, {stacked}) as (field, text)"), F.col(fields[0]).alias("__first"))
+    return stacked(deliveries(records.select(key, source, *fields, arrived), key, arrived), key, source, fields)
+
+
+def stacked(once: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
+    """The value table of records that are there once."""
+    pairs = ", ".join(f"'{f}', `{f}`" for f in fields)
+    values = once.select(F.col(key).alias("record_id"), F.col(source).alias("source"), F.expr(f"stack({len(fields)}, {pairs}) as (field, text)"), F.col(fields[0]).alias("__first"))
     # a field that hands on the whole first field, be it plain or as a JSON text, stops where that stops
     plain = F.rtrim("__first")
     spelt = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
