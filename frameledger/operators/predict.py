@@ -61,7 +61,8 @@ def as_text(output) -> str:
 
 
 def predict(inputs: DataFrame, adapter: Adapter) -> DataFrame:
-    """sample_id, protocol_id, raw_output, error: each input row (sample_id, protocol_id, messages) answered.
+    """sample_id, protocol_id, raw_output, error: each input row (sample_id, protocol_id, messages; further columns,
+    such as the media to show, reach the adapter too) answered.
 
     The result should be written before it is used twice: answers are paid for."""
     schema = pa.schema([("sample_id", pa.string()), ("protocol_id", pa.string()), ("raw_output", pa.string()), ("error", pa.string())])

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameledger.functions import geometry, sampling
+from frameledger.schemas import ACTIONS, CAPTIONS, GROUNDING
+from frameledger.sources import annotations as ann
 
 
 def with_frames(samples: DataFrame, protocol: sampling.Protocol) -> DataFrame:
@@ -54,8 +56,41 @@ def union_frames(prepared: DataFrame) -> DataFrame:
     return prepared.select("video_key", F.explode("sampled_frames_original").alias("frame_original")).distinct()
 
 
-def oracle_media(samples: DataFrame, variants: DataFrame) -> DataFrame:
-    """Upstream samples per oracle variant: the visual ones swap in the overlay media, which must exist."""
-    visual = F.col("variant").isin("visual", "language_visual")
-    j = samples.crossJoin(F.broadcast(variants)) if "variant" not in samples.columns else samples
-    return j.withColumns({"frame_files": F.when(visual, F.col("oracle_frame_files")).otherwise(F.col("frame_files")), "missing_media": visual & F.col("oracle_frame_files").isNull()})
+def own_payload() -> dict[str, Column]:
+    """The parts of a reference payload that an annotation itself gives, of a row with frames (see ``with_frames``),
+    resolution and the raw answer, a_window_frame and bounding_box. Parts a task does not have are null."""
+    c, task = F.col, F.col("task_name")
+    width, height = F.get("resolution", F.lit(0)), F.get("resolution", F.lit(1))
+    corners = F.transform(F.from_json("bounding_box", "array<string>"), lambda v: v.try_cast("double"))
+    objects = F.transform(ann.labelled_objects(c("bounding_box")), lambda o: F.struct(o["label"].alias("label"), geometry.normalize_box(o["bbox"], width, height).alias("bbox")))
+    captions = segments_sampled(ann.segments(c("a_window_frame"), c("answer")), c("sampled_frames_original"))
+    window = sampling.project(c("a_window.start"), c("a_window.end"), c("sampled_frames_original"))
+    return {
+        "text": F.when(~task.isin(*CAPTIONS, GROUNDING), c("answer")),
+        "bbox": F.when(task == "Scoreboard_Single", geometry.normalize_box(corners, width, height)),
+        "objects": F.when(task == "Objects_Spatial_Relationships", objects),
+        "segments_sampled": F.when(task.isin(CAPTIONS), captions),
+        "time_window_sampled": F.when((task == GROUNDING) & window.isNotNull(), F.array(window["start"], window["end"])),
+    }
+
+
+def reference_payloads(samples: DataFrame, tracking: DataFrame) -> DataFrame:
+    """``samples`` with ``reference_payload``: the annotation's own parts, and the readings on the sampled frames for the
+    tasks that track (within the answer's window for grounding). A sample has at most as many readings as frames."""
+    tracked = samples.where(F.col("task_name").isin(ACTIONS, GROUNDING) & F.col("tracking_path").isNotNull())
+    width, height = F.get("resolution", F.lit(0)), F.get("resolution", F.lit(1))
+    valid = F.when(F.col("task_name") == GROUNDING, F.col("a_window"))
+    read = align_tracking(tracked.select("sample_id", "tracking_path", "sampled_frames_original", width.alias("width"), height.alias("height"), valid.alias("valid")), tracking)
+    rows = read.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("frame_sampled", "frame_original", "bbox_mot"))).alias("__track"))
+    none = F.when(F.col("task_name").isin(ACTIONS, GROUNDING), F.array().cast("array<struct<frame_sampled:bigint,frame_original:bigint,bbox_mot:array<double>>>"))
+    payload = F.struct(*[v.alias(k) for k, v in own_payload().items()], F.coalesce("__track", none).alias("tracking_gt_sampled"))
+    return samples.join(rows, "sample_id", "left").withColumn("reference_payload", payload).drop("__track")
+
+
+def oracle_media(samples: DataFrame, variant: str) -> DataFrame:
+    """Upstream samples as an oracle variant shows them: the visual ones swap in the overlay media. ``error`` says
+    which is missing (null: none)."""
+    if variant == "language":
+        return samples.withColumn("error", F.lit(None).cast("string"))
+    missing = F.when(F.coalesce(F.size("oracle_frame_files"), F.lit(0)) <= 0, "missing oracle frames").when(F.col("oracle_video_file").isNull(), "missing oracle video")
+    return samples.withColumns({"error": missing, "frame_files": F.col("oracle_frame_files"), "sampled_video_file": F.col("oracle_video_file")})

@@ -87,8 +87,9 @@ def failed_ids(errors: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def compact(artifacts: DataFrame, key: str | list[str], order: list[str], needs: str | list[str], path: str) -> None:
-    """Writes the surviving rows, sorted by key, to a new path; swapping it in is up to the caller (Spark
-    cannot overwrite what it reads)."""
+def compact(spark, path: str, key: str | list[str], order: list[str], needs: str | list[str]) -> str:
+    """Writes the surviving rows of an artifact folder, sorted by key, beside it and gives the new path (Spark cannot
+    overwrite what it reads): swapping it in is up to the caller, when no run is writing."""
     keys = [key] if isinstance(key, str) else key
-    last_wins(artifacts, keys, order, needs).orderBy(*keys).write.mode("errorifexists").parquet(path)
+    last_wins(spark.read.parquet(path), keys, order, needs).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").parquet(f"{path}_compact")
+    return f"{path}_compact"

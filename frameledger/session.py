@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (``spark.checkpoint.dir``); only where none is set, as in
-    local tests, fall back to a folder of this machine."""
+    """Use the cluster's shared folder (``spark.checkpoint.dir``). Only in local mode, where this machine is the whole
+    cluster, a folder of its own serves where none is set; elsewhere that is an error."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         shared = "file://" + tempfile.mkdtemp(prefix="frameledger-", dir=os.environ.get("TMPDIR"))
     spark.sparkContext.setCheckpointDir(shared)
 
 
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the workers, for clusters on which it is not installed; gives the archive's path."""
+    base = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="frameledger-")) / f"{base.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(base.rglob("*.py")):
+            z.write(f, f.relative_to(base.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)
+
+
 def first_delivery(df: DataFrame, key: str | list[str], arrived: str) -> DataFrame:
     """One row per key: the delivery that arrived first (a null arrival counts as the last).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameledger.functions.geometry import canonical, parse_interval
 from frameledger.functions.text import check_template
 from frameledger.operators.parse_lines import split_lines, valid_rows
-from frameledger.schemas import GROUNDING, IMAGINATION, TASK_NAMES, UPSTREAM_TASKS, VIDEO_FPS
+from frameledger.schemas import CAPTIONS, GROUNDING, IMAGINATION, TASK_NAMES, UPSTREAM_TASKS, VIDEO_FPS
 
 _ANNOTATION = "annotation_id string, task_L1 string, task_L2 string, timestamp_frame bigint, Q_window_frame array<bigint>, A_window_frame string, question string, query string, answer string, bounding_box string, tracking_bboxes string, upstream_annotation_id string"
 DOCUMENT = f"sport string, event string, video_id string, info string, video_metadata struct<duration_sec double, fps int, total_frames bigint, resolution array<int>>, annotations array<struct<{_ANNOTATION.replace(' string', ':string').replace(' bigint', ':bigint').replace(' array', ':array')}>>, _broken string"
@@ -62,6 +62,57 @@ def resolve_path(raw: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_replace(text, PATH_PREFIX, ""))
 
 
+def path_candidates(raw: Column) -> Column:
+    """Where a path may lie below the root, in the order they are tried: as it stands, without a known prefix, without
+    leading dots and slashes."""
+    text = F.trim(raw)
+    bare = F.regexp_replace(text, PATH_PREFIX, "")
+    return F.when(F.length(text) > 0, F.array_distinct(F.array(text, bare, F.regexp_replace(text, r"^[./]+", ""))))
+
+
+def first_existing(rows: DataFrame, raw: str, files: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``path`` (the first candidate that is one of ``files.path``, else the last candidate) and ``exists``;
+    null for a blank path."""
+    tried = rows.select(key, F.posexplode(path_candidates(F.col(raw))).alias("pos", "path"))
+    known = files.select("path").distinct().withColumn("there", F.lit(True))
+    best = tried.join(known, "path", "left").groupBy(key).agg(F.min(F.when(F.col("there"), F.struct("pos", "path"))).alias("hit"), F.max(F.struct("pos", "path")).alias("last"))
+    chosen = best.select(key, F.coalesce("hit.path", "last.path").alias("path"), F.col("hit").isNotNull().alias("exists"))
+    return rows.join(chosen, key, "left")
+
+
+def load_issues(samples: DataFrame) -> DataFrame:
+    """sample_id, rule, message of annotations whose answer cannot be read as their task needs it: such a sample has no
+    reference payload. One row a sample."""
+    task, c = F.col("task_name"), F.col
+    corners = F.transform(F.from_json("bounding_box", "array<string>"), lambda v: v.try_cast("double"))
+    intervals, texts = answer_intervals(c("a_window_frame")), F.from_json("answer", "array<string>")
+    wrong = F.lit(None).cast("string")
+    for cond, says in (
+        (task.isin(CAPTIONS) & (intervals.isNull() | texts.isNull()), "no intervals or texts"),
+        (task.isin(CAPTIONS) & F.exists(intervals, lambda x: x.isNull()), "an interval does not parse"),
+        (task.isin(CAPTIONS) & (F.size(intervals) != F.size(texts)), "interval and text counts differ"),
+        ((task == "Scoreboard_Single") & (corners.isNull() | (F.size(corners) < 1) | F.exists(corners, lambda v: v.isNull())), "no numeric bounding box"),
+        ((task == "Objects_Spatial_Relationships") & labelled_objects(c("bounding_box")).isNull(), "not two labelled boxes"),
+    ):
+        wrong = F.coalesce(wrong, F.when(F.coalesce(cond, F.lit(False)), F.lit(says)))
+    return samples.select("sample_id", F.lit("load").alias("rule"), F.concat("sample_id", F.lit(": failed to load annotation: "), wrong).alias("message")).where(F.col("message").isNotNull())
+
+
+def broken_documents(documents: DataFrame) -> DataFrame:
+    """path, message of the documents that do not parse."""
+    return documents.where(F.col("broken").isNotNull()).select("path", F.concat("path", F.lit(": failed to load annotation file")).alias("message"))
+
+
+def missing_file_issues(samples: DataFrame, videos: DataFrame, tracking: DataFrame) -> DataFrame:
+    """sample_id, rule, message: samples whose video is not among ``videos.video_key``, and those of the tracking tasks
+    whose tracking file is not among ``tracking.path``."""
+    said = lambda t, what: F.concat(F.col("sample_id"), F.lit(t), what)
+    v = samples.join(videos.select("video_key").distinct(), "video_key", "left_anti").select("sample_id", F.lit("video").alias("rule"), said(": missing video ", F.coalesce("video_key", F.lit(""))).alias("message"))
+    t = samples.where(F.col("task_name").isin(*CAPTIONS, GROUNDING)).withColumn("path", resolve_path(F.col("tracking_bboxes"))).where(F.col("path").isNotNull())
+    t = t.join(tracking.select("path").distinct(), "path", "left_anti").select("sample_id", F.lit("tracking").alias("rule"), said(": missing tracking file ", F.col("path")).alias("message"))
+    return v.unionByName(t)
+
+
 def question_text(question: Column, query: Column) -> Column:
     return F.coalesce(question, query, F.lit(""))
 
@@ -145,6 +196,15 @@ def scan_report(samples: DataFrame) -> DataFrame:
     return samples.groupBy("task_name").agg(F.count(F.lit(1)).alias("num_samples"), F.countDistinct("video_key").alias("num_videos"), F.coalesce(F.max(F.col("task_name").isin(TASK_NAMES)), F.lit(False)).alias("supported"))
 
 
+def dataset_fingerprint(rows: DataFrame, *by: str) -> DataFrame:
+    """n, fingerprint of the whole rows (per ``by``): the digests of the rows, each over its members in the order of their
+    names, are summed in four parts, so the order of rows does not matter and nothing is gathered."""
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
+    parts = [F.sum(F.conv(F.substring("__d", 8 * i + 1, 8), 16, 10).cast("bigint")).alias(f"s{i}") for i in range(4)]
+    g = rows.withColumn("__d", F.md5(line)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *parts)
+    return g.select(*by, "n", F.sha2(F.concat_ws("-", "n", "s0", "s1", "s2", "s3"), 256).alias("fingerprint"))
+
+
 def template_pack(spark: SparkSession, root: str, allowed: set[str], tasks: list[str] | None = None) -> dict[str, str]:
     """task -> template of the Markdown files below ``root`` (a handful of small files, read on the driver's
     behalf); missing, empty or unknown-variable templates are errors."""
