@@ -56,7 +56,8 @@ def parse_interval(text: Column) -> Column:
 
 
 def clip_index(i: Column, total: Column) -> Column:
-    return F.least(F.greatest(i, F.lit(0).cast("bigint")), total - 1)
+    """The index within 0..total-1; null stays null."""
+    return F.when(i.isNotNull() & total.isNotNull(), F.least(F.greatest(i, F.lit(0).cast("bigint")), total - 1))
 
 
 def normalize_box(b: Column, width: Column, height: Column) -> Column:

@@ -66,7 +66,7 @@ def own_payload() -> dict[str, Column]:
     captions = segments_sampled(ann.segments(c("a_window_frame"), c("answer")), c("sampled_frames_original"))
     window = sampling.project(c("a_window.start"), c("a_window.end"), c("sampled_frames_original"))
     return {
-        "text": F.when(~task.isin(*CAPTIONS, GROUNDING), c("answer")),
+        "text": F.when(~task.isin(*CAPTIONS, GROUNDING), ann.plain_text(c("answer"))),
         "bbox": F.when(task == "Scoreboard_Single", geometry.normalize_box(corners, width, height)),
         "objects": F.when(task == "Objects_Spatial_Relationships", objects),
         "segments_sampled": F.when(task.isin(CAPTIONS), captions),

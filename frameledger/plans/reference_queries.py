@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger.functions import geometry, sampling, text
-from frameledger.operators import evaluate, prepare, state, structure, summarize
+from frameledger.operators import evaluate, prepare, prompts, state, structure, summarize
 from frameledger.plans import pipeline
-from frameledger.schemas import IMAGINATION, TASK_NAMES, UPSTREAM_TASKS
+from frameledger.schemas import ACTIONS, CAPTIONS, GROUNDING, IMAGINATION, TASK_NAMES, UPSTREAM_TASKS
 from frameledger.session import first_delivery, table
 from frameledger.sources import annotations as ann
 
@@ -124,10 +124,11 @@ def denormalize_boxes(spark, d):
 _CORNERS = "list_transform(from_json(bounding_box, '[\"VARCHAR\"]'), lambda v: try_cast(v as double))"
 
 
-@query(f"""select row_id, round(b[1]*1000/w,6) as n1, round(b[2]*1000/h,6) as n2, round(b[3]*1000/w,6) as n3, round(b[4]*1000/h,6) as n4 from (select row_id, {_CORNERS} b, case when resolution[1]>0 and resolution[2]>0 then resolution[1] end w, case when resolution[1]>0 and resolution[2]>0 then resolution[2] end h
- from {SAMPLES} where task_name='Scoreboard_Single' and bounding_box is not null)""")
+@query(f"""select row_id, round(b[1]*1000/w,6) as n1, round(b[2]*1000/h,6) as n2, round(b[3]*1000/w,6) as n3, round(b[4]*1000/h,6) as n4 from (select row_id, {_CORNERS} b, case when resolution[1]>0 and resolution[2]>0 and len({_CORNERS}) = 4 then resolution[1] end w, case when resolution[1]>0 and resolution[2]>0 and len({_CORNERS}) = 4 then resolution[2] end h
+ from {SAMPLES})""")
 def normalize_boxes(spark, d):
-    s = samples(spark, d).where((F.col("task_name") == "Scoreboard_Single") & F.col("bounding_box").isNotNull())
+    """Of every annotation; null where there is no box of four sides (objects, other tasks) or no frame size."""
+    s = samples(spark, d)
     b = F.transform(F.from_json("bounding_box", "array<string>"), lambda v: v.try_cast("double"))
     n = geometry.normalize_box(b, F.get("resolution", F.lit(0)), F.get("resolution", F.lit(1)))
     return s.select("row_id", *[F.round(F.get(n, F.lit(i)), 6).alias(f"n{i + 1}") for i in range(4)])
@@ -142,14 +143,14 @@ def caption_intervals(spark, d):
     return a.select("row_id", F.posexplode(ann.answer_intervals(F.col("a_window_frame"))).alias("ord", "i")).where(F.col("i").isNotNull()).select("row_id", "ord", F.col("i.start").alias("s"), F.col("i.end").alias("e"))
 
 
-_CLIP = lambda x: f"least(greatest({x}, 0), total_frames - 1)"
+_CLIP = lambda x: f"case when {x} is not null and total_frames is not null then least(greatest({x}, 0), total_frames - 1) end"
 
 
-@query(f"select row_id, least({_CLIP('qs')}, {_CLIP('qe')}) as s, greatest({_CLIP('qs')}, {_CLIP('qe')}) as e from {SAMPLES} where q_ok and total_frames is not null")
+@query(f"select row_id, least({_CLIP('qs')}, {_CLIP('qe')}) as s, greatest({_CLIP('qs')}, {_CLIP('qe')}) as e from (select row_id, case when q_ok then qs end qs, case when q_ok then qe end qe, total_frames from {SAMPLES})")
 def clipped_windows(spark, d):
-    s = samples(spark, d).where(F.col("q_window").isNotNull() & F.col("total_frames").isNotNull())
+    """Of every annotation; null without a window or a number of frames."""
     a, b = sampling._clipped(F.col("q_window.start"), F.col("q_window.end"), F.col("total_frames"))
-    return s.select("row_id", a.alias("s"), b.alias("e"))
+    return samples(spark, d).select("row_id", a.alias("s"), b.alias("e"))
 
 
 def _sql_uniform(s: str, e: str, budget: int) -> str:
@@ -190,16 +191,21 @@ def short_window_sampling(spark, d):
 
 
 def _protocol(spark, d, name: str) -> DataFrame:
-    s = prepare.with_frames(ann.supported(samples(spark, d)).where(F.col("total_frames").isNotNull()), sampling.PROTOCOLS[name])
+    s = prepare.with_frames(ann.supported(samples(spark, d)), sampling.PROTOCOLS[name])
     f = F.array_sort("sampled_frames_original")
-    return s.select("row_id", F.size(f).alias("n"), F.get(f, F.lit(0)).alias("first_frame"), F.element_at(f, -1).alias("last_frame"), F.aggregate(f, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")).where("n > 0")
+    return s.select("row_id", F.size(f).alias("n"), F.get(f, F.lit(0)).alias("first_frame"), F.try_element_at(f, F.lit(-1)).alias("last_frame"), F.aggregate(f, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
 
 
-def _protocol_sql(margin: int, window: str, budget: int) -> str:
+def _frames_sql(margin: int, window: str, budget: int) -> str:
+    """Every supported sample with its frames (f)."""
     gs, ge = f"least({_CLIP(f'least(g1,g2) - {margin}')}, {_CLIP(f'greatest(g1,g2) + {margin}')})", f"greatest({_CLIP(f'least(g1,g2) - {margin}')}, {_CLIP(f'greatest(g1,g2) + {margin}')})"
-    return f"""select row_id, len(f)::int as n, f[1] as first_frame, f[-1] as last_frame, list_sum(f)::bigint as total from (select row_id, list_sort(case when task_name in ('Scoreboard_Single','Objects_Spatial_Relationships') then case when timestamp_frame is not null then [timestamp_frame] end
- when task_name = 'Spatial_Temporal_Grounding' then case when gs is not null then {_sql_uniform('gs', 'ge', budget)} end when q_ok then {window} end) f from
- (select *, case when g1 is not null and g2 is not null then {gs} end gs, case when g1 is not null and g2 is not null then {ge} end ge, least({_CLIP('qs')}, {_CLIP('qe')}) cs, greatest({_CLIP('qs')}, {_CLIP('qe')}) ce from {SAMPLES} where task_name in ({_list(TASK_NAMES)}) and total_frames is not null)) where len(f) > 0"""
+    return f"""(select *, list_sort(case when task_name in ('Scoreboard_Single','Objects_Spatial_Relationships') then case when timestamp_frame is not null then [timestamp_frame] end
+ when task_name = 'Spatial_Temporal_Grounding' then case when gs is not null then {_sql_uniform('gs', 'ge', budget)} end when q_ok and ce is not null then {window} end) f from
+ (select *, case when g1 is not null and g2 is not null then {gs} end gs, case when g1 is not null and g2 is not null then {ge} end ge, least({_CLIP('qs')}, {_CLIP('qe')}) cs, greatest({_CLIP('qs')}, {_CLIP('qe')}) ce from {SAMPLES} where task_name in ({_list(TASK_NAMES)})))"""
+
+
+def _protocol_sql(margin: int, window: str, budget: int) -> str:
+    return f"select row_id, len(f)::int as n, f[1] as first_frame, f[-1] as last_frame, list_sum(f)::bigint as total from {_frames_sql(margin, window, budget)}"
 
 
 @query(_protocol_sql(50, f"case when ce - cs + 1 <= 320 then {_BACK('ce')} else {_sql_uniform('cs', 'ce', 64)} end", 64))
@@ -212,18 +218,19 @@ def protocol_uniform8(spark, d):
     return _protocol(spark, d, "uniform8")
 
 
-@query(f"""select record_id, case when hi > lo then lo else least(ps, pe) end::bigint as s, case when hi > lo then hi - 1 else greatest(ps, pe) end::bigint as e from (select record_id, lo, hi, least(lo, n-1) ps, least(be, n-1) pe from
- (select record_id, len(f) n, len(list_filter(f, lambda x: x < a)) lo, len(list_filter(f, lambda x: x <= b)) hi, len(list_filter(f, lambda x: x < b)) be from (select record_id, sampled_frames_original f, q_window.start a, q_window."end" b from {PREP}) where a is not null and b is not null and len(f) > 0))""")
+@query(f"""select record_id, case when a is null or b is null or coalesce(n, 0) = 0 then null when hi > lo then lo else least(ps, pe) end::bigint as s, case when a is null or b is null or coalesce(n, 0) = 0 then null when hi > lo then hi - 1 else greatest(ps, pe) end::bigint as e from (select record_id, a, b, n, lo, hi, least(lo, n-1) ps, least(be, n-1) pe from
+ (select record_id, a, b, len(f) n, len(list_filter(f, lambda x: x < a)) lo, len(list_filter(f, lambda x: x <= b)) hi, len(list_filter(f, lambda x: x < b)) be from (select record_id, sampled_frames_original f, q_window.start a, q_window."end" b from {PREP})))""")
 def interval_projection(spark, d):
+    """Of every prepared sample; null without a window or frames."""
     p = once(spark, d, "prepared_samples", "q_window", "sampled_frames_original")
-    return p.select("record_id", sampling.project(F.col("q_window.start"), F.col("q_window.end"), F.col("sampled_frames_original")).alias("i")).where(F.col("i").isNotNull()).select("record_id", F.col("i.start").alias("s"), F.col("i.end").alias("e"))
+    return p.select("record_id", sampling.project(F.col("q_window.start"), F.col("q_window.end"), F.col("sampled_frames_original")).alias("i")).select("record_id", F.col("i.start").alias("s"), F.col("i.end").alias("e"))
 
 
-@query(f"select record_id, round((len(f)-1)*10/greatest(f[-1]-f[1],1), 9) as fps from (select record_id, sampled_frames_original f from {PREP}) where len(f) > 1 and f[1] is not null and f[-1] is not null")
+@query(f"select record_id, case when len(f) > 1 and f[1] is not null and f[-1] is not null then round((len(f)-1)*10/greatest(f[-1]-f[1],1), 9) end as fps from (select record_id, sampled_frames_original f from {PREP})")
 def sampled_video_fps(spark, d):
+    """Of every prepared sample; null for one frame at most, or where an end is null."""
     p = once(spark, d, "prepared_samples", "sampled_frames_original")
-    f = F.col("sampled_frames_original")
-    return p.where((F.size(f) > 1) & F.get(f, F.lit(0)).isNotNull() & F.element_at(f, -1).isNotNull()).select("record_id", F.round(sampling.sampled_fps(f), 9).alias("fps"))
+    return p.select("record_id", F.round(sampling.sampled_fps(F.col("sampled_frames_original")), 9).alias("fps"))
 
 
 @query(f"select record_id, (generate_subscripts(sampled_frames_original,1)-1)::int as pos, unnest(sampled_frames_original) as frame from {PREP} where sampled_frames_original is not null")
@@ -312,25 +319,22 @@ def chain_pairs(spark, d):
     return _pairs(spark, d)
 
 
-_STRICT = "len(from_json(a_window_frame,'[\"VARCHAR\"]'))"
+_IV = """list_transform(from_json(a_window_frame,'["VARCHAR"]'), lambda x: struct_pack(a := try_cast(trim(split_part(x,'-',1)) as bigint), b := case when strpos(x,'-') > 0 then try_cast(trim(substr(x, strpos(x,'-')+1)) as bigint) end))"""
+_SEG_OK = """len(iv) = len(texts) and len(list_filter(iv, lambda x: x.a is null or x.b is null)) = 0"""
 
 
-@query(f"""select row_id, case when {_STRICT} = len(from_json(answer,'["VARCHAR"]')) then {_STRICT} end::int as n_segments, case when {_STRICT} = len(from_json(answer,'["VARCHAR"]')) then array_to_string(from_json(answer,'["VARCHAR"]'), ' ') end as linear
- from {ANN} where task_l2 in ('Continuous_Events_Caption','Continuous_Actions_Caption') and len(list_filter(from_json(a_window_frame,'["VARCHAR"]'), lambda x: not regexp_full_match(trim(x), '\\d+\\s*-\\s*\\d+'))) = 0""")
+@query(f"""select row_id, case when {_SEG_OK} then len(iv) end::int as n_segments, case when {_SEG_OK} then array_to_string(texts, ' ') end as linear
+ from (select row_id, {_IV} iv, from_json(answer,'["VARCHAR"]') texts from {ANN} where task_l2 in ('Continuous_Events_Caption','Continuous_Actions_Caption'))""")
 def segment_linearize(spark, d):
+    """Of every caption row; null where an interval does not parse or the counts differ."""
     a = once(spark, d, "annotations", "task_l2", "a_window_frame", "answer").where(F.col("task_l2").isin("Continuous_Events_Caption", "Continuous_Actions_Caption"))
-    raw = F.from_json("a_window_frame", "array<string>")
-    a = a.where(F.forall(raw, lambda x: F.trim(x).rlike(r"^\d+\s*-\s*\d+$")))
     s = ann.segments(F.col("a_window_frame"), F.col("answer"))
     return a.select("row_id", F.when(s.isNotNull(), F.size(s)).alias("n_segments"), evaluate.linearized(s).alias("linear"))
 
 
-@query()
+@query(SQL["segment_linearize"])
 def segment_linearize_all(spark, d):
-    """As segment_linearize, over the rows its SQL leaves out as well: null where an interval does not parse."""
-    a = once(spark, d, "annotations", "task_l2", "a_window_frame", "answer").where(F.col("task_l2").isin("Continuous_Events_Caption", "Continuous_Actions_Caption"))
-    s = ann.segments(F.col("a_window_frame"), F.col("answer"))
-    return a.select("row_id", F.when(s.isNotNull(), F.size(s)).alias("n_segments"), evaluate.linearized(s).alias("linear"))
+    return segment_linearize(spark, d)
 
 
 # ---- scoring ---------------------------------------------------------------------------------------------------
@@ -358,16 +362,15 @@ def tracking_eval(spark, d):
     return s.withColumns({"tracking_mean_iou": F.round("tracking_mean_iou", 9), "tracking_pass_rate": F.round("tracking_pass_rate", 9)})
 
 
-@query(f"""select record_id, k::int as ord, trim(o.label) as label, round(case when length(o.label) % 2 = 0 then 0.0 else case when 2*a - i <= 0 then 0.0 else i/(2*a - i) end end, 9) as iou from
+@query(f"""select record_id, k::int as ord, trim(o.label) as label, round(case when o is null or o.label is null or coalesce(len(o.bbox), 0) <> 4 or length(o.label) % 2 = 0 then 0.0 else case when 2*a - i <= 0 then 0.0 else i/(2*a - i) end end, 9) as iou from
  (select *, greatest(o.bbox[3]-o.bbox[1] - 10*k, 0.0) * greatest(o.bbox[4]-o.bbox[2], 0.0) i, greatest(o.bbox[3]-o.bbox[1],0.0)*greatest(o.bbox[4]-o.bbox[2],0.0) a from
- (select record_id, unnest(reference_payload.objects) o, generate_subscripts(reference_payload.objects,1)-1 k from {PREP} where reference_payload.objects is not null)) where o is not null and o.label is not null and len(o.bbox) = 4""")
+ (select record_id, unnest(reference_payload.objects) o, generate_subscripts(reference_payload.objects,1)-1 k from {PREP} where reference_payload.objects is not null))""")
 def object_labels(spark, d):
     p = once(spark, d, "prepared_samples", "reference_payload").where(F.col("reference_payload.objects").isNotNull())
     g = F.col("reference_payload.objects")
     guess = F.filter(F.transform(g, lambda o, k: F.struct(o["label"].alias("label"), F.array(F.get(o["bbox"], F.lit(0)) + 10 * k, F.get(o["bbox"], F.lit(1)), F.get(o["bbox"], F.lit(2)) + 10 * k, F.get(o["bbox"], F.lit(3))).alias("bbox"))), lambda o: F.length(o["label"]) % 2 != 0)
-    s = p.select("record_id", F.posexplode(evaluate.object_scores(g, guess)).alias("ord", "s"), g.alias("g"))
-    keep = F.get("g", F.col("ord"))
-    return s.where(keep.isNotNull() & keep["label"].isNotNull() & (F.size(keep["bbox"]) == 4)).select("record_id", "ord", F.col("s.label").alias("label"), F.round("s.iou", 9).alias("iou"))
+    s = p.select("record_id", F.posexplode(evaluate.object_scores(g, guess)).alias("ord", "s"))
+    return s.select("record_id", "ord", F.col("s.label").alias("label"), F.round("s.iou", 9).alias("iou"))
 
 
 _BITS = {"correctness": "o_orderkey % 5 > 0", "completeness": "o_orderkey % 7 > 0", "faithfulness": "o_custkey % 4 > 0", "final_pass": "o_custkey % 3 > 0"}
@@ -458,12 +461,12 @@ def chain_issues(spark, d):
     return state.chain_issues(ann.chain_pairs(s), table(spark, d, "prepared_samples"), s.where(F.col("task_name") == IMAGINATION))
 
 
-_RAW = "(select sample_id, arg_max(raw_output, (written_at, record_id)) raw_output from structured_predictions where raw_output is not null and protocol_id = 'main' group by 1)"
+_RAW = "(select sample_id, arg_max(raw_output, (written_at, record_id)) raw_output from structured_predictions where raw_output is not null group by 1)"
 _PROMPT = f"(select sample_id, min('Task ' || task_name || ': ' || coalesce(question, query, '')) prompt from S group by 1)"
 
 
 def _outputs(spark, d) -> DataFrame:
-    t = table(spark, d, "structured_predictions").where("protocol_id = 'main'").select("sample_id", "raw_output", "written_at", "record_id")
+    t = table(spark, d, "structured_predictions").select("sample_id", "raw_output", "written_at", "record_id")
     return state.last_wins(t, "sample_id", ["written_at", "record_id"], "raw_output")
 
 
@@ -549,26 +552,124 @@ def props_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query(f"select record_id, '[' || array_to_string(list_transform(reference_payload.objects, lambda o: '\"' || trim(o.label) || '\"'), ',') || ']' as labels from {PREP} where reference_payload.objects is not null and len(list_filter(reference_payload.objects, lambda o: o is null or o.label is null)) = 0")
+_LABELS = """coalesce('[' || array_to_string(list_transform(reference_payload.objects, lambda o: coalesce('"' || trim(o.label) || '"', 'null')), ',') || ']', '[]')"""
+
+
+@query(f"select record_id, {_LABELS} as labels from {PREP}")
 def object_labels_json(spark, d):
-    p = once(spark, d, "prepared_samples", "reference_payload").where(F.col("reference_payload.objects").isNotNull())
-    return p.where(~F.exists("reference_payload.objects", lambda o: o.isNull() | o["label"].isNull())).select("record_id", text.labels_json(F.col("reference_payload.objects")).alias("labels"))
+    """Of every prepared sample: ``[]`` without objects; an object or label that is null stays null in its place."""
+    p = once(spark, d, "prepared_samples", "reference_payload")
+    return p.select("record_id", text.labels_json(F.col("reference_payload.objects")).alias("labels"))
 
 
-@query(f"select record_id, '0..' || (len(sampled_frames_original)-1) as frames, '[' || q_window_sampled.start || ', ' || q_window_sampled.\"end\" || ']' as question_interval from {PREP} where len(sampled_frames_original) > 0")
+@query(f"select record_id, case when len(sampled_frames_original) > 0 then '0..' || (len(sampled_frames_original)-1) end as frames, '[' || q_window_sampled.start || ', ' || q_window_sampled.\"end\" || ']' as question_interval from {PREP}")
 def prompt_variables(spark, d):
-    p = once(spark, d, "prepared_samples", "sampled_frames_original", "q_window_sampled").where(F.size("sampled_frames_original") > 0)
+    p = once(spark, d, "prepared_samples", "sampled_frames_original", "q_window_sampled")
     return p.select("record_id", text.index_range(F.col("sampled_frames_original")).alias("frames"), text.interval_text(F.col("q_window_sampled")).alias("question_interval"))
 
 
-@query(f"select video_key, sha256(string_agg(sample_id || ':' || coalesce(task_name, ''), chr(10) order by row_id)) as fingerprint from {SAMPLES} group by 1")
+_PRINTED = ["annotation_id", "answer", "bounding_box", "query", "question", "row_id", "sample_id", "task_name", "timestamp_frame", "tracking_bboxes", "upstream_annotation_id"]
+_DIGEST = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::varchar, chr(0))" for c in _PRINTED) + "))"
+
+
+@query(f"select video_key, n, sha256(concat_ws('-', n, s0, s1, s2, s3)) as fingerprint from (select video_key, count(*)::bigint n, {', '.join(f'sum((chr(48) || chr(120) || substr(d, {8 * i + 1}, 8))::bigint)::bigint s{i}' for i in range(4))} from (select video_key, {_DIGEST} d from {SAMPLES}) group by 1)")
 def video_fingerprints(spark, d):
-    """A digest per video (the digest of a whole dataset is the digest of these): no group gathers all rows
-    but those of one video."""
-    s = samples(spark, d)
-    line = F.concat("sample_id", F.lit(":"), F.coalesce("task_name", F.lit("")))
-    g = s.groupBy("video_key").agg(F.array_sort(F.collect_list(F.struct("row_id", line.alias("line")))).alias("rows"))
-    return g.select("video_key", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("fingerprint"))
+    """A digest of all rows of each video; nothing is gathered, so a video with a tenth of all rows costs no more."""
+    return ann.dataset_fingerprint(samples(spark, d).select("video_key", *_PRINTED).withColumn("__v", F.col("video_key")).select(*_PRINTED, "__v"), "__v").withColumnRenamed("__v", "video_key")
+
+
+# ---- prepared data and prompts ---------------------------------------------------------------------------------
+
+_TRACKS = "(select tracking_path, frame_original, arg_max({'l': box_left, 't': box_top, 'w': box_width, 'h': box_height}, row_id) b from (select * from tracking_rows qualify row_number() over (partition by row_id order by loaded_at) = 1) group by all)"
+_PLAIN = "case when regexp_matches(answer, '^\\s*\"') then answer::json ->> '$' else answer end"
+_PLACE = "lambda x, y: struct_pack(lo := len(list_filter(f, lambda q: q < x)), hi := len(list_filter(f, lambda q: q <= y)), be := len(list_filter(f, lambda q: q < y)))"
+
+
+def _projected(lo: str, hi: str, be: str) -> tuple[str, str]:
+    """First and last position of an interval in n frames, from what lies below its ends."""
+    return f"case when {hi} > {lo} then {lo} else least({lo}, {be}, n - 1) end", f"case when {hi} > {lo} then {hi} - 1 else greatest(least({lo}, n - 1), least({be}, n - 1)) end"
+
+
+_ONE = _projected("len(list_filter(f, lambda q: q < least(x.a,x.b)))", "len(list_filter(f, lambda q: q <= greatest(x.a,x.b)))", "len(list_filter(f, lambda q: q < greatest(x.a,x.b)))")
+_TW = _projected("len(list_filter(f, lambda q: q < least(g1,g2)))", "len(list_filter(f, lambda q: q <= greatest(g1,g2)))", "len(list_filter(f, lambda q: q < greatest(g1,g2)))")
+_MAIN_FRAMES = _frames_sql(50, f"case when ce - cs + 1 <= 320 then {_BACK('ce')} else {_sql_uniform('cs', 'ce', 64)} end", 64)
+
+
+@query(f"""with P as (select *, len(f) n, case when len(resolution) >= 2 and resolution[1] > 0 and resolution[2] > 0 then resolution[1]::double end w, case when len(resolution) >= 2 and resolution[1] > 0 and resolution[2] > 0 then resolution[2]::double end h,
+  {_CORNERS} c, {_IV} iv, from_json(answer, '["VARCHAR"]') texts, regexp_replace(trim(tracking_bboxes), '^(\\./data/|data/|\\./dataset/|dataset/)', '') path from {_MAIN_FRAMES}),
+R as (select row_id, count(*)::bigint n_track, sum(pos)::bigint track_sum, case when count(b.l + b.t + b.w + b.h + w + h) = count(*) then round(sum(b.l*1000/w + b.t*1000/h + b.w*1000/w + b.h*1000/h), 3) end box_sum from (select row_id, task_name, path, w, h, g1, g2, unnest(f) frame, generate_subscripts(f, 1) - 1 pos from P where task_name in ('{ACTIONS}', '{GROUNDING}') and length(path) > 0) u
+  join {_TRACKS} t on t.tracking_path = u.path and t.frame_original = u.frame where task_name <> '{GROUNDING}' or g1 is null or g2 is null or frame between least(g1, g2) and greatest(g1, g2) group by 1)
+select p.row_id, case when task_name not in ('Continuous_Actions_Caption','Continuous_Events_Caption','{GROUNDING}') then {_PLAIN} end as text,
+ case when task_name = 'Scoreboard_Single' and len(c) = 4 then round(c[1]*1000/w + c[2]*1000/h + c[3]*1000/w + c[4]*1000/h, 3) end as bbox_sum,
+ case when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') and {_SEG_OK} then len(iv) end::int as n_segments,
+ case when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') and {_SEG_OK} and n > 0 then list_sum(list_transform(iv, lambda x: {_ONE[0]} + {_ONE[1]})) end::bigint as segment_sum,
+ case when task_name = '{GROUNDING}' and g1 is not null and g2 is not null and n > 0 then {_TW[0]} end::bigint as window_start, case when task_name = '{GROUNDING}' and g1 is not null and g2 is not null and n > 0 then {_TW[1]} end::bigint as window_end,
+ case when task_name in ('{ACTIONS}', '{GROUNDING}') then coalesce(n_track, 0) end::bigint as n_track, track_sum, box_sum from P p left join R r on p.row_id = r.row_id""")
+def reference_payloads(spark, d):
+    """The reference payload of every supported annotation, built from the annotation and its tracking rows, in figures."""
+    s = ann.supported(samples(spark, d)).withColumn("sample_id", F.col("row_id").cast("string")).withColumn("tracking_path", ann.resolve_path(F.col("tracking_bboxes")))
+    t = first_delivery(table(spark, d, "tracking_rows").select("row_id", "tracking_path", "frame_original", "box_left", "box_top", "box_width", "box_height", "loaded_at"), "row_id", "loaded_at").withColumnRenamed("row_id", "ord")
+    p = F.col("reference_payload")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    track = p["tracking_gt_sampled"]
+    out = prepare.reference_payloads(prepare.with_frames(s, sampling.PROTOCOLS["main"]), t)
+    return out.select("row_id", p["text"].alias("text"), F.round(total(p["bbox"]), 3).alias("bbox_sum"), F.when(p["segments_sampled"].isNotNull(), F.size(p["segments_sampled"])).alias("n_segments"),
+                      F.aggregate(p["segments_sampled"], F.lit(0).cast("bigint"), lambda a, x: a + x["start_sampled"] + x["end_sampled"]).alias("segment_sum"), F.get(p["time_window_sampled"], F.lit(0)).alias("window_start"), F.get(p["time_window_sampled"], F.lit(1)).alias("window_end"),
+                      F.when(track.isNotNull(), F.size(track)).cast("bigint").alias("n_track"), F.when(F.size(track) > 0, F.aggregate(track, F.lit(0).cast("bigint"), lambda a, x: a + x["frame_sampled"])).alias("track_sum"), F.when(F.size(track) > 0, F.round(F.aggregate(track, F.lit(0.0), lambda a, x: a + total(x["bbox_mot"])), 3)).alias("box_sum"))
+
+
+@query(f"""with S as (select * from {SAMPLES} where task_name in ({_list(TASK_NAMES)})), I as (select sample_id, task_name, {_IV} iv, from_json(answer, '["VARCHAR"]') texts, a_window_frame, answer, bounding_box, {_CORNERS} c from S),
+X as (select sample_id, case when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') and (iv is null or texts is null) then 'no intervals or texts' when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') and len(list_filter(iv, lambda x: x.a is null or x.b is null)) > 0 then 'an interval does not parse'
+ when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') and len(iv) <> len(texts) then 'interval and text counts differ' when task_name = 'Scoreboard_Single' and (c is null or len(c) < 1 or len(list_filter(c, lambda v: v is null)) > 0) then 'no numeric bounding box' end m from I where task_name <> 'Objects_Spatial_Relationships')
+select sample_id, 'load' as rule, sample_id || ': failed to load annotation: ' || m as message from X where m is not null""")
+def load_issues(spark, d):
+    """Annotations whose answer cannot be read (but for object boxes, which SQL does not say briefly)."""
+    return ann.load_issues(ann.supported(samples(spark, d)).where(F.col("task_name") != "Objects_Spatial_Relationships"))
+
+
+_FILES = "(select distinct tracking_path from tracking_files where tracking_path is not null)"
+
+
+@query(f"""with S as (select *, case when length(trim(tracking_bboxes)) > 0 then regexp_replace(trim(tracking_bboxes), '^(\\./data/|data/|\\./dataset/|dataset/)', '') end path from {SAMPLES} where task_name in ({_list(TASK_NAMES)}))
+select sample_id, 'video' as rule, sample_id || ': missing video ' || coalesce(video_key, '') as message from S where video_key is null or video_key not in (select video_key from videos where video_key is not null)
+union all select sample_id, 'tracking', sample_id || ': missing tracking file ' || path from S where task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption','{GROUNDING}') and path is not null and path not in (select tracking_path from {_FILES})""")
+def missing_file_issues(spark, d):
+    s = ann.supported(samples(spark, d))
+    return ann.missing_file_issues(s, table(spark, d, "videos"), table(spark, d, "tracking_files").select(F.col("tracking_path").alias("path")))
+
+
+@query(f"""with A as (select row_id, trim(tracking_bboxes) t from {ANN}), C as (select row_id, t p1, regexp_replace(t, '^(\\./data/|data/|\\./dataset/|dataset/)', '') p2, regexp_replace(t, '^[./]+', '') p3 from A where length(t) > 0)
+select a.row_id, case when p1 in (select tracking_path from {_FILES}) then p1 when p2 in (select tracking_path from {_FILES}) then p2 when p3 in (select tracking_path from {_FILES}) then p3 when p3 in (p1, p2) then p2 else p3 end as path,
+ p1 in (select tracking_path from {_FILES}) or p2 in (select tracking_path from {_FILES}) or p3 in (select tracking_path from {_FILES}) as exists from A a left join C c on a.row_id = c.row_id""")
+def first_existing_paths(spark, d):
+    a = once(spark, d, "annotations", "tracking_bboxes").select("row_id", "tracking_bboxes")
+    return ann.first_existing(a, "tracking_bboxes", table(spark, d, "tracking_files").select(F.col("tracking_path").alias("path")), "row_id").select("row_id", "path", "exists")
+
+
+_FPS_TEXT = "rtrim(rtrim(printf('%.3f', sampled_video_fps), '0'), '.')"
+_PROMPT_SQL = f"""(select *, coalesce(len(sampled_frames_original), 0) n, case when coalesce(len(sampled_frames_original), 0) <= 1 then '' else {_FPS_TEXT} end fps_text, case when task_name = 'Objects_Spatial_Relationships' then {_LABELS} else '[]' end labels,
+ case when len(sampled_frames_original) > 0 then '0..' || (len(sampled_frames_original) - 1) else '' end idx, case when task_name not in ('Scoreboard_Single','Objects_Spatial_Relationships','{GROUNDING}') then '[' || q_window_sampled.start || ', ' || q_window_sampled."end" || ']' end iv from {PREP})"""
+
+
+@query(f"""select record_id, regexp_replace(case when task_name in ('Scoreboard_Single','Objects_Spatial_Relationships','{GROUNDING}') then 'Look at ' || n || ' frames (' || idx || ', ' || fps_text || ' fps). ' || coalesce(question_text, '') || ' Name ' || labels
+ else 'Watch ' || n || ' frames (' || idx || ', ' || fps_text || ' fps), above all ' || iv || '. ' || coalesce(question_text, '') end, '^\\s+|\\s+$', '', 'g') as prompt from {_PROMPT_SQL} where task_name in ({_list(TASK_NAMES)})""")
+def rendered_prompts(spark, d):
+    """Every prepared sample's prompt by its task's template; null where a variable is."""
+    p = once(spark, d, "prepared_samples", "task_name", "question_text", "sampled_frames_original", "sampled_video_fps", "reference_payload", "q_window_sampled")
+    head = " {{num_sampled_frames}} frames ({{sampled_index_range}}, {{ sampled_video_fps }} fps)"
+    window = f"Watch{head}, above all {{{{question_relevant_sampled_interval}}}}. {{{{question}}}}"
+    pack = {t: window if t in prompts.WINDOW_TASKS else f"Look at{head}. {{{{question}}}} Name {{{{required_object_labels_json}}}}" for t in TASK_NAMES}
+    return p.where(F.col("task_name").isin(TASK_NAMES)).select("record_id", prompts.by_task(pack, prompts.sample_variables()).alias("prompt"))
+
+
+@query(f"""select record_id, reference_payload.text as text, len(reference_payload.segments_sampled)::int as n_segments, case when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') then 'reference_segments' when task_name <> '{GROUNDING}' then 'text' end as kind from
+ (select record_id, task_name, case when task_name in ('Continuous_Actions_Caption','Continuous_Events_Caption') then {{'text': null::varchar, 'segments_sampled': reference_payload.segments_sampled}} when task_name <> '{GROUNDING}' then {{'text': reference_payload.text, 'segments_sampled': null}} end reference_payload from {PREP})""")
+def judge_references(spark, d):
+    """What a judge sees of every prepared sample's reference, read back from its JSON: the text or the segments, never
+    boxes or tracking; nothing on the task without a judge."""
+    p = once(spark, d, "prepared_samples", "task_name", "reference_payload")
+    j = evaluate.judge_reference(F.col("task_name"), F.col("reference_payload"))
+    return p.select("record_id", F.get_json_object(j, "$.text").alias("text"), F.size(F.from_json(F.get_json_object(j, "$.reference_segments"), "array<string>")).alias("n"), j.alias("j"), "task_name").select("record_id", "text", F.when(F.col("n") >= 0, F.col("n")).alias("n_segments"), F.when(F.col("task_name").isin(CAPTIONS), "reference_segments").when(F.col("j").isNotNull(), "text").alias("kind"))
 
 
 # ---- untrusted responses: no SQL can express these --------------------------------------------------------------
@@ -630,7 +731,7 @@ def evaluation_summary_models(spark, d):
     return _model_run(spark, d)[1]
 
 
-@query()
+@query(f"select record_id, coalesce({_FPS_TEXT}, '') as fps_text from {PREP}")
 def sampled_rate_texts(spark, d):
     p = once(spark, d, "prepared_samples", "sampled_video_fps")
     return p.select("record_id", text.rate_text("sampled_video_fps").alias("fps_text"))

@@ -113,6 +113,11 @@ def missing_file_issues(samples: DataFrame, videos: DataFrame, tracking: DataFra
     return v.unionByName(t)
 
 
+def plain_text(answer: Column) -> Column:
+    """An answer's text, also where it is spelt as a JSON text."""
+    return F.when(answer.rlike(r'^\s*"'), F.get_json_object(answer, "$")).otherwise(answer)
+
+
 def question_text(question: Column, query: Column) -> Column:
     return F.coalesce(question, query, F.lit(""))
 
@@ -199,7 +204,7 @@ def scan_report(samples: DataFrame) -> DataFrame:
 def dataset_fingerprint(rows: DataFrame, *by: str) -> DataFrame:
     """n, fingerprint of the whole rows (per ``by``): the digests of the rows, each over its members in the order of their
     names, are summed in four parts, so the order of rows does not matter and nothing is gathered."""
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(set(rows.columns) - set(by))])
     parts = [F.sum(F.conv(F.substring("__d", 8 * i + 1, 8), 16, 10).cast("bigint")).alias(f"s{i}") for i in range(4)]
     g = rows.withColumn("__d", F.md5(line)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *parts)
     return g.select(*by, "n", F.sha2(F.concat_ws("-", "n", "s0", "s1", "s2", "s3"), 256).alias("fingerprint"))

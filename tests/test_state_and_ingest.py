@@ -1,10 +1,13 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from frameledger.operators import prepare, state
+from frameledger import session
 from frameledger.functions import sampling
+from frameledger.operators import prepare, state
+from frameledger.plans import bundles
 from frameledger.session import first_delivery, utc_month
 from frameledger.sources import annotations as ann
 from frameledger.streaming import resume
@@ -102,3 +105,91 @@ def test_first_delivery(spark):
     df = spark.sql("select * from values (1, 'late', timestamp'2025-03-01 00:30:00'), (1, 'first', timestamp'2025-02-28 23:30:00'), (2, 'none', cast(null as timestamp)) t(id, v, ts)")
     got = {r["id"]: (r["v"], r["m"]) for r in first_delivery(df, "id", "ts").withColumn("m", utc_month("ts")).collect()}
     assert got == {1: ("first", "2025-02"), 2: ("none", None)}
+
+
+SAMPLE = "sample_id string, annotation_id string, video_key string, task_name string, timestamp_frame long, q_window struct<start:bigint,end:bigint>, a_window struct<start:bigint,end:bigint>, a_window_frame string, answer string, question string, query string, bounding_box string, tracking_bboxes string, upstream_annotation_id string, fps int, total_frames long, resolution array<int>"
+
+
+def dataset(spark):
+    rows = [
+        ("v#1", "1", "v", "Scoreboard_Single", 10, None, None, None, '"2-1"', "score?", None, "[192, 108, 384, 216]", None, None, 10, 500, [1920, 1080]),
+        ("v#2", "2", "v", "Continuous_Actions_Caption", None, (100, 150), None, '["100-120", "121-150"]', '["a", "b"]', "what?", None, None, "./data/t.txt", None, 10, 500, [1920, 1080]),
+        ("v#3", "3", "v", "Spatial_Temporal_Grounding", None, None, (200, 220), "[200, 220]", None, None, "where?", None, "t.txt", None, 10, 500, [1920, 1080]),
+        ("v#4", "4", "v", "Spatial_Imagination", None, (100, 150), None, None, '"left"', "path?", None, None, None, "2", 10, 500, [1920, 1080]),
+        ("v#5", "5", "v", "Commentary", None, None, None, None, None, None, None, None, None, None, 10, 500, [1920, 1080]),
+    ]
+    track = [("t.txt", f, f, 192.0, 108.0, 19.2, 10.8) for f in range(100, 230, 5)] + [("t.txt", 100, 999, 384.0, 108.0, 19.2, 10.8)]
+    return spark.createDataFrame(rows, SAMPLE), spark.createDataFrame(track, "tracking_path string, frame_original long, ord long, box_left double, box_top double, box_width double, box_height double")
+
+
+def test_bundles(spark, tmp_path):
+    samples, tracking = dataset(spark)
+    none = ann.structure_issues(samples).limit(0)
+    out = str(tmp_path / "prepared")
+    done = bundles.build(spark, samples, tracking, none, ["main", "uniform8"], out, ["frames", "sampled_video"], True)
+    assert [(d["protocol_id"], d["num_prepared_samples"]) for d in done] == [("main", 4), ("uniform8", 4)]
+    rows = {r["sample_id"]: r for r in bundles.load(spark, out, "main").collect()}
+    assert rows["v#1"]["reference_payload"]["bbox"] == [100.0, 100.0, 200.0, 200.0] and rows["v#1"]["reference_payload"]["text"] == "2-1"
+    two = rows["v#2"]["reference_payload"]
+    assert rows["v#2"]["sampled_frames_original"] == list(range(0, 151, 5)) and tuple(rows["v#2"]["q_window_sampled"]) == (20, 30)
+    assert [tuple(s) for s in two["segments_sampled"]] == [(20, 24, "a"), (25, 30, "b")]
+    assert len(two["tracking_gt_sampled"]) == 11 and two["tracking_gt_sampled"][0]["bbox_mot"] == [200.0, 100.0, 10.0, 10.0]  # the last reading of a frame
+    three = rows["v#3"]["reference_payload"]
+    assert all(200 <= t["frame_original"] <= 220 for t in three["tracking_gt_sampled"]) and len(three["time_window_sampled"]) == 2
+    index = spark.read.json(f"{out}/main/index").collect()
+    assert [r["sample_id"] for r in index] == sorted(rows)
+    with pytest.raises(ValueError, match="same protocol id"):
+        bundles.build(spark, samples, tracking, none, ["main", "frameledger.functions.sampling:Main"], out)
+    with pytest.raises(ValueError, match="both formats"):
+        bundles.build(spark, samples, tracking, none, ["main"], out, ["frames"], True)
+    with pytest.raises(ValueError, match="1 issues"):
+        bundles.build(spark, samples, tracking, ann.missing_file_issues(ann.supported(samples), samples, tracking.limit(0).select(F.col("tracking_path").alias("path"))).limit(1), ["main"], out)
+    with pytest.raises(ValueError, match="protocol_spec"):
+        bundles.load(spark, out, "frameledger.functions.sampling:Main")
+    manifest = bundles._read_json(spark, f"{out}/main/build_manifest")
+    for name, value in (("protocol_manifest", {}), ("coordinate_system", "pixels"), ("protocol_id", "x")):
+        bundles._write_json(spark, manifest | {name: value}, f"{out}/main/build_manifest")
+        with pytest.raises(ValueError, match=name):
+            bundles.load(spark, out, "main")
+    assert manifest["data_status"]["ignored_unsupported_task_counts"] == {"Commentary": 1}
+
+
+def test_load_and_file_issues(spark):
+    samples, _ = dataset(spark)
+    bad = samples.where("annotation_id in ('1', '2')").withColumns({"bounding_box": F.lit('["x"]'), "answer": F.lit('["a"]')})
+    assert {(r["sample_id"], r["message"].split(": ")[-1]) for r in ann.load_issues(bad).collect()} == {("v#1", "no numeric bounding box"), ("v#2", "interval and text counts differ")}
+    assert ann.load_issues(ann.supported(samples)).count() == 0
+    files = spark.createDataFrame([("t.txt",), ("data/x.txt",)], "path string")
+    raw = spark.createDataFrame([(1, "./data/t.txt"), (2, "data/x.txt"), (3, " "), (4, "./gone.txt"), (5, None)], "row_id int, raw string")
+    got = {r["row_id"]: (r["path"], r["exists"]) for r in ann.first_existing(raw, "raw", files, "row_id").collect()}
+    assert got == {1: ("t.txt", True), 2: ("data/x.txt", True), 3: (None, None), 4: ("gone.txt", False), 5: (None, None)}
+    gone = ann.missing_file_issues(samples, samples.limit(0), files.limit(0))
+    assert {r["rule"] for r in gone.collect()} == {"video", "tracking"}
+
+
+def test_fingerprint_knows_values_not_order(spark):
+    df = spark.createDataFrame([(i, str(i % 7), None) for i in range(200)], "b int, a string, c string")
+    one = ann.dataset_fingerprint(df).first()
+    assert one["n"] == 200 and ann.dataset_fingerprint(df.select("c", "a", "b").repartition(7)).first() == one
+    assert ann.dataset_fingerprint(df.where("b > 0")).first() != one
+
+
+def test_compaction_keeps_the_last_of_each(spark, tmp_path):
+    path = str(tmp_path / "a")
+    spark.createDataFrame([("b", "x", 1), ("a", "y", 1), ("b", "z", 2), ("b", None, 3)], "k string, v string, n int").write.parquet(path)
+    assert [tuple(r) for r in spark.read.parquet(state.compact(spark, path, "k", ["n"], "v")).collect()] == [("a", "y", 1), ("b", "z", 2)]
+
+
+def test_session_needs_a_shared_folder():
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
