@@ -4,20 +4,46 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from frameledger.functions.geometry import clip_index
 from frameledger.schemas import FRAME_BUDGET, GROUNDING_MARGIN, SHORT_STRIDE, SHORT_WINDOW, TASKS, VIDEO_FPS
 
 
+#: Budgets up to this one are spelt out as Column expressions; larger ones go to the workers' arrays.
+SPELT = 16
+
+
+def _uniform_arrays(budget: int):
+    """Frames of whole batches at once; a list per row, without repeats."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def spread(start: pd.Series, end: pd.Series) -> pd.Series:
+        s, e = start.to_numpy(np.float64, na_value=np.nan), end.to_numpy(np.float64, na_value=np.nan)
+        known = np.isfinite(s) & np.isfinite(e)
+        s, e = np.where(known, s, 0), np.where(known, e, 0)
+        f = np.rint(s[:, None] + np.arange(budget) / (budget - 1) * (e - s)[:, None]).astype(np.int64)
+        new = np.ones(f.shape, bool)
+        new[:, 1:] = f[:, 1:] != f[:, :-1]
+        parts = np.split(f[new], np.cumsum(new.sum(1))[:-1])
+        return pd.Series([p if k else None for p, k in zip(parts, known)], dtype=object)
+
+    return spread
+
+
 def uniform(start: Column, end: Column, budget: int) -> Column:
     """``budget`` frames spread over the closed interval, rounded half to even, without repeats."""
     if budget <= 1:
         return F.array(start)
+    if budget > SPELT:
+        return _uniform_arrays(budget)(start.cast("bigint"), end.cast("bigint"))
     shares = F.array(*[F.lit(k / (budget - 1)) for k in range(budget)])  # a constant, folded once
-    many = F.array_distinct(F.transform(shares, lambda k: F.greatest(start, F.least(end, F.rint(start + k * (end - start)).cast("bigint")))))
-    return F.when(start == end, F.array(start)).otherwise(many)
+    many = F.array_distinct(F.transform(shares, lambda k: F.rint(start + k * (end - start)).cast("bigint")))
+    return F.when(start.isNotNull() & end.isNotNull(), many)
 
 
 def _clipped(a: Column, b: Column, total: Column) -> tuple[Column, Column]:

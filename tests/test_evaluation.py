@@ -57,6 +57,46 @@ def test_tracking_scores(spark):
     assert evaluate.tracking_scores(truth.limit(0), guess, ["sample_id"]).count() == 0
 
 
+def test_tracking_in_the_row_is_that_of_the_join(spark):
+    import random
+
+    r = random.Random(1)
+    box = lambda: [float(r.randint(0, 30)) for _ in range(4)]
+    rows = [(str(i), [(f, box()) for f in range(r.randint(0, 5))] + [None], [(r.randint(0, 5), box()) for _ in range(r.randint(0, 9))]) for i in range(60)] + [("n", None, None)]
+    kind = "array<struct<frame_sampled:bigint,bbox_mot:array<double>>>"
+    df = spark.createDataFrame(rows, f"sample_id string, truth {kind}, guess {kind}")
+    truth = df.select("sample_id", F.explode("truth").alias("t")).where("t is not null").select("sample_id", "t.*")
+    guess = df.select("sample_id", F.posexplode("guess").alias("ord", "t")).select("sample_id", "ord", "t.*")
+    want = {x["sample_id"]: x for x in evaluate.zero_filled(df, evaluate.tracking_scores(truth, guess, ["sample_id"]), ["sample_id"]).collect()}
+    got = df.select("sample_id", evaluate.tracking_in_row(F.col("truth"), F.col("guess")).alias("s"), evaluate.duplicate_warnings(F.col("guess")).alias("w"), "guess").collect()
+    for x in got:
+        w = want[x["sample_id"]]
+        assert x["s"]["tracking_mean_iou"] == pytest.approx(w["tracking_mean_iou"]) and x["s"]["tracking_pass_rate"] == pytest.approx(w["tracking_pass_rate"]) and x["s"]["tracking_pass"] == w["tracking_pass"]
+        frames = [g["frame_sampled"] for g in x["guess"] or []]
+        assert len(x["w"] or []) == len(frames) - len(set(frames))
+
+
+def test_overlay():
+    import numpy as np
+
+    from frameledger.sources import media
+
+    black = np.zeros((100, 200, 3), np.uint8)
+    drawn = media.overlay(black, [[100, 300, 200, 400], [990, 990, 50, 50]])
+    assert not black.any() and drawn[30, 20].tolist() == [0, 255, 0] and drawn[50, 40].tolist() == [0, 0, 0]
+    assert media.pixel_corners([100, 300, 200, 400], 200, 100) == (20, 30, 60, 70)
+    assert media.pixel_corners([1200, -50, 0, 0], 200, 100) == (199, 0, 199, 1)
+    with pytest.raises(RuntimeError, match="av"):
+        media.write_video("x.mp4", [black], 5.0)
+
+
+def test_combined_chain_summary(spark):
+    base = spark.createDataFrame([(3, 0.5)], "num_chain_samples int, chain_success double")
+    oracle = spark.createDataFrame([("visual", 3, None)], "variant string, num_chain_samples int, chain_success double")
+    assert [tuple(r) for r in summarize.combined_chain_summary(base, oracle).collect()] == [("base", 3, 0.5), ("oracle_visual", 3, None)]
+    assert summarize.combined_chain_summary(base).count() == 1
+
+
 def test_judge(spark):
     texts = ['{"correctness": 1, "completeness": 1, "faithfulness": "1", "final_pass": true, "confidence": "high", "brief_reason": "ok", "x": 1}', '{"correctness": 2, "completeness": 1, "faithfulness": 1, "final_pass": 1, "confidence": "high", "brief_reason": "ok"}', '{"correctness": 1}', "no", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(evaluate.parse_decision(F.col("t")).alias("d"))
