@@ -24,6 +24,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, d, "tracking_rows"), table(spark, d, "annotations"))
 
 
+def p2_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The part of p2_found that physical limits alone decide."""
+    return p2_found(spark, d).where("kind = 'impossible'")
+
+
 def _bridge(spark: SparkSession, d: str) -> DataFrame:
     s = first_delivery(table(spark, d, "structured_predictions").select("record_id", "structured_prediction", "written_at"), "record_id", "written_at")
     p = first_delivery(table(spark, d, "prepared_samples").select("record_id", "reference_payload", "written_at"), "record_id", "written_at")
@@ -86,6 +91,15 @@ q as (select *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*') quoted, list_t
 r as (select *, case when not quoted then 'quoting' when len(f) <> 10 then 'column_count' when len(list_filter(f[1:2], lambda x: not regexp_full_match(x, '\+?[0-9]+(\.0*)?|-0+(\.0*)?'))) > 0
     or len(list_filter(f[3:10], lambda x: not regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?'))) > 0 or not regexp_matches(f[5], '^\+?[0.]*[1-9]') or not regexp_matches(f[6], '^\+?[0.]*[1-9]') then 'value' end reason from q)
 """
+_OFF = lambda l, t, w, h: f"coalesce(isnan({l}), false) or coalesce(isinf({l}), false) or coalesce(isnan({t}), false) or coalesce(isinf({t}), false) or coalesce(isnan({w}), false) or coalesce(isinf({w}), false) or coalesce(isnan({h}), false) or coalesce(isinf({h}), false) or coalesce({w} <= 0, false) or coalesce({w} > 1000, false) or coalesce({h} <= 0, false) or coalesce({h} > 1000, false) or coalesce({l} >= 1000, false) or coalesce({t} >= 1000, false) or coalesce({l} + {w} <= 0, false) or coalesce({t} + {h} <= 0, false)"
+_P2 = f"""
+with a as (select row_id, arg_min(bounding_box, coalesce(loaded_at, timestamptz '9999-01-01')) b from annotations where trim(bounding_box) <> '' group by 1),
+x as (select row_id, case when regexp_matches(b, '^\\s*\\[\\s*\\{{') then list_transform(range(json_array_length(b::json)::bigint), lambda i: json_extract(b::json, '/' || i || '/box')) else [b::json] end boxes from a where json_valid(b)),
+v as (select row_id, unnest(list_transform(boxes, lambda j: case when json_type(j) = 'ARRAY' then list_transform(range(json_array_length(j)::bigint), lambda i: try_cast((j ->> ('/' || i)) as double)) end)) c from x),
+w as (select row_id, c[1] l, c[2] t, c[3] - c[1] w, c[4] - c[2] h, c is null or len(c) <> 4 or len(list_filter(c, lambda q: q is null)) > 0 bad from v)
+select 'tracking_rows' as source_table, row_id, 'impossible' as kind from tracking_rows where {_OFF('box_left', 'box_top', 'box_width', 'box_height')} group by row_id
+union all select 'annotations', row_id, 'impossible' from w where coalesce(bad, true) or {_OFF('l', 't', 'w', 'h')} group by row_id
+union all select 'annotations', row_id, 'impossible' from a where not json_valid(b)"""
 _P4 = """
 with recursive t(source_table, record_id, path, v) as (
   select 'structured_predictions', record_id, '', to_json(any_value(structured_prediction)) from structured_predictions where structured_prediction is not null group by record_id
@@ -112,10 +126,11 @@ x as (select r.*, case when p.k is null then 'missing' when p.gone then 'deleted
 """
 _P6_PERIOD = "strftime(loaded at time zone 'UTC', '%Y-%m')"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_impossible": p2_impossible, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
 SQL: dict[str, str] = {
     "p1_found": _P1 + "select line_id, reason from r where reason is not null",
     "p1_rows": _P1 + "select line_id, try_cast(regexp_replace(f[1], '\\..*$', '') as bigint) as frame, try_cast(regexp_replace(f[2], '\\..*$', '') as bigint) as track_id, " + ", ".join(f"try_cast(f[{k + 1}] as double) as {c}" for k, c in enumerate(parse_lines.TYPED) if k > 1) + " from r where reason is null",
+    "p2_impossible": _P2,
     "p4_found": _P4 + "select source_table, record_id, path from t where json_type(v) = 'OBJECT' and path <> ''",
     "p6_found": _P6 + f"select source_table, field, row_id, kind, {_P6_PERIOD} as period from x where kind is not null",
     "p6_report": _P6 + f"select source_table, field, kind, {_P6_PERIOD} as period, count(*) as n_rows from x where kind is not null group by all",
