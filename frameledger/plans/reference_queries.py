@@ -10,7 +10,7 @@ from frameledger.functions import geometry, sampling, text
 from frameledger.operators import evaluate, prepare, prompts, state, structure, summarize
 from frameledger.plans import pipeline
 from frameledger.schemas import ACTIONS, CAPTIONS, GROUNDING, IMAGINATION, TASK_NAMES, UPSTREAM_TASKS
-from frameledger.session import first_delivery, table
+from frameledger.session import first_delivery, spread_join, table
 from frameledger.sources import annotations as ann
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +54,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     """Annotations with their video's metadata, windows in order, and sample ids."""
     a = once(spark, d, "annotations").select("row_id", "video_key", F.col("annotation_id"), F.col("task_l2").alias("task_name"), "timestamp_frame", ann.q_window(F.col("q_window_frame")).alias("q_window"), F.when(F.col("task_l2") == "Spatial_Temporal_Grounding", ann.grounding_window(F.col("a_window_frame"))).alias("a_window"), "a_window_frame", "answer", "question", "query", "bounding_box", "tracking_bboxes", "upstream_annotation_id")
     v = once(spark, d, "videos", "fps", "total_frames", "resolution").drop("loaded_at")
-    j = a.join(v, "video_key", "left").withColumn("seq", F.col("row_id"))
+    j = spread_join(a, v, ["video_key"], "row_id", "left").withColumn("seq", F.col("row_id"))
     return j.withColumn("sample_id", F.concat("video_key", F.lit("#"), F.coalesce("annotation_id", F.lit("<missing>"))))
 
 
@@ -453,6 +453,16 @@ def oracle_success(spark, d):
     return c.select("variant", "num_chain_samples", "num_scored_chain_samples", "num_pending_chain_samples", *[F.round(m, 9).alias(m) for m in _OMEANS])
 
 
+_BOTH = ["num_chain_samples", "num_scored_chain_samples", "num_pending_chain_samples", *_OMEANS]
+
+
+@query(f"select 'base' as experiment, {', '.join(_BOTH)} from ({SQL['chain_success']}) union all select 'oracle_' || variant, {', '.join(_BOTH)} from ({SQL['oracle_success']})")
+def experiment_summary(spark, d):
+    """The base chain summary with those of the oracle variants below it."""
+    base, oracle = (QUERIES[n](spark, d) for n in ("chain_success", "oracle_success"))
+    return summarize.combined_chain_summary(base.select(*_BOTH), oracle.select("variant", *_BOTH))
+
+
 # ---- state and resume ------------------------------------------------------------------------------------------
 
 @query(f"{_WITH_S} select kind, sample_id from (select 'duplicate_downstream' kind, downstream_sample_id sample_id from {_PAIRS} group by 2 having count(*) > 1 union all select distinct 'uncovered', sample_id from S where task_name = '{IMAGINATION}' and sample_id not in (select downstream_sample_id from {_PAIRS}) union all select distinct 'upstream_unprepared', upstream_sample_id from {_PAIRS} where upstream_sample_id not in (select sample_id from prepared_samples where sample_id is not null) union all select distinct 'downstream_unprepared', downstream_sample_id from {_PAIRS} where downstream_sample_id not in (select sample_id from prepared_samples where sample_id is not null))")

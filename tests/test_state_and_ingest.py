@@ -193,3 +193,29 @@ def test_session_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_late_counts(spark, tmp_path):
+    src = tmp_path / "events"
+    src.mkdir()
+    (src / "a.json").write_text("".join(json.dumps({"ts": f"2025-01-01 0{h}:10:00", "k": "x"}) + "\n" for h in (1, 1, 2)))
+    stream = spark.readStream.schema("ts timestamp, k string").json(str(src))
+    q = resume.late_counts(stream, "ts", "k").writeStream.format("memory").queryName("late").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["start"].hour, r["k"], r["n"]) for r in spark.table("late").collect()) == [(1, "x", 2), (2, "x", 1)]
+
+
+def test_joins_with_a_small_side(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(90)] + [(90, None), (91, "none")], "id int, k string")
+    small = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    want = sorted((r["id"], r["v"]) for r in rows.join(small, "k", "left").collect())
+    for most in (10, 0):
+        got = session.small_join(rows, small, ["k"], "id", "left", most=most).collect()
+        assert sorted((r["id"], r["v"]) for r in got) == want
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_deliveries(spark, most):
+    df = spark.sql("select * from values (1, 'late', timestamp'2025-03-01'), (1, 'first', timestamp'2025-02-01'), (2, 'none', cast(null as timestamp)), (cast(null as int), 'a', timestamp'2025-03-01'), (cast(null as int), 'b', timestamp'2025-02-01'), (3, 'same', timestamp'2025-02-01'), (3, 'same', timestamp'2025-02-01') t(id, v, ts)")
+    assert sorted((str(r["id"]), r["v"]) for r in session.deliveries(df, "id", "ts", most).collect()) == [("1", "first"), ("2", "none"), ("3", "same"), ("None", "b")]
+    assert session.deliveries(df.limit(0), "id", "ts").count() == 0
