@@ -12,6 +12,31 @@ from pyspark.sql import functions as F
 from frameledger.schemas import PAYLOAD_KIND, SENTINEL_BOX
 
 
+#: What is said of a payload that does not fit its task.
+SAYS = {
+    "task": "unsupported task for structured validation: {}",
+    "no_text": "missing text field",
+    "no_bbox": "missing bbox field",
+    "list": "{} must be a list",
+    "four": "{} must contain exactly 4 values",
+    "numeric": "{} must contain numeric values",
+    "finite": "{} must contain finite numeric values",
+    "object": "{} must be an object",
+    "members": "{} must contain {}",
+    "window": "time_window_sampled must be empty or contain exactly 2 values",
+    "blank_label": "{}.label must be non-empty",
+    "twice": "duplicate object label: {}",
+    "unexpected": "unexpected object label: {}",
+    "missing": "missing object label: {}; using sentinel bbox",
+}
+#: The members that the rows of each list need, and how they are listed.
+NEEDS = {
+    "segments": (("start_sampled", "end_sampled", "text"), "start_sampled, end_sampled, and text"),
+    "tracking": (("frame_sampled", "bbox_mot"), "frame_sampled and bbox_mot"),
+    "objects": (("label", "bbox"), "label and bbox"),
+}
+
+
 class Fatal(Exception):
     """An index that is no integer: the sample fails without another try."""
 
@@ -36,45 +61,46 @@ class Check:
     def text(self) -> str:
         if "text" in self.payload:
             return str(self.payload["text"]).strip()
-        self.errors.append("missing text field")
+        self.errors.append(SAYS["no_text"])
         return ""
 
     def box(self, value, where: str, errors: list[str]) -> list[float] | None:
         if not isinstance(value, list):
-            errors.append(f"{where} must be a list")
+            errors.append(SAYS["list"].format(where))
         elif len(value) != 4:
-            errors.append(f"{where} must contain exactly 4 values")
+            errors.append(SAYS["four"].format(where))
         else:
             try:
                 sides = [float(x) for x in value]
             except (TypeError, ValueError):
-                errors.append(f"{where} must contain numeric values")
+                errors.append(SAYS["numeric"].format(where))
                 return None
             if all(map(math.isfinite, sides)):
                 return sides
-            errors.append(f"{where} must contain finite numeric values")
+            errors.append(SAYS["finite"].format(where))
         return None
 
-    def rows(self, name: str, needs: tuple[str, ...], listing: str):
+    def rows(self, name: str):
         """(position, row) of the objects of a list member that have what they need."""
+        needs, listing = NEEDS[name]
         value = self.payload.get(name)
         if not isinstance(value, list):
-            self.errors.append(f"{name} must be a list")
+            self.errors.append(SAYS["list"].format(name))
             return
         for i, row in enumerate(value):
             if not isinstance(row, dict):
-                self.errors.append(f"{name}[{i}] must be an object")
+                self.errors.append(SAYS["object"].format(f"{name}[{i}]"))
             elif any(k not in row for k in needs):
-                self.errors.append(f"{name}[{i}] must contain {listing}")
+                self.errors.append(SAYS["members"].format(f"{name}[{i}]", listing))
             else:
                 yield i, row
 
     def segments(self) -> list[dict]:
-        return [{"start_sampled": _whole(r["start_sampled"]), "end_sampled": _whole(r["end_sampled"]), "text": str(r["text"]).strip()} for _, r in self.rows("segments", ("start_sampled", "end_sampled", "text"), "start_sampled, end_sampled, and text")]
+        return [{"start_sampled": _whole(r["start_sampled"]), "end_sampled": _whole(r["end_sampled"]), "text": str(r["text"]).strip()} for _, r in self.rows("segments")]
 
     def tracking(self) -> list[dict]:
         out = []
-        for i, r in self.rows("tracking", ("frame_sampled", "bbox_mot"), "frame_sampled and bbox_mot"):
+        for i, r in self.rows("tracking"):
             frame = _whole(r["frame_sampled"])
             sides = self.box(r["bbox_mot"], f"tracking[{i}].bbox_mot", self.errors)
             if sides:
@@ -84,11 +110,11 @@ class Check:
     def window(self) -> list[int]:
         value = self.payload.get("time_window_sampled")
         if not isinstance(value, list):
-            self.errors.append("time_window_sampled must be a list")
+            self.errors.append(SAYS["list"].format("time_window_sampled"))
             return []
         if len(value) in (0, 2):
             return [_whole(x) for x in value]
-        self.errors.append("time_window_sampled must be empty or contain exactly 2 values")
+        self.errors.append(SAYS["window"])
         return []
 
     def objects(self) -> list[dict]:
@@ -98,18 +124,18 @@ class Check:
             if name:
                 wanted.append(name)
             else:
-                self.errors.append(f"reference objects[{i}].label must be non-empty")
+                self.errors.append(SAYS["blank_label"].format(f"reference objects[{i}]"))
         if self.labels is None:
-            self.errors.append("reference objects must be a list")
+            self.errors.append(SAYS["list"].format("reference objects"))
         seen: dict[str, list[float]] = {}
-        for i, r in self.rows("objects", ("label", "bbox"), "label and bbox"):
+        for i, r in self.rows("objects"):
             name = str(r["label"]).strip()
             if not name:
-                self.errors.append(f"objects[{i}].label must be non-empty")
+                self.errors.append(SAYS["blank_label"].format(f"objects[{i}]"))
             elif name in seen:
-                self.errors.append(f"duplicate object label: {name}")
+                self.errors.append(SAYS["twice"].format(name))
             elif name not in wanted:
-                self.errors.append(f"unexpected object label: {name}")
+                self.errors.append(SAYS["unexpected"].format(name))
             else:
                 wrong: list[str] = []
                 sides = self.box(r["bbox"], f"objects[{i}].bbox", wrong)
@@ -120,7 +146,7 @@ class Check:
             return []
         for name in wanted:
             if name not in seen:
-                self.warnings.append(f"missing object label: {name}; using sentinel bbox")
+                self.warnings.append(SAYS["missing"].format(name))
         return [{"label": n, "bbox": seen.get(n, list(SENTINEL_BOX))} for n in wanted]
 
 
@@ -133,7 +159,7 @@ def validate(task: str | None, payload, labels: list[str] | None, oracle: bool =
     out = {"prediction": None, "errors": [], "warnings": [], "fatal": None}
     kind = PAYLOAD_KIND.get(task or "")
     if kind is None:
-        return out | {"errors": [f"unsupported task for structured validation: {task}"]}
+        return out | {"errors": [SAYS["task"].format(task)]}
     if not isinstance(payload, dict):
         return out | {"errors": ["response is no JSON object"]}
     check = Check(payload, labels)
@@ -148,7 +174,7 @@ def validate(task: str | None, payload, labels: list[str] | None, oracle: bool =
                 if "bbox" in payload:
                     made["bbox"] = check.box(payload["bbox"], "bbox", check.errors)
                 else:
-                    check.errors.append("missing bbox field")
+                    check.errors.append(SAYS["no_bbox"])
             elif part == "objects":
                 made["objects"] = check.objects()
             elif part == "segments":
