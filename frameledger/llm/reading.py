@@ -48,6 +48,30 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
+#: Base of the hashes of beginnings, and what undoes it.
+_BASE, _UNDO = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n."""
+    if base not in _TABLES or len(_TABLES[base]) <= n:
+        _TABLES[base] = np.cumprod(np.append(np.uint64(1), np.full(max(2 * n, SLICE), np.uint64(base))))
+    return _TABLES[base]
+
+
+class Beginnings:
+    """Hashes of the first signs of any stretch of a text, of any length, in constant time each."""
+
+    def __init__(self, c: np.ndarray):
+        value = mix(c.astype(np.uint64) + _A)
+        self.total = np.append(np.uint64(0), np.cumsum(value * _table(_BASE, len(c))[: len(c)]))
+        self.undo = _table(_UNDO, len(c))
+
+    def of(self, first: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        return (self.total[first + size] - self.total[first]) * self.undo[first]
+
+
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE signs each."""
     begin, size = 0, 0

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.llm.reading import END, STOP, STOPS, Reader, mix, slices, unquoted
+from frameledger.llm.reading import END, SPACE, STOP, Beginnings, Reader, slices, unquoted
 from frameledger.session import deliveries, ensure_checkpoint_dir, small_join
 
 #: A length is a spike from SPIKE_TIMES its neighbours' mean plus SPIKE_LEAST values on, if no more than
@@ -31,7 +31,7 @@ END_SHARE = 0.3
 #: and if they are SHARED_PART of themselves and the longer ones that begin so: a share, whatever the number of rows.
 #: Cuts fall anywhere, so few of them on one place; of whole answers that sentences also begin with there are more.
 SHARED, SHARED_PART = 3, 0.01
-#: Begins up to this number are shipped, so that only sentences with the same first words are compared; beyond it all are.
+#: Begins up to this number are shipped to the tasks.
 SHIPPED_BEGINS = 200_000
 
 #: Signs that may stand behind the last sentence.
@@ -214,45 +214,50 @@ def _kinded(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
 
 
-def _first_words(r: Reader, first: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the first word, and of the first two, of what begins at these signs, and how many of them there are
-    (of an asked begin the last word does not count: it may go on)."""
-    i = np.searchsorted(r.at, first)
-    n = len(r.at)
-    here = np.minimum(i, max(n - 1, 0))
-    one = r.hash[here]
-    ok1 = (i < n) & ~r.stop[here]
-    nxt = np.minimum(i + 1, max(n - 1, 0))
-    ok2 = ok1 & (i + 1 < n) & ~r.stop[nxt]
-    two = mix(mix(r.hash[nxt]) + one)
-    if asked:
-        ok1 &= r.kind[nxt] != END
-        ok2 &= r.kind[np.minimum(i + 2, n - 1)] != END
-    return one, two, ok1.astype(int) + (ok1 & ok2)
-
-
-def _wanted(begins: list[str]) -> list[np.ndarray]:
-    """What the sentences begin with that may be longer than one of the asked: first two words, one word, or sign."""
-    if not begins:
-        return [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
-    r = Reader(begins)
-    first = np.append(0, r.ends[:-1] + 1)
-    one, two, n = _first_words(r, first, asked=True)
-    return [np.unique(two[n == 2]), np.unique(one[n == 1]), np.unique(r.c[first[n == 0]])]
+class _Begins:
+    """The asked begins of one kind by length: sorted hashes, and their places in the list."""
+
+    def __init__(self, begins: list[str]):
+        r = Reader(begins)
+        start = np.append(0, r.ends[:-1] + 1) if begins else np.zeros(0, np.int64)
+        size = r.ends - start
+        h = Beginnings(r.c).of(start, size) if begins else np.zeros(0, np.uint64)
+        self.by: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in np.unique(size[size > 0]):
+            at = np.flatnonzero(size == n)
+            order = at[np.argsort(h[at])]
+            self.by.append((int(n), h[order], order))
+
+    def count(self, b: Beginnings, first: np.ndarray, size: np.ndarray, into: np.ndarray) -> None:
+        """Adds to each begin the stretches that are longer and begin so."""
+        for n, known, place in self.by:
+            more = first[size > n]
+            h = b.of(more, n)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            into += np.bincount(place[at[known[at] == h]], minlength=len(into))
+
+
+def _head_sizes(r: Reader, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Signs of each stretch without the stops at its end, and without a sign behind a number, which may go on."""
+    solid = np.flatnonzero((r.k != STOP) & (r.k != SPACE) & (r.k != END))
+    at = np.searchsorted(solid, last)
+    end = np.where(at > 0, solid[np.maximum(at, 1) - 1] + 1, 0) if len(solid) else np.zeros(len(first), np.int64)
+    size = np.maximum(end - first, 0)
+    mark = r.c[np.maximum(end - 1, 0)]
+    size -= (size > 1) & ((mark == 44) | (mark == 58)) & (r.c[np.maximum(end - 2, 0)] == 57)
+    return size
 
 
 def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
     """``kind, begin, longer``: of the asked begins the sentences (kind ``l``) or values (``v``) of the whole corpus
     that begin with them and go on, at whatever sign; a full stop alone does not make one longer.
 
-    Only sentences with an asked begin's first words are compared (all, where the begins are too many to ship).
-    Distinct heads and two probes per begin are sorted over the cluster; a begin's number is the difference of
-    the running sums at its probes. Nothing else is broadcast but one sum per partition."""
+    Begins up to SHIPPED_BEGINS are shipped and compared by 64-bit hashes of their signs; beyond it, distinct heads and
+    two probes per begin are sorted over the cluster, and a begin's number is the difference of the running sums at
+    its probes."""
     known = asked.select("kind", "begin").limit(SHIPPED_BEGINS + 1).collect()
-    shared = None
     if len(known) <= SHIPPED_BEGINS:
-        by = {k: [r["begin"] for r in known if r["kind"] == k] for k in "lv"}
-        shared = {k: (_wanted(b), max(map(len, b), default=0) + 1) for k, b in by.items()}
+        return _longer_shipped(values, [(r["kind"], r["begin"]) for r in known])
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,17 +266,11 @@ def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
                 r = Reader(texts[i:j])
                 text, first, last = r.sentences()
                 opens = np.append(True, text[1:] != text[:-1])[: len(text)]
-                one, two, _ = _first_words(r, first)
                 seen: Counter = Counter()
-                for kind, at in (("l", np.arange(len(first))), ("v", np.flatnonzero(opens))):
-                    limit = None
-                    if shared is not None:
-                        (pair, word, sign), limit = shared[kind]
-                        at = at[np.isin(two[at], pair) | np.isin(one[at], word) | np.isin(r.c[first[at]], sign)]
-                    for s in at:
-                        end = last[s] if kind == "l" else r.ends[text[s]]
-                        head = r.string(first[s], end).rstrip().rstrip(STOPS)
-                        seen[(kind + (_AFTER_NUMBER.sub("", head) if limit is None or len(head) <= limit else head[:limit])).encode("utf-8", "surrogatepass")] += 1
+                for kind, at, ends in (("l", np.arange(len(first)), last), ("v", np.flatnonzero(opens), r.ends[text])):
+                    size = _head_sizes(r, first[at], ends[at])
+                    for s, n in zip(at, size):
+                        seen[(kind + r.string(first[s], first[s] + n)).encode("utf-8", "surrogatepass")] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["at", "n"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +299,33 @@ def longer(values: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select(F.substring(text, 1, 1).alias("kind"), text.substr(F.lit(2), F.length(text)).alias("begin"), "longer")
 
 
+def _longer_shipped(values: DataFrame, asked: list[tuple[str, str]]) -> DataFrame:
+    spark = values.sparkSession
+    by = {k: [b for kind, b in asked if kind == k] for k in "lv"}
+    known = spark.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = {k: _Begins(v) for k, v in known.value.items()}
+        total = {k: np.zeros(len(v), np.int64) for k, v in known.value.items()}
+        for b in batches:
+            texts = [unquoted(t).strip() for t in b.column("text").to_pylist()]
+            for i, j in slices(texts):
+                r = Reader(texts[i:j])
+                text, first, last = r.sentences()
+                if not len(first):
+                    continue
+                h = Beginnings(r.c)
+                opens = np.append(True, text[1:] != text[:-1])
+                begins["l"].count(h, first, _head_sizes(r, first, last), total["l"])
+                begins["v"].count(h, first[opens], _head_sizes(r, first[opens], r.ends[text[opens]]), total["v"])
+        for k, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array([known.value[k][i] for i in at], pa.string()), pa.array(n[at])], names=["kind", "begin", "longer"])
+
+    counted = values.select("text").mapInArrow(run, "kind string, begin string, longer bigint") if asked else spark.createDataFrame([], "kind string, begin string, longer bigint")
+    return counted.groupBy("kind", "begin").agg(F.sum("longer").alias("longer"))
+
+
 def length_spikes(profiled: DataFrame) -> DataFrame:
     """``source, field, measure, length, n`` of the spikes at the upper end of the length histograms."""
     stacked = F.expr("stack(3, 'chars', n_chars, 'bytes', n_bytes, 'words', n_words) as (measure, length)")
@@ -344,7 +370,7 @@ def judged(values: DataFrame) -> DataFrame:
     ends = (zero("tail_e") + 0.1) / (zero("tail_n") + 1.0) >= END_SHARE
     enough = {"line": "l", "value": "v"}
     begins = [bare.where(~ends & (F.col(f"{k}_n") >= SHARED)).select(F.lit(kind).alias("kind"), F.col(k).alias("begin")) for k, kind in enough.items()]
-    more = longer(values, begins[0].unionByName(begins[1]).distinct())
+    more = longer(values, begins[0].unionByName(begins[1]).distinct()).checkpoint()  # a row per begin, read for both kinds
     for k, kind in enough.items():
         bare = bare.join(more.where(F.col("kind") == kind).select(F.col("begin").alias(k), F.col("longer").alias(f"{k}_longer")), k, "left")
     common = lambda k: (zero(f"{k}_n") >= SHARED) & (zero(f"{k}_n") >= SHARED_PART * (zero(f"{k}_n") + zero(f"{k}_longer")))
