@@ -38,6 +38,7 @@ FREQUENCY_RATIO = 4
 _PIECE = re.compile("[A-Za-z\u0080-\u2e7f\ua000-\ufefe]+")
 _CLINGING = re.compile("[’‘“”„«»…–—¡¿·]+")
 LOST = "\ufffd"
+_BEYOND = re.compile("[^\x00-\x7f]+")
 
 
 def _read_as(raw: bytes, wrong: str) -> str:
@@ -199,6 +200,17 @@ class Finder:
             strength, sound = self.patterns.get(g, (None, None))
             self.automaton.add_word(g, (2, strength, sound, True))
         self.automaton.make_automaton()
+        # but for words, all sequences are of signs beyond ASCII, so only stretches of these are searched
+        self.stretches = not any(strength == WORDS for strength, _ in self.patterns.values())
+
+    def _matches(self, text: str) -> Iterator[tuple[int, tuple]]:
+        if not self.stretches:
+            yield from self.automaton.iter(text)
+            return
+        for m in _BEYOND.finditer(text):
+            at = m.start()
+            for end, hit in self.automaton.iter(m.group()):
+                yield at + end, hit
 
     def spans(self, text: str, words: dict[str, str] | None = None) -> tuple[list[tuple[int, int, str | None]], bool]:
         """Garbled spans (begin, end, sound text or None) from left to right, and whether they are a case.
@@ -213,7 +225,7 @@ class Finder:
                     hits.append((at, -len(g), WORDS, sound))
                 at = text.find(g, at + 1)
         runs: list[list[int]] = []  # pairs of bytes that overlap, as runs
-        for end, (length, strength, sound, pair) in self.automaton.iter(text):
+        for end, (length, strength, sound, pair) in self._matches(text):
             begin = end + 1 - length
             if pair:
                 if runs and runs[-1][1] == end:
@@ -279,6 +291,24 @@ class Finder:
         return text, count + lost, lost == 0
 
 
+_COMMON_WORDS: list[tuple[dict[str, str], object]] = []
+
+
+def _words_of(common: dict[str, str]):
+    """What finds the shared garbled words in a text: one automaton per worker and table."""
+    import ahocorasick
+
+    if not _COMMON_WORDS or _COMMON_WORDS[0][0] is not common:
+        automaton = ahocorasick.Automaton()
+        for g in common:
+            automaton.add_word(g, g)
+        automaton.make_automaton()
+        _COMMON_WORDS[:] = [(common, automaton)]
+    automaton = _COMMON_WORDS[0][1]
+    # a garbled word holds no white space and a sign beyond ASCII
+    return lambda text: {g: common[g] for _, g in automaton.iter(" ".join({w for w in text.split() if not w.isascii()}))}
+
+
 _FINDER: list[Finder] = []
 
 
@@ -404,10 +434,11 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", resto
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder, common = _finder(), shared.value
+            find = _words_of(common) if common else None
             for b in batches:
                 hit, rows = [], []
                 for i, (t, n, own) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
-                    words = dict(own) if own else {c: common[c] for c in held(t, longest) if c in common} if common else None
+                    words = dict(own) if own else find(t) if find else None
                     body, now, case = finder.replaced(t, words) if restore else (None, 0, finder.spans(t, words)[1])
                     if case or again:
                         hit.append(i)

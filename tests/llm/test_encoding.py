@@ -46,6 +46,11 @@ def test_chinese_read_as_latin(finder):
     assert finder.spans(bad)[1]
 
 
+def test_sequences_are_beyond_ascii():
+    bare = encoding.Finder({})
+    assert bare.stretches and all(ord(ch) > 127 for g in bare.patterns for ch in g) and all(ord(ch) > 127 for g in encoding.byte_pairs() for ch in g)
+
+
 def test_runs_of_bytes_come_from_the_automaton(finder):
     for text, true in (("Ночная", "cp1251"), ("仓库希望检查附件", "gb2312")):
         bad = encoding._read_as(text.encode(true), "cp1252")
