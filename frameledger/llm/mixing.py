@@ -137,6 +137,6 @@ def in_order(mixture: DataFrame) -> DataFrame:
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: its weight, tokens, actual share, records and most uses of one record."""
     by = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("use_no").alias("most_uses"))
-    every = by.groupBy().agg(F.sum("tokens").alias("all_tokens"))
+    by = by.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row per source
     t = targets.select("source", "weight", "max_repeats")
-    return t.join(by, "source", "left").join(F.broadcast(every), F.lit(True), "left").select("source", "weight", "max_repeats", F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), F.coalesce("uses", F.lit(0).cast("bigint")).alias("uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    return t.join(by, "source", "left").select("source", "weight", "max_repeats", F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), F.coalesce("uses", F.lit(0).cast("bigint")).alias("uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
