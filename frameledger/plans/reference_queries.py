@@ -446,9 +446,11 @@ _OMEANS = ["understanding_acc_wo_track", "reasoning_acc", "chain_success_wo_trac
  (select v.variant, (length(pair_id) + v.n) % 6 > 0 ok, case when upstream_task_name = 'Continuous_Actions_Caption' then (length(pair_id) % 2)::int else ((length(pair_id) + v.n) % 3 > 0)::int end pl, (length(pair_id) % 5 > 0)::int re from {_PAIRS} cross join (values ('language', 0), ('visual', 1), ('language_visual', 2)) v(variant, n)) group by 1""")
 def oracle_success(spark, d):
     p = _pairs(spark, d)
-    v = spark.createDataFrame([("language", 0), ("visual", 1), ("language_visual", 2)], "variant string, n int")
+    kinds = [("language", 0), ("visual", 1), ("language_visual", 2)]
+    v = spark.createDataFrame(kinds, "variant string, n int")
     n = F.length("pair_id")
-    res = p.join(F.broadcast(v), F.lit(True)).where((n + F.col("n")) % 6 > 0).select("variant", "pair_id", (n % 2).alias("up_judge"), ((n + F.col("n")) % 3 > 0).cast("int").alias("up_tiou"), (n % 5 > 0).cast("int").alias("down_judge"), F.lit(True).alias("has_result")).distinct()
+    each = p.withColumn("v", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(i).alias("n")) for k, i in kinds]))).select("*", "v.*")
+    res = each.where((n + F.col("n")) % 6 > 0).select("variant", "pair_id", (n % 2).alias("up_judge"), ((n + F.col("n")) % 3 > 0).cast("int").alias("up_tiou"), (n % 5 > 0).cast("int").alias("down_judge"), F.lit(True).alias("has_result")).distinct()
     c = summarize.chain_summary(summarize.oracle_components(p, v.select("variant"), res), ["variant"])
     return c.select("variant", "num_chain_samples", "num_scored_chain_samples", "num_pending_chain_samples", *[F.round(m, 9).alias(m) for m in _OMEANS])
 
