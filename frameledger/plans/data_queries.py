@@ -43,19 +43,16 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.object_table(_bridge(spark, d))
 
 
-def p4_segments(spark: SparkSession, d: str) -> DataFrame:
-    return nested.kind_table(_bridge(spark, d), "segments", {"start_sampled": "bigint", "end_sampled": "bigint", "text": "string"})
-
-
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
-    """The whole bridge: each occurrence of an object, of whatever kind, and its parent."""
+    """The whole bridge: each occurrence of an object, of whatever kind, and its parent, with their identities."""
     return _bridge(spark, d).drop("scalars")
 
 
 _MENTION = {"frame_sampled": "bigint", "label": "string"}
 _SEGMENT = {"start_sampled": "bigint", "end_sampled": "bigint", "text": "string"}
-#: The flat table of each kind of object; the top level has the kind "". p4_segments is that of "segments".
+#: The flat table of each kind of object; the top level has the kind "".
 KINDS: dict[str, tuple[str, dict[str, str]]] = {
+    "p4_segments": ("segments", _SEGMENT),
     "p4_kind_top": ("", {"text": "string", "bbox": "array<double>", "time_window_sampled": "array<bigint>"}),
     "p4_kind_objects": ("objects", {"label": "string", "bbox": "array<double>"}),
     "p4_kind_objects_attributes": ("objects.attributes", {"name": "string", "value": "string"}),
@@ -71,7 +68,8 @@ KINDS: dict[str, tuple[str, dict[str, str]]] = {
 
 
 def _kind(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: nested.kind_table(_bridge(spark, d), kind, columns)
+    """Without the identities, which only ``p4_links`` shows: record and parent path are the link."""
+    return lambda spark, d: nested.kind_table(_bridge(spark, d), kind, columns).drop("object_id", "parent_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,15 +99,31 @@ select 'tracking_rows' as source_table, row_id, 'impossible' as kind from tracki
 union all select 'annotations', row_id, 'impossible' from w where coalesce(bad, true) or {_OFF('l', 't', 'w', 'h')} group by row_id
 union all select 'annotations', row_id, 'impossible' from a where not json_valid(b)"""
 _P4 = """
-with recursive t(source_table, record_id, path, v) as (
-  select 'structured_predictions', record_id, '', to_json(any_value(structured_prediction)) from structured_predictions where structured_prediction is not null group by record_id
-  union all select 'prepared_samples', record_id, '', to_json(any_value(reference_payload)) from prepared_samples where reference_payload is not null group by record_id
-  union all select source_table, record_id, path || case when c.step is null or c.step[1] = '[' or path = '' then '' else '.' end || coalesce(c.step, ''), c.v from (
-    select source_table, record_id, path, unnest(case json_type(v)
-      when 'OBJECT' then list_transform(json_keys(v), lambda k: {step: k, v: v -> ('/' || replace(replace(k, '~', '~0'), '/', '~1'))})
-      when 'ARRAY' then list_transform(range(json_array_length(v)::bigint), lambda i: {step: '[' || i || ']', v: v -> ('/' || i)})
-      when 'VARCHAR' then case when regexp_matches(v ->> '$', '^\\s*[\\[{"]') and json_valid(v ->> '$') then [{step: null::varchar, v: (v ->> '$')::json}] end end) c from t))
+with recursive t(source_table, record_id, path, kind, parent_path, ordinal, v) as (
+  select 'structured_predictions', record_id, '', '', null::varchar, null::int, to_json(any_value(structured_prediction)) from structured_predictions where structured_prediction is not null group by record_id
+  union all select 'prepared_samples', record_id, '', '', null, null, to_json(any_value(reference_payload)) from prepared_samples where reference_payload is not null group by record_id
+  union all select source_table, record_id, path || case when c.step is null or c.step[1] = '[' or path = '' then '' else '.' end || coalesce(c.step, ''),
+    case when is_object then kind || case when kind = '' then '' else '.' end || c.step else kind end, case when is_object then path else parent_path end, case when c.step is null then ordinal else c.i end, c.v from (
+    select source_table, record_id, path, kind, parent_path, ordinal, json_type(v) = 'OBJECT' is_object, unnest(case json_type(v)
+      when 'OBJECT' then list_transform(json_keys(v), lambda k: {step: k, i: null::int, v: v -> ('/' || replace(replace(k, '~', '~0'), '/', '~1'))})
+      when 'ARRAY' then list_transform(range(json_array_length(v)::bigint), lambda i: {step: '[' || i || ']', i: i::int, v: v -> ('/' || i)})
+      when 'VARCHAR' then case when regexp_matches(v ->> '$', '^\\s*[\\[{"]') and json_valid(v ->> '$') then [{step: null::varchar, i: null::int, v: (v ->> '$')::json}] end end) c from t))
 """
+
+
+def _kind_sql(kind: str, columns: dict[str, str]) -> str:
+    """The flat table of one kind of object in SQL; a list may be spelt as a JSON text."""
+    cols = []
+    for c, t in columns.items():
+        if t.startswith("array"):
+            x = f"case when json_type(v -> '{c}') = 'VARCHAR' then case when json_valid(v ->> '{c}') then (v ->> '{c}')::json end else v -> '{c}' end"
+            number = {"array<double>": "double", "array<bigint>": "bigint"}[t]
+            cols.append(f"case when json_type({x}) = 'ARRAY' then list_transform(range(json_array_length({x})::bigint), lambda i: try_cast(({x} ->> ('/' || i)) as {number})) end as {c}")
+        else:
+            cols.append(f"v ->> '{c}' as {c}" if t == "string" else f"try_cast(v ->> '{c}' as {t}) as {c}")
+    return _P4 + f"select source_table, record_id, path, parent_path, ordinal, {', '.join(cols)} from t where json_type(v) = 'OBJECT' and kind = '{kind}'"
+
+
 _P6 = r"""
 with a0 as (select row_id, min(loaded_at) loaded, any_value(trim(video_key, chr(9)||chr(10)||chr(13)||chr(160)||' ')) vk, any_value(trim(annotation_id, chr(9)||chr(10)||chr(13)||chr(160)||' ')) ak,
     any_value(trim(upstream_annotation_id, chr(9)||chr(10)||chr(13)||chr(160)||' ')) up, any_value(regexp_replace(trim(tracking_bboxes, chr(9)||chr(10)||chr(13)||chr(160)||' '), '^(\./data/|data/|\./dataset/|dataset/)', '')) tp from annotations group by row_id),
@@ -126,11 +140,12 @@ x as (select r.*, case when p.k is null then 'missing' when p.gone then 'deleted
 """
 _P6_PERIOD = "strftime(loaded at time zone 'UTC', '%Y-%m')"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_impossible": p2_impossible, "p4_found": p4_found, "p4_objects": p4_objects, "p4_segments": p4_segments, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_impossible": p2_impossible, "p4_found": p4_found, "p4_objects": p4_objects, "p4_links": p4_links, **{name: _kind(*k) for name, k in KINDS.items()}, "p6_found": p6_found, "p6_report": p6_report}
 SQL: dict[str, str] = {
     "p1_found": _P1 + "select line_id, reason from r where reason is not null",
     "p1_rows": _P1 + "select line_id, try_cast(regexp_replace(f[1], '\\..*$', '') as bigint) as frame, try_cast(regexp_replace(f[2], '\\..*$', '') as bigint) as track_id, " + ", ".join(f"try_cast(f[{k + 1}] as double) as {c}" for k, c in enumerate(parse_lines.TYPED) if k > 1) + " from r where reason is null",
     "p2_impossible": _P2,
+    **{name: _kind_sql(*k) for name, k in KINDS.items()},
     "p4_found": _P4 + "select source_table, record_id, path from t where json_type(v) = 'OBJECT' and path <> ''",
     "p6_found": _P6 + f"select source_table, field, row_id, kind, {_P6_PERIOD} as period from x where kind is not null",
     "p6_report": _P6 + f"select source_table, field, kind, {_P6_PERIOD} as period, count(*) as n_rows from x where kind is not null group by all",
