@@ -73,6 +73,14 @@ def build(spark: SparkSession, samples: DataFrame, tracking: DataFrame, issues:
     return done
 
 
+def write_chain_pairs(samples: DataFrame, issues: DataFrame, path: str) -> int:
+    """The pairs of a dataset without issues as JSON lines in the order of their ids; gives their number."""
+    check(samples, issues)
+    pairs = ann.chain_pairs(ann.supported(samples))
+    pairs.orderBy("pair_id").write.mode("overwrite").json(path)
+    return pairs.count()
+
+
 def load(spark: SparkSession, root: str, spec: str) -> DataFrame:
     """The prepared table of a protocol, in the order of sample_id; a manifest that does not fit is an error."""
     p = sampling.resolve(spec)

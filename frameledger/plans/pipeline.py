@@ -1,6 +1,8 @@
 """The evaluation pipeline end to end, on DataFrames: prepared samples and responses to summaries."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,14 @@ def judge_mode(task: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in _MODES.items() for x in kv])[task], F.lit("none"))
 
 
-def evaluate_predictions(prepared: DataFrame, verdicts: DataFrame, decision: Column | None = None, oracle: bool = False) -> DataFrame:
+def evaluate_predictions(prepared: DataFrame, verdicts: DataFrame, decision: Column | None = None, oracle: bool = False, text_score: Callable[[Column, Column], Column] = evaluate.token_f1) -> DataFrame:
     """The evaluation record of every validated sample: component metrics and passes, task_pass, warnings.
 
     ``prepared``: sample_id, protocol_id, task_name, reference_payload. ``verdicts``: as structure_responses
     gives them; read once, everything is scored within the row. ``decision``: a Column over ``prepared`` with the
     judge's decision (default: the static passing judge). A row that needs a judge and has no decision (the call
     failed, or stayed malformed) has no record: it is pending, not failed. A row without text to judge fails
-    without being asked."""
+    without being asked. ``text_score``: of (reference, candidate), see ``textscore``."""
     keys = ["sample_id", "protocol_id"]
     told = decision if decision is not None else evaluate.passed_decision()
     j = prepared.select(*keys, "task_name", F.col("reference_payload").alias("ref"), told.alias("told")).join(verdicts.where(F.col("prediction").isNotNull()).select(*keys, F.from_json("prediction", PREDICTION).alias("pred")), keys)
@@ -45,7 +47,7 @@ def evaluate_predictions(prepared: DataFrame, verdicts: DataFrame, decision: Col
     all_objects = F.when(F.col("object_scores").isNotNull(), F.forall("object_scores", lambda o: o["pass"] == 1).cast("int"))
     tiou_pass = F.when(F.col("tiou").isNotNull(), (F.col("tiou") >= THRESHOLD).cast("int"))
     verdict = evaluate.task_pass(task, F.col("judge_pass"), bbox_pass, all_objects, tiou_pass, F.col("t.tracking_pass"), oracle)
-    return out.select(*keys, "task_name", "judge_decision", "judge_pass", "bbox_iou", F.coalesce(object_passes, F.when(bbox_pass.isNotNull(), F.array(bbox_pass))).alias("bbox_passes"), "tiou", tiou_pass.alias("tiou_pass"), "t.tracking_mean_iou", "t.tracking_pass_rate", "t.tracking_pass", evaluate.token_f1(F.col("pair.reference"), F.col("pair.candidate")).alias("text_f1"), verdict.alias("task_pass"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    return out.select(*keys, "task_name", "judge_decision", "judge_pass", "bbox_iou", F.coalesce(object_passes, F.when(bbox_pass.isNotNull(), F.array(bbox_pass))).alias("bbox_passes"), "tiou", tiou_pass.alias("tiou_pass"), "t.tracking_mean_iou", "t.tracking_pass_rate", "t.tracking_pass", text_score(F.col("pair.reference"), F.col("pair.candidate")).alias("text_f1"), verdict.alias("task_pass"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
 
 
 def judge_requests(prepared: DataFrame, verdicts: DataFrame) -> DataFrame:

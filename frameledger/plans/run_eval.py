@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameledger.operators import predict, prepare, prompts, state, structure, summarize
+from frameledger.operators import evaluate, predict, prepare, prompts, state, structure, summarize, textscore
 from frameledger.plans import pipeline
 from frameledger.schemas import TASKS, UPSTREAM_TASKS, VARIANTS
 from frameledger.session import ship
@@ -130,12 +130,13 @@ def _judged(spark: SparkSession, rows: DataFrame, verdicts: DataFrame, path: str
     return stage(spark, asked, path, lambda t: predict.judge(t, backend), "decision")
 
 
-def _evaluated(rows: DataFrame, verdicts: DataFrame, decisions: DataFrame, oracle: bool) -> DataFrame:
+def _evaluated(rows: DataFrame, verdicts: DataFrame, decisions: DataFrame, oracle: bool, scorer: textscore.Scorer | None = None) -> DataFrame:
     told = rows.select(*KEYS, "task_name", "reference_payload").join(decisions.select(*KEYS, "decision"), KEYS, "left")
-    return pipeline.evaluate_predictions(told, verdicts, F.col("decision"), oracle)
+    score = textscore.text_score(scorer) if scorer else evaluate.token_f1
+    return pipeline.evaluate_predictions(told, verdicts, F.col("decision"), oracle, score)
 
 
-def run(spark: SparkSession, prepared: DataFrame, out: str, adapter: predict.Adapter | None = None, judge: predict.Judge | None = None, pairs: DataFrame | None = None, packs: Packs | None = None, structurer: structure.Backend | None = None) -> dict:
+def run(spark: SparkSession, prepared: DataFrame, out: str, adapter: predict.Adapter | None = None, judge: predict.Judge | None = None, pairs: DataFrame | None = None, packs: Packs | None = None, structurer: structure.Backend | None = None, scorer: textscore.Scorer | None = None) -> dict:
     """One pass; returns the summary and writes it to ``out/summary``. Without an adapter the reference is
     echoed. The second steps of chains wait for their first step's answer; those without one are blocked. A row
     whose judge call failed is pending: it has no record until a later run gets its decision."""
@@ -157,7 +158,7 @@ def run(spark: SparkSession, prepared: DataFrame, out: str, adapter: predict.Ada
     base = rows.select(*KEYS, "task_name", "question_text", "reference_payload")
     verdicts = _structured(spark, base.join(answers.select(*KEYS, "raw_output"), KEYS), f"{out}/structured", packs.structurer, structurer, False)
     decisions = _judged(spark, base, verdicts, f"{out}/decisions", packs.judge, judge or predict.StaticJudge(1))
-    _evaluated(base, verdicts, decisions, False).repartitionByRange("sample_id").sortWithinPartitions("sample_id").write.mode("overwrite").parquet(f"{out}/evaluations")
+    _evaluated(base, verdicts, decisions, False, scorer).repartitionByRange("sample_id").sortWithinPartitions("sample_id").write.mode("overwrite").parquet(f"{out}/evaluations")
     records = spark.read.parquet(f"{out}/evaluations")
     table = summarize.task_summary(rows, records, KEYS)
     table.orderBy("task_name").write.mode("overwrite").json(f"{out}/summary")

@@ -197,3 +197,36 @@ def test_captions_of_any_spelling_are_linearized(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/annotations.parquet")
     got = {r["row_id"]: r["n_segments"] for r in q.QUERIES["segment_linearize_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: None, 3: None}
+
+
+def test_text_scores(spark):
+    import numpy as np
+
+    from frameledger.operators import textscore
+
+    assert [textscore.positive(x) for x in (5, "7", 0, -1, True, None, "x", 3.9, float("inf"))] == [5, 7, None, None, None, None, None, 3, None]
+    assert textscore.length_limit(10**30, 512) == 512 and textscore.length_limit(None, 0) is None and textscore.length_limit(128, None) == 128
+
+    def load():
+        def embed(texts, limit):
+            words = [t.split()[:limit] for t in texts]
+            out = []
+            for ws in words:
+                m = np.zeros((len(ws), 64))
+                for i, w in enumerate(ws):
+                    m[i, sum(map(ord, w)) % 64] = 1
+                out.append(m)
+            return out
+
+        return embed
+
+    scorer = textscore.EmbeddingScorer(load, (None, 2))
+    df = spark.createDataFrame([("a b c", "a b z"), ("a b", "x y"), ("a a", "a q"), ("", "a"), (None, "a"), ("a", None)], "r string, c string")
+    got = [x["s"] for x in df.select(textscore.text_score(scorer)(F.col("r"), F.col("c")).alias("s")).collect()]
+    assert got[0] == 1.0 and got[1] == 0.0 and got[2] == pytest.approx(2 * 0.5 / 1.5) and got[3:] == [None] * 3  # cut to two words
+    scorer = textscore.EmbeddingScorer(load, (), 0.5)
+    scorer.start()
+    assert scorer.score(["a b", "a", " "], ["a b", "b", "a"]) == [1.0, -1.0, 0.0]
+    p = prepared(spark)
+    records = pipeline.evaluate_predictions(p, structure.structure_responses(pipeline.mock_responses(p)), text_score=textscore.text_score(textscore.EmbeddingScorer(load)))
+    assert {x["text_f1"] for x in records.collect()} <= {1.0, None}

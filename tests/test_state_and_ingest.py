@@ -124,6 +124,7 @@ def dataset(spark):
 
 def test_bundles(spark, tmp_path):
     samples, tracking = dataset(spark)
+    samples = samples.withColumn("seq", F.col("annotation_id").cast("int"))
     none = ann.structure_issues(samples).limit(0)
     out = str(tmp_path / "prepared")
     done = bundles.build(spark, samples, tracking, none, ["main", "uniform8"], out, ["frames", "sampled_video"], True)
@@ -151,6 +152,8 @@ def test_bundles(spark, tmp_path):
         bundles._write_json(spark, manifest | {name: value}, f"{out}/main/build_manifest")
         with pytest.raises(ValueError, match=name):
             bundles.load(spark, out, "main")
+    assert bundles.write_chain_pairs(samples, none, f"{out}/pairs") == 1
+    assert spark.read.json(f"{out}/pairs").first()["pair_id"] == "v#4|v#2"
     assert manifest["data_status"]["ignored_unsupported_task_counts"] == {"Commentary": 1}
 
 
