@@ -198,7 +198,7 @@ def _centres(v: np.ndarray, g: np.ndarray, start: np.ndarray, end: np.ndarray) -
     for half in np.unique(span):
         of = np.flatnonzero(span == half)
         width = 2 * int(half) + int(size[of].max())
-        step = max(1, 4_000_000 // width)
+        step = max(1, 500_000 // width)
         for k in range(0, len(of), step):
             some = of[k : k + step]
             at = start[some, None] - half + np.arange(width)
@@ -341,7 +341,7 @@ def _in_order(laid: DataFrame) -> DataFrame:
     return laid.sortWithinPartitions("tracking_path", "block", "frame_original", "row_id")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], target: int = 200_000) -> Iterator[Tracks]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], target: int = 100_000) -> Iterator[Tracks]:
     """Cuts the stream of sorted rows into tables of whole (track, block) groups."""
     held: list[pa.RecordBatch] = []
     size = 0
