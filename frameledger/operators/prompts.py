@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from frameledger.functions import text
-from frameledger.operators import evaluate
 from frameledger.schemas import ACTIONS, GROUNDING, TASKS
 
 #: The variables that the templates of each kind may use.
@@ -66,11 +65,6 @@ def judge_variables() -> dict[str, Column]:
     return {"question_text": F.col("question_text"), "reference_payload_json": indented(F.col("reference")), "prediction_payload_json": indented(F.col("prediction"))}
 
 
-def judge_payloads(prediction: Column) -> dict[str, Column]:
-    """reference and prediction as the judge sees them, of a row with task_name and reference_payload."""
-    return {"reference": evaluate.judge_reference(F.col("task_name"), F.col("reference_payload")), "prediction": evaluate.judge_prediction(F.col("task_name"), prediction)}
-
-
 def by_task(pack: dict[str, str], variables: dict[str, Column]) -> Column:
     """The row's template, rendered; null for a task the pack has none for."""
     out = F.lit(None).cast("string")

@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frameledger.operators import nested, parse_lines, references, spikes
 from frameledger.session import first_delivery, shuffle_width, table

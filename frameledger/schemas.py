@@ -1,8 +1,6 @@
 """Record types and the task dimension."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 #: Fixed values of the benchmark.
 VIDEO_FPS, FRAME_BUDGET, SHORT_WINDOW, SHORT_STRIDE, GROUNDING_MARGIN = 10, 64, 320, 5, 50
 COORDINATE_MAX, SENTINEL_BOX, THRESHOLD = 1000, [-1.0, -1.0, -1.0, -1.0], 0.5
@@ -28,11 +26,6 @@ UPSTREAM_TASKS = [ACTIONS, GROUNDING]
 PAYLOAD_KIND = {t[0]: t[2] for t in TASKS}
 
 
-def task_rules(spark: SparkSession) -> DataFrame:
-    """task_name, input_kind, payload_kind, judge_mode: ten rows, safe to broadcast."""
-    return spark.createDataFrame(TASKS, "task_name string, input_kind string, payload_kind string, judge_mode string")
-
-
 BOX = "array<double>"
 TRACKING = f"array<struct<frame_sampled bigint, bbox_mot {BOX}>>"
 SEGMENTS = "array<struct<start_sampled bigint, end_sampled bigint, text string>>"

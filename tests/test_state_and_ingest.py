@@ -10,6 +10,7 @@ from frameledger.operators import prepare, state
 from frameledger.plans import bundles
 from frameledger.session import first_delivery, utc_month
 from frameledger.sources import annotations as ann
+from frameledger.sources import media
 from frameledger.streaming import resume
 
 
@@ -170,6 +171,25 @@ def test_load_and_file_issues(spark):
     assert {r["rule"] for r in gone.collect()} == {"video", "tracking"}
 
 
+def test_broken_documents_are_reported_not_dropped(spark, tmp_path):
+    write_dataset(tmp_path)
+    (tmp_path / "Sport" / "Event" / "2.json").write_text("{nonsense")
+    (tmp_path / "Sport" / "Event" / "2.mp4").write_text("x")
+    docs = ann.annotation_documents(spark, str(tmp_path))
+    bad = ann.broken_documents(docs).collect()
+    assert sorted(r["path"][-6:] for r in bad) == ["2.json", "3.json"] and docs.count() == 3
+    assert all(r["message"].endswith(".json: failed to load annotation file") for r in bad)
+
+
+def test_media_need_their_package(spark):
+    samples, tracking = dataset(spark)
+    rows = bundles.prepared_samples(samples, tracking, sampling.PROTOCOLS["main"])
+    with pytest.raises(Exception, match="needs the package 'av'"):
+        media.write_bundles(rows, "/nowhere", "/nowhere", ["frames"]).collect()
+    with pytest.raises(ValueError):
+        media.write_bundles(rows, "/nowhere", "/nowhere", ["gif"])
+
+
 def test_fingerprint_knows_values_not_order(spark):
     df = spark.createDataFrame([(i, str(i % 7), None) for i in range(200)], "b int, a string, c string")
     one = ann.dataset_fingerprint(df).first()
