@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frameledger.llm import encoding, mixing, pairs, tokenize, truncation
 from frameledger.session import table
