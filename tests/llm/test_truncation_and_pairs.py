@@ -285,3 +285,79 @@ def test_handed_on_text_must_be_the_end(spark):
     assert {r["record_id"]: r["handed_on"] for r in values} == {0: False, 1: True, 2: True, 3: True, 4: True}
     got = truncation.judged(truncation.value_table(df, "record_id", "model_name", FIELDS, "written_at"))
     assert {r["record_id"] for r in got.where("cut and field = 'structurer_raw_response'").collect()} == {0}
+
+
+PROMPT = "sample_id string, protocol_id string, question_text string, written_at timestamp"
+
+
+def test_models_are_fitted_on_every_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n, r = 6200, random.Random(5)
+    ids = [x["id"] for x in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(ids[-100:])  # no row of a sample by hash
+    rows = [(i, "m", f"I cannot answer questions about player {i % 7}, please ask another." if i in late else sentence(r), None, None, f"s{i}", "main", "", "") for i in range(n)]
+    seen = {}
+
+    class Enough(Exception):
+        pass
+
+    def catch(records, prompts, models, *_):
+        seen.update(models)
+        raise Enough
+
+    monkeypatch.setattr(pairs, "vote_table", catch)
+    with pytest.raises(Enough):
+        # repeated records count once
+        pairs.label_pairs(spark.createDataFrame(rows + rows[:50], RECORD), spark.createDataFrame([("s1", "main", "Where is it?", None)], PROMPT))
+    want = pairs.fit_models([x[2] for x in rows] + ["Where is it?"])
+    assert seen["refusal"] is not None and np.array_equal(seen["refusal"], want["refusal"]) and np.array_equal(seen["language"], want["language"])
+
+
+def test_thresholds_and_planted_cases_see_every_pair(spark):
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rows = []
+    for i in range(600):
+        a = f"I cannot answer questions about player {i % 7}, please ask another." if i % 10 == 0 else LINES[r.choice(["en", "es", "de"])] + " " + r.choice(TAILS) if i % 3 else text(r, 2)
+        rows.append((i, "m", a, None if i % 11 == 0 else json.dumps({"text": text(r, 1)}) if i % 2 else LINES["es"] + ", " + LINES["es"], None, f"s{i}", "main", "", ""))
+    prompts = [(f"s{i}", "main", "Which team scores next on the board?" if i % 2 else None, None) for i in range(600)]
+    once, q = pairs.halves(spark.createDataFrame(rows, RECORD).repartition(3), spark.createDataFrame(prompts, PROMPT))
+    models = pairs.fit_tables(once, q)
+    voted = pairs.vote_table(once, q, models).checkpoint()
+    want = pairs.fit_models([t for x in rows for t in x[2:4] if t] + [x[2] for x in prompts if x[2]])
+    models["refusal_from"] = pairs.refusals_from(voted, q, models)
+    assert np.array_equal(models["refusal"], want["refusal"]) and models["refusal_from"] == want["refusal_from"] < np.inf
+    got = {x["record_id"]: x for x in pairs._with_scores(voted, models["refusal_from"]).where("field = 'raw_output'").collect()}
+    a, b, calm = pa.array([x[2] for x in rows]), pa.array([x[3] for x in rows], pa.string()), np.full(len(rows), 8)
+    full = pairs.votes(a, pa.array([x[2] for x in prompts], pa.string()), calm, want)
+    assert all(list(map(int, got[i]["votes"][:12])) == v[:12].tolist() for i, v in enumerate(full))
+    # a case in every pair of long answers that does not decline
+    base = [i for i, x in enumerate(rows) if len(x[2]) > 40 and len(x[3] or "") > 40 and not pairs.declines(x[2])]
+    assert len(base) > 400 and {i for i, x in got.items() if x["copied"]} == set(base)
+    copies = pairs.votes(pa.array(pairs._handed_on([rows[i][2] for i in base], np.array(base))), a.take(pa.array(base)), calm[: len(base)], want)
+    assert [got[i]["copied"] for i in base] == ["".join(map(str, v[6:9])) for v in copies.tolist()]
+    # the second answers of all pairs in another language, against each pair
+    spoken = pairs.language([rows[i][2] for i in base], want["language"])
+    brute = {}
+    for i, s in zip(base, spoken):
+        others = [j for j, t in zip(base, spoken) if t >= 0 and t != s]
+        if s >= 0 and others:
+            v = pairs.votes(b.take(pa.array(others)), pa.array([rows[i][2]] * len(others)), calm[: len(others)], want)[:, 9:12]
+            for k in map(tuple, v.tolist()):
+                brute[k] = brute.get(k, 0) + 1 / len(others)
+    tongues = {}
+    for i in base:
+        k = got[i]["tongue"], got[i]["tongue_2"]
+        tongues[k] = tongues.get(k, 0) + 1
+    exact = {}
+    for k, w in zip(*pairs.foreign(tongues)):
+        exact[tuple(k.tolist())] = exact.get(tuple(k.tolist()), 0) + w
+    assert len(brute) > 1 and exact == pytest.approx(brute)
+
+
+@pytest.mark.parametrize("q", [0, 0.05, 0.5, 0.999, 1])
+def test_quantiles_of_counts(q):
+    x = np.random.default_rng(0).integers(-20, 20, 333)
+    assert pairs._quantile(dict(zip(*(v.tolist() for v in np.unique(x, return_counts=True)))), q) == pytest.approx(np.quantile(x, q))
